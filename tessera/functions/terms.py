@@ -7,12 +7,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: White space of all scripts, as a Java character class: ASCII separators and controls, next line, no-break and wide blanks.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _compose(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: t if t is None or unicodedata.is_normalized("NFC", t) else unicodedata.normalize("NFC", t))
 
