@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import term_key
+from tessera.llm.containers import fill_containers, fill_report
+from tessera.llm.mixture import Mixture
 from tessera.llm.pair_table import PairTable
+from tessera.llm.sentences import sentences
 from tessera.llm.split_records import split_records
 from tessera.llm.term_bitmaps import term_bitmaps, term_frequencies
 from tessera.llm.top_n import top_n
@@ -64,5 +67,35 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece = 0").select("record_id")
 
 
+def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_containers(table(spark, folder, "documents"), table(spark, folder, "container_specs"))
+
+
+def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    return fill_report(p6_containers(spark, folder))
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).documents()
+
+
+def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """The shares really reached."""
+    return _mixture(spark, folder).report()
+
+
+def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences(table(spark, folder, "documents"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_sentences(spark, folder).select("doc_id", "start_pos")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit()}
