@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,6 +28,25 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE + "+", " "))
 
 
+#: Spellings that are their own key: ASCII and Latin-1 small letters, digits, hyphens, single inner blanks.
+_PLAIN = r"^[a-z0-9_\-\xdf-\xf6\xf8-\xff]+(?: [a-z0-9_\-\xdf-\xf6\xf8-\xff]+)*$"
+
+
+def has_term(text: Column) -> Column:
+    """Whether a text is a term: not null, and something in it is visible."""
+    return text.rlike("[^" + SPACE[1:])
+
+
+def with_term(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the column ``name`` of common spellings, without rows that hold no term.
+
+    Plain spellings, mostly the bulk, keep inside whole-stage code; only the others pass through Python for their composition.
+    """
+    plain = F.coalesce(text.rlike(_PLAIN), F.lit(False))
+    rest = df.where(~plain & has_term(text))
+    return df.where(plain).withColumn(name, text).unionAll(rest.withColumn(name, term_key(text)))
+
+
 def term_key(text: Column) -> Column:
     """The common spelling of a term; null where nothing visible remains."""
     key = squeeze(F.lower(nfc(text)))
