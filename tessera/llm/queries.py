@@ -7,23 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.terms import term_key
+from tessera.functions.terms import with_term
 from tessera.llm.containers import fill_containers, fill_report
 from tessera.llm.mixture import Mixture
 from tessera.llm.pair_table import PairTable
 from tessera.llm.sentences import sentences
 from tessera.llm.split_records import split_records
-from tessera.llm.term_bitmaps import term_bitmaps, term_frequencies
+from tessera.llm.term_bitmaps import record_count, term_bitmaps, term_frequencies
 from tessera.llm.top_n import top_n
 from tessera.session import table
 
 
 def p1_terms(spark: SparkSession, folder: str) -> DataFrame:
     """Every form and phrase with its total frequency, number of records and mark."""
-    forms = term_bitmaps(table(spark, folder, "postings"), F.col("form"), F.col("uce_id"), F.col("n"))
-    phrases = term_bitmaps(table(spark, folder, "keyphrases"), F.col("phrase"), F.col("uci_id"), F.col("frequency"), doc_count=F.col("doc_count"))
-    first = term_frequencies(forms).withColumn("doc_count", F.col("n_records"))
-    both = first.withColumn("tab", F.lit("postings")).unionByName(term_frequencies(phrases).withColumn("tab", F.lit("keyphrases")))
+    postings, keyphrases = table(spark, folder, "postings"), table(spark, folder, "keyphrases")
+    forms = term_bitmaps(postings, F.col("form"), F.col("uce_id"), F.col("n"))
+    phrases = term_bitmaps(keyphrases, F.col("phrase"), F.col("uci_id"), F.col("frequency"), doc_count=F.col("doc_count"))
+    first = term_frequencies(forms, record_count(postings, F.col("form"), F.col("uce_id"))).withColumn("doc_count", F.col("n_records"))
+    second = term_frequencies(phrases, record_count(keyphrases, F.col("phrase"), F.col("uci_id")))
+    both = first.withColumn("tab", F.lit("postings")).unionByName(second.withColumn("tab", F.lit("keyphrases")))
     return both.select("tab", "term", "frequency", "n_records", "doc_count", "mark")
 
 
@@ -32,7 +34,8 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _baskets(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "postings").select(F.col("uce_id").alias("basket"), term_key(F.col("form")).alias("term"))
+    rows = table(spark, folder, "postings").select(F.col("uce_id").alias("basket"), "form")
+    return with_term(rows, F.col("form"), "term").select("basket", "term")
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,28 +12,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.terms import term_key
+from tessera.functions.terms import has_term, with_term
 
 
 def term_bitmaps(df: DataFrame, term: Column, record: Column, occurrences: Column | None = None, **sums: Column) -> DataFrame:
     """The vertical layout ``(term, block, records, occurrences, *sums)`` of ``df``.
 
-    ``term`` is brought to its common spelling (``term_key``); null and blank terms give no row. ``record`` is a bigint of any sign; rows without a record
+    ``term`` is brought to its common spelling (``with_term``); null and blank terms give no row. ``record`` is a bigint of any sign; rows without a record
     keep their occurrences under a null block with an empty map. A null occurrence count adds nothing. Repeated rows set the same bit again and add their
     occurrences again. An empty table gives an empty result; other columns of ``df``, whatever their names, are not read.
     """
     rows = df.select(
-        term_key(term).alias("term"),
+        term.alias("text"),
         record.cast("bigint").alias("record"),
         F.coalesce((F.lit(1) if occurrences is None else occurrences).cast("bigint"), F.lit(0)).alias("occurrences"),
         *(F.coalesce(c.cast("bigint"), F.lit(0)).alias(k) for k, c in sums.items()),
-    ).where(F.col("term").isNotNull())
+    )
     bit = F.expr("coalesce(shiftleft(1L, cast(record & 63 as int)), 0L)")
-    return rows.groupBy("term", F.shiftright("record", 6).alias("block")).agg(
+    return with_term(rows, F.col("text"), "term").groupBy("term", F.shiftright("record", 6).alias("block")).agg(
         F.bit_or(bit).alias("records"), F.sum("occurrences").alias("occurrences"), *(F.sum(k).alias(k) for k in sums)
     )
 
 
+def record_count(df: DataFrame, term: Column, record: Column) -> DataFrame:
+    """``n``, one row: the number of distinct records with at least one term, by one bitmap over all terms."""
+    rows = df.where(record.isNotNull() & has_term(term)).select(record.cast("bigint").alias("record"))
+    blocks = rows.groupBy(F.shiftright("record", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(record & 63 as int)))").alias("records"))
+    return blocks.agg(F.coalesce(F.sum(F.bit_count("records")), F.lit(0)).cast("bigint").alias("n"))
+
+
 def merge_bitmaps(first: DataFrame, *more: DataFrame) -> DataFrame:
     """The union of layouts with the same columns: maps by bit-or, counters by sum."""
     for df in more:
@@ -42,15 +49,13 @@ def merge_bitmaps(first: DataFrame, *more: DataFrame) -> DataFrame:
     return first.groupBy("term", "block").agg(F.bit_or("records").alias("records"), *(F.sum(c).alias(c) for c in sums))
 
 
-def term_frequencies(bitmaps: DataFrame, min_records: int = 3, max_share: float = 0.5) -> DataFrame:
+def term_frequencies(bitmaps: DataFrame, total: DataFrame, min_records: int = 3, max_share: float = 0.5) -> DataFrame:
     """``term, frequency, n_records, *sums, mark``: the whole vocabulary with its counts.
 
-    ``mark`` is ``'rare'`` below ``min_records`` records, ``'common'`` above ``max_share`` of all records (those with at least one term), else ``'useful'``.
+    ``total`` is a ``record_count``. ``mark`` is ``'rare'`` below ``min_records`` records, ``'common'`` above ``max_share`` of all records (those with at least one term), else ``'useful'``.
     A term met only in rows without a record has no records and is rare.
     """
     sums = [c for c in bitmaps.columns if c not in ("term", "block", "records", "occurrences")]
-    every = bitmaps.where("block is not null").groupBy("block").agg(F.bit_or("records").alias("records"))
-    total = every.agg(F.coalesce(F.sum(F.bit_count("records")), F.lit(0)).cast("bigint"))
     counts = bitmaps.groupBy("term").agg(
         F.sum("occurrences").alias("frequency"), F.sum(F.bit_count("records")).cast("bigint").alias("n_records"), *(F.sum(c).alias(c) for c in sums)
     )
