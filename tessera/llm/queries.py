@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import with_term
 from tessera.llm.containers import fill_containers, fill_report
 from tessera.llm.mixture import Mixture
+from tessera.llm.mojibake import garbled, restored_tokens
 from tessera.llm.pair_table import PairTable
 from tessera.llm.sentences import sentences
 from tessera.llm.split_records import split_records
@@ -49,6 +50,30 @@ def p2_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("term_a", "term_b", "cooccurrence", F.round("ppmi", 6).alias("ppmi"))
 
 
+def _texts(spark: SparkSession, folder: str) -> DataFrame:
+    topics, lines = table(spark, folder, "topic_corpus"), table(spark, folder, "kwic_lines")
+    first = topics.select(F.lit("topic_corpus").alias("tab"), F.col("doc_id").cast("bigint").alias("row_key"), "text")
+    return first.unionAll(lines.select(F.lit("kwic_lines"), F.col("line_id").cast("bigint"), F.col("sentence")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that hold garbled text; each key once."""
+    return garbled(_texts(spark, folder)).select("tab", "row_key").distinct()
+
+
+def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
+    """What garbled each row, its restored text, and a line's restored tokens."""
+    found = garbled(_texts(spark, folder)).dropDuplicates(["tab", "row_key", "restored"])
+    lines = table(spark, folder, "kwic_lines").select(F.lit("kwic_lines").alias("tab"), F.col("line_id").cast("bigint").alias("row_key"), "left_tokens", "keyword", "right_tokens", "sentence")
+    joined = found.join(lines.dropDuplicates(["row_key", "sentence"]), ["tab", "row_key"], "left")
+
+    def tokens(c: str) -> Column:
+        return restored_tokens(F.col(c), F.col("sentence"), F.col("restored")).alias(c)
+
+    keyword = restored_tokens(F.array("keyword"), F.col("sentence"), F.col("restored"))[0].alias("keyword")
+    return joined.select("tab", "row_key", "kind", "restored", tokens("left_tokens"), keyword, tokens("right_tokens"))
+
+
 def p4_top(spark: SparkSession, folder: str) -> DataFrame:
     words = table(spark, folder, "specificities")
     classes = table(spark, folder, "chd_profiles")
