@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.clustering import LDA, BisectingKMeans, KMeans
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,19 +21,14 @@ class Topics:
     perplexity: float
 
 
-@F.udf(VectorUDT())
-def _vector(size: int, pairs: list) -> SparseVector:
-    return SparseVector(size, [(p[0], float(p[1])) for p in pairs])
-
-
 def features(dtm: DataFrame, most: int = 2000, min_freq: int = 2, key: str = "doc_id") -> tuple[DataFrame, list[str]]:
     """Sparse vectors ``key, features`` over the ``most`` frequent forms (ties by form), and those forms. The vocabulary is bounded by ``most``."""
     counts = dtm.groupBy("form").agg(F.sum("n").alias("f")).where(F.col("f") >= min_freq).orderBy(F.desc("f"), "form").limit(most)
     words = [r[0] for r in counts.select("form").orderBy("form").collect()]
-    spark = dtm.sparkSession
-    ids = spark.createDataFrame([(w, k) for k, w in enumerate(words)], "form string, id int")
-    packed = dtm.join(F.broadcast(ids), "form").groupBy(key, "id").agg(F.sum("n").alias("n")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("id", "n"))).alias("pairs"))
-    return packed.select(key, _vector(F.lit(len(words)), F.col("pairs")).alias("features")), words
+    each = dtm.groupBy(key, "form").agg(F.sum("n").cast("int").alias("n"))
+    packed = each.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("form", "n"))).alias("pairs"))
+    repeated = packed.select(key, F.flatten(F.transform("pairs", lambda p: F.array_repeat(p["form"], p["n"]))).alias("words"))
+    return CountVectorizerModel.from_vocabulary(words or [""], "words", "features").transform(repeated).select(key, "features"), words
 
 
 def lda(dtm: DataFrame, k: int = 6, seed: int = 42, most: int = 2000, min_freq: int = 2, rounds: int = 20, key: str = "doc_id") -> Topics:
