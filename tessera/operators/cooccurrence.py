@@ -97,6 +97,7 @@ def labbe(dtm: DataFrame, key: str = "doc_id") -> DataFrame:
     The larger text is scaled to the smaller; forms only in the larger count from a scaled frequency of 1. In the denominator scaled frequencies count from 1 if text 1 is
     the larger, above 1 otherwise. Meant for a bounded set of texts: all their pairs come out. Empty texts have no rows and take no part.
     """
+    dtm, key = dtm.select(F.col(key).alias("_text"), "form", "n"), "_text"
     sizes = dtm.groupBy(key).agg(F.sum("n").alias("size"))
     one = sizes.withColumn("_k", F.lit(1))
     pairs = one.select("_k", F.col(key).alias("text_1"), F.col("size").alias("n1")).join(one.select("_k", F.col(key).alias("text_2"), F.col("size").alias("n2")), "_k").where("text_1 < text_2").drop("_k")
@@ -109,11 +110,11 @@ def labbe(dtm: DataFrame, key: str = "doc_id") -> DataFrame:
     first_larger = F.col("n1") > F.col("n2")
     large, small = F.when(first_larger, x).otherwise(y), F.when(first_larger, y).otherwise(x)
     shared = common.groupBy("text_1", "text_2").agg(F.sum(F.abs(x - y)).alias("diff"), F.sum(small).alias("small_common"), F.sum(F.when(large >= 1, large).otherwise(0.0)).alias("large_common"))
-    spectrum = dtm.groupBy(key, "n").agg(F.count("*").alias("k"))  # frequencies of a text: few distinct ones
+    spectrum = dtm.groupBy(key, "n").agg(F.count("*").alias("forms"))  # frequencies of a text: few distinct ones
     big = scaled.select("*", F.when(first_larger, F.col("text_1")).otherwise(F.col("text_2")).alias(key), F.when(first_larger, F.col("u1")).otherwise(F.col("u2")).alias("u"))
     v = F.col("n") * F.col("u")
     least = F.when(first_larger, v >= 1).otherwise(v > 1)
-    sums = big.join(spectrum, key).groupBy("text_1", "text_2", "n1", "n2").agg(F.sum(F.when(v >= 1, v * F.col("k")).otherwise(0.0)).alias("large_from_1"), F.sum(F.when(least, v * F.col("k")).otherwise(0.0)).alias("large_kept"))
+    sums = big.join(spectrum, key).groupBy("text_1", "text_2", "n1", "n2").agg(F.sum(F.when(v >= 1, v * F.col("forms")).otherwise(0.0)).alias("large_from_1"), F.sum(F.when(least, v * F.col("forms")).otherwise(0.0)).alias("large_kept"))
     out = sums.join(shared, ["text_1", "text_2"], "left").fillna(0.0, ["diff", "small_common", "large_common"])
     n_small = F.least("n1", "n2")
     distance = F.col("diff") + (n_small - F.col("small_common")) + (F.col("large_from_1") - F.col("large_common"))

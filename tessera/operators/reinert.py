@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from tessera.functions.measures import signed_chi2
 from tessera.session import written
 
 
+#: Nodes up to this many cells are split within one task.
+KERNEL_CELLS = 2_000_000
+
+
 @dataclass
 class Node:
     node_id: int
@@ -27,6 +33,64 @@ class Node:
     class_id: int | None = None
 
 
+def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = 60, refine: int = 8) -> tuple[np.ndarray, float] | None:
+    """The side of each unit (numbered from 0) and the chi-square of the split of a node given by its cells; None if no cut leaves ``least`` units on both sides."""
+    n = int(unit.max()) + 1 if len(unit) else 0
+    if n < 2 * least:
+        return None
+    term = np.unique(term, return_inverse=True)[1]
+    r, t = np.bincount(unit, minlength=n).astype(float), np.bincount(term).astype(float)
+    total = float(len(unit))
+    coord = (np.arange(n) * 7919 % 2001) / 1000.0 - 1.0
+    for _ in range(rounds):
+        coord = coord - (r * coord).sum() / total
+        coord /= np.sqrt((r * coord**2).sum()) or 1.0
+        coord = np.bincount(unit, (np.bincount(term, coord[unit], len(t)) / t)[term], n) / r
+    coord = np.round(coord - (r * coord).sum() / total, 12)
+    order = np.lexsort((np.arange(n), coord))
+    rank = np.empty(n, dtype=np.int64)
+    rank[order] = np.arange(n)
+    # chi-square of a cut is T^2 q / (L R) - T L / R with q the sum of l^2 / t; a cell adds (2l + 1) / t, l its term's cells before it
+    cells = np.lexsort((rank[unit], term))
+    first = np.concatenate(([0], np.flatnonzero(np.diff(term[cells])) + 1))
+    before = np.arange(len(cells)) - np.repeat(first, np.diff(np.append(first, len(cells))))
+    step = np.bincount(rank[unit[cells]], (2 * before + 1) / t[term[cells]], n)
+    q, left = np.cumsum(step), np.cumsum(r[order])
+    right = total - left
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi2 = np.where(right > 0, total**2 * q / (left * right) - total * left / right, -np.inf)
+    chi2[: least - 1] = -np.inf
+    chi2[n - least :] = -np.inf
+    cut = int(np.argmax(chi2))
+    if not np.isfinite(chi2[cut]):
+        return None
+    side, score = (rank > cut).astype(int), float(chi2[cut])
+    for _ in range(refine):
+        share = np.bincount(term, side[unit] == 0, len(t)) / t
+        moved = (np.bincount(unit, share[term], n) / r < (side[unit] == 0).mean()).astype(int)
+        l0 = np.bincount(term, moved[unit] == 0, len(t))
+        left0 = float((moved[unit] == 0).sum())
+        if min((moved == 0).sum(), (moved == 1).sum()) < least or not 0 < left0 < total:
+            break
+        value = total**2 * float((l0**2 / t).sum()) / (left0 * (total - left0)) - total * left0 / (total - left0)
+        if value <= score + 1e-9:
+            break
+        side, score = moved, value
+    return side, score
+
+
+def _split_group(least: int):
+    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
+        ids, unit = np.unique(cells.uce_id.to_numpy(), return_inverse=True)
+        found = split_kernel(unit, pd.factorize(cells.form, sort=True)[0], least)
+        columns = ["node_id", "uce_id", "side", "chi2"]
+        if found is None:
+            return pd.DataFrame({"node_id": [key[0]], "uce_id": [None], "side": [None], "chi2": [None]}, columns=columns)
+        return pd.DataFrame({"node_id": key[0], "uce_id": ids, "side": found[0], "chi2": found[1]}, columns=columns)
+
+    return run
+
+
 def _axis(x: DataFrame, rounds: int) -> DataFrame:
     """``uce_id, coord``: the first non-trivial axis by power iteration; each round is two aggregations, centred by the units' masses."""
     rows = x.groupBy("uce_id").agg(F.count("*").alias("r"))
@@ -102,6 +166,27 @@ def _moved(x: DataFrame, sides: DataFrame) -> DataFrame:
     return pulls.select("uce_id", (F.col("p") < share).cast("int").alias("side"))
 
 
+def _offers(x: DataFrame, leaves: dict[int, DataFrame], least: int, bins: int) -> dict[int, tuple[DataFrame, float] | None]:
+    """The best split of each leaf: small leaves together in one grouped pass, large ones by distributed passes."""
+    parts = None
+    for k, units in leaves.items():
+        part = units.withColumn("node_id", F.lit(k))
+        parts = part if parts is None else parts.unionByName(part)
+    cells = written(x.join(parts, "uce_id"), "cells")
+    sizes = {r[0]: r[1] for r in cells.groupBy("node_id").count().collect()}  # a row a leaf
+    small = [k for k in leaves if sizes.get(k, 0) <= KERNEL_CELLS]
+    out: dict[int, tuple[DataFrame, float] | None] = {}
+    if small:
+        schema = "node_id int, uce_id bigint, side int, chi2 double"
+        found = written(cells.where(F.col("node_id").isin(small)).groupBy("node_id").applyInPandas(_split_group(least), schema), "sides")
+        scores = {r[0]: r[1] for r in found.groupBy("node_id").agg(F.max("chi2")).collect()}
+        out = {k: (found.where(f"node_id = {k}").select("uce_id", "side"), scores[k]) if scores.get(k) is not None else None for k in small}
+    for k in leaves:
+        if k not in out:
+            out[k] = split(cells.where(f"node_id = {k}").select("uce_id", "form"), least, bins)
+    return out
+
+
 def classify(presence: DataFrame, classes: int = 5, least: int = 5, bins: int = 512) -> tuple[DataFrame, list[Node]]:
     """``uce_id, class_id`` and the tree: the leaf whose best split has the greatest chi-square is split until there are ``classes`` leaves, which are numbered from
     left to right. Units without terms are in no class. ``presence`` has distinct (uce_id, form) rows."""
@@ -111,9 +196,9 @@ def classify(presence: DataFrame, classes: int = 5, least: int = 5, bins: int =
     offers: dict[int, tuple[DataFrame, float] | None] = {}
     leaves = [1]
     while len(leaves) < classes:
-        for k in leaves:
-            if k not in offers:
-                offers[k] = split(written(x.join(members[k], "uce_id", "left_semi"), "node"), least, bins)
+        fresh = [k for k in leaves if k not in offers]
+        if fresh:
+            offers |= _offers(x, {k: members[k] for k in fresh}, least, bins)
         open_ = [(o[1], -k) for k in leaves if (o := offers[k])]
         if not open_:
             break

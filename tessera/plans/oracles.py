@@ -93,7 +93,7 @@ def _fold(x: str) -> str:
 
 
 def _squash(x: str) -> str:
-    return f"trim(regexp_replace({x}, '[\\s\\x{{0b}}]+', ' ', 'g'))"
+    return f"trim(regexp_replace({x}, '[\\s\\x{{0b}}]+', ' ', 'g'), ' ')"
 
 
 def _grams(n: int, least: int = 2) -> str:
@@ -166,8 +166,8 @@ def oracle_sql() -> dict[str, str]:
         "specificity_top_loc": f"""with {TOK}, {DTM}, {META}, {LOC}, {_table('loc', 3)}, {_MARGINS}, s as (select *, {_chi2()} as score from m)
             select form, grp, n::bigint as n, round(score, 6) as score from (select *, row_number() over (partition by grp order by abs(score) desc, form) as p from s) where p <= 200""",
         "chronological_specificity": f"""with {TOK}, {DTM}, years as (select doc_id, year(imported_at) as grp from documents where imported_at is not null), {_table('years', 3)},
-            sizes as (select grp, sum(n) as size from t group by grp), z as (select grp, size, sum(size) over (order by grp rows between 1 preceding and current row) as size_span, row_number() over (order by grp) as at from sizes),
-            c as (select form, grp, n, size, size_span, sum(n) over (partition by form order by at range between 1 preceding and current row) as n_span from t join z using (grp))
+            sizes as (select grp, sum(n) as size from t group by grp), z as (select grp, size, sum(size) over (order by grp rows between 1 preceding and current row) as size_span, row_number() over (order by grp) as ord from sizes),
+            c as (select form, grp, n, size, size_span, sum(n) over (partition by form order by ord range between 1 preceding and current row) as n_span from t join z using (grp))
             select form, grp, n::bigint as n, n_span::bigint as n_span, {_chi2('n', 'n_span', 'size', 'size_span')} as score from c""",
         "metadata_profile_chi2": f"""with {META}, {LOC}, t as (select variable || '_' || value as form, grp, count(*) as n from meta join loc using (doc_id) where variable in ('sexo', 'idade') group by 1, 2), {_MARGINS},
             s as (select *, {_chi2()} as score from m) select form, grp, n, score, case when score >= 0 then '+' else '-' end as sign from s""",
@@ -216,7 +216,7 @@ def oracle_sql() -> dict[str, str]:
             select a.concept as concept_a, b.concept as concept_b, count(*) as windows from s a join s b on a.doc_id = b.doc_id and a.start = b.start and a.concept < b.concept group by 1, 2""",
         "labbe_distance": f"""with {TOK}, k as (select doc_id, regexp_replace(lower(trim(source)), '[- ]', '_', 'g') as k from documents where source is not null), x as (select k, form, count(*)::double as n from tok join k using (doc_id) group by 1, 2),
             z as (select k, sum(n) as s from x group by k), p as (select a.k as k1, b.k as k2, a.s as n1, b.s as n2, least(1, b.s / a.s) as u1, case when a.s > b.s then 1 else a.s / b.s end as u2 from z a join z b on a.k < b.k),
-            f as (select k1, k2, n1, n2, form, coalesce(a.n, 0) * u1 as x1, coalesce(b.n, 0) * u2 as x2 from p join (select distinct k as kk, form from x) w on w.kk in (k1, k2) left join x a on a.k = k1 and a.form = w.form left join x b on b.k = k2 and b.form = w.form),
+            f as (select k1, k2, n1, n2, w.form, coalesce(a.n, 0) * u1 as x1, coalesce(b.n, 0) * u2 as x2 from p join (select distinct k as kk, form from x) w on w.kk in (k1, k2) left join x a on a.k = k1 and a.form = w.form left join x b on b.k = k2 and b.form = w.form),
             g as (select distinct * from f), l as (select *, case when n1 > n2 then x1 else x2 end as big, case when n1 > n2 then x2 else x1 end as small from g)
             select k1 as text_1, k2 as text_2, round(sum(case when big > 0 and small > 0 then abs(big - small) when small > 0 then small when big >= 1 then big else 0 end)
                 / (any_value(least(n1, n2)) + sum(case when (n1 > n2 and big >= 1) or (n1 <= n2 and big > 1) then big else 0 end)), 8) as distance from l group by 1, 2""",

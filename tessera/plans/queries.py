@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.indices import INDICES
 from tessera.functions.tokenizers import tokenize, tokens
-from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, ngrams, phrases, reinert, segments, tables, topics
+from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, ngrams, phrases, reinert, segments, small_graph, tables, topics
 from tessera.session import spread, table, written
 from tessera.sources import readers
 from tessera.streaming import counts
@@ -220,7 +220,7 @@ def segment_groups(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def merged_phrases(s: SparkSession, d: str) -> DataFrame:
-    merged = docs(s, d).select("doc_id", segments.merge_phrases(tokenize(F.col("text"), "alpha"), [("não", "é"), ("em", "são"), ("que", "não", "é")]).alias("w"))
+    merged = docs(s, d).select("doc_id", segments.merge_phrases(tokenize(F.col("text"), "alpha"), [("acervo", "lexico"), ("equipe", "acervo"), ("www", "acervo", "lexico")]).alias("w"))
     return merged.select("doc_id", F.explode("w").alias("form")).where("form like '%\\\\_%'").groupBy("form").agg(F.count("*").alias("freq"))
 
 
@@ -498,10 +498,31 @@ def communities(s: SparkSession, d: str) -> DataFrame:
     return graph.label_propagation(graph.best_edges(edges(s, d), 5), 10)
 
 
+@query
+def louvain_communities(s: SparkSession, d: str) -> DataFrame:
+    return small_graph.louvain(graph.best_edges(edges(s, d), 5), smallest=3)
+
+
+@query
+def path_centrality(s: SparkSession, d: str) -> DataFrame:
+    return small_graph.path_measures(graph.best_edges(edges(s, d), 5))
+
+
+@query
+def eigenvector_centrality(s: SparkSession, d: str) -> DataFrame:
+    return small_graph.eigenvector(edges(s, d))
+
+
+@query
+def community_modularity(s: SparkSession, d: str) -> DataFrame:
+    e = written(graph.best_edges(edges(s, d), 5), "edges")
+    return graph.modularity(e, small_graph.louvain(e))
+
+
 @query
 def thematic_map(s: SparkSession, d: str) -> DataFrame:
     e = written(graph.best_edges(edges(s, d), 5), "edges")
-    return graph.thematic_map(e, graph.label_propagation(e, 10))
+    return graph.thematic_map(e, small_graph.louvain(e))
 
 
 @query
@@ -610,10 +631,10 @@ def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
-    stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
     name = f"daily_{abs(hash((id(s), d)))}"
     counts.run_available(counts.windowed_counts(stream, "ts", "event_type"), name)
-    return s.table(name)
+    return s.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
 def entry(s: SparkSession, d: str) -> DataFrame:

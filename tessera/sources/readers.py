@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import zipfile
@@ -116,14 +117,14 @@ def read_documents(spark: SparkSession, path: str, kinds: tuple[str, ...] = (*TE
 
 def read_table(spark: SparkSession, path: str, sep: str | None = None, infer: bool = True, encoding: str = "UTF-8") -> DataFrame:
     """A CSV or TSV table with a header; the delimiter is the one most frequent in the first line if none is given. Repeated column names get a number."""
-    if sep is None:
-        first = spark.read.text(path).limit(1).collect()
-        line = first[0][0] if first else ""
-        sep = max((";", ",", "\t", "|"), key=line.count)
+    first = spark.read.option("encoding", encoding).text(path).limit(1).collect()
+    line = first[0][0] if first else ""
+    sep = sep or max((";", ",", "\t", "|"), key=line.count)
     df = spark.read.option("header", True).option("sep", sep).option("inferSchema", infer).option("encoding", encoding).option("multiLine", True).option("escape", '"').csv(path)
+    header = next(csv.reader([line.lstrip("\ufeff")], delimiter=sep), [])
     seen: dict[str, int] = {}
     names = []
-    for c in df.columns:
+    for c in header if len(header) == len(df.columns) else df.columns:
         bare = c.strip()
         seen[bare] = seen.get(bare, 0) + 1
         names.append(bare if seen[bare] == 1 else f"{bare}_{seen[bare]}")
@@ -167,7 +168,7 @@ def parse_tagged(files: DataFrame, key: str = "path") -> DataFrame:
     lines = F.split("part", "\n")
     body = F.filter(F.slice(lines, 2, F.size(lines)), lambda x: ~F.ltrim(x).startswith("-*"))
     themes = F.transform(F.filter(lines, lambda x: F.ltrim(x).startswith("-*")), lambda x: F.split(F.ltrim(x), r"\s+")[0])
-    return parts.select(key, "doc_no", F.trim(lines[0]).alias("header"), F.trim(F.array_join(body, "\n")).alias("text"), themes.alias("themes"))
+    return parts.select(key, "doc_no", F.trim(lines[0]).alias("header"), F.regexp_replace(F.array_join(body, "\n"), r"^\s+|\s+$", "").alias("text"), themes.alias("themes"))
 
 
 def validate_tagged(files: DataFrame, key: str = "path") -> DataFrame:
