@@ -101,7 +101,8 @@ class PairModel:
         self.score: dict[str, float] = {}
         self.likely: dict[str, float] = {}
         for xy, n in pairs.items():
-            share = n / total * math.log2(n * total / (left[xy[0]] * right[xy[1]]))
+            # an occurrence doesn't vouch for itself, so one is left out
+            share = (n - 1) / total * math.log2(n * total / (left[xy[0]] * right[xy[1]]))
             self.score[xy] = max(-3.0, min(4.0, math.log2(LOW_SHARE / share))) if share > 0 else 4.0
             self.likely[xy] = max(UNSEEN, math.log2(n / left[xy[0]]))
         for xy in [k for k in pairs if k.islower()]:  # pairs of capitals are as likely as those of small letters, but for the style
