@@ -32,6 +32,8 @@ LOW_SHARE = 1e-4
 GAIN_UTF8, GAIN, KNOWN = 0.5, 9.0, -11.0
 #: Bits a mapping must gain where no character is out of place, so that only rarity speaks for it.
 GAIN_UNSEEN = 60.0
+#: log2 p(y|x) above which, on average, a token's pairs are usual.
+USUAL = -7.0
 #: log2 p(y|x) of an unseen pair.
 UNSEEN = -20.0
 
@@ -293,7 +295,9 @@ class Judge:
             found = {}
             chars = {c for c in token if c > "\x7f"}
             before = _odd(token)
-            for name, (alphabet, undo) in MAPPINGS.items():
+            # a token whose characters are in place and whose pairs are usual has nothing to gain
+            usual = not before and self.model.bits(f" {token} ") > USUAL * (len(token) + 1)
+            for name, (alphabet, undo) in MAPPINGS.items() if not usual else ():
                 if (chars <= alphabet) if " twice" not in name and name[:5] != "utf-8" else (chars & alphabet):
                     after = undo(token)
                     if after != token:
