@@ -93,8 +93,8 @@ REPORTING = frozenset(
 _WORD_BEFORE = re.compile(r"[\w.\-ºª\u0300-\u036f\u0900-ॿ]+$")
 _WORD_AFTER = re.compile(r"[\w\u0300-\u036f\u0900-ॿ]+")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]")
-#: The abbreviation of a company's form after its name, written with a blank.
-_COMPANY = re.compile(r"[a-zà-ÿ]\s[Ss]\.\s[Aa]$")
+#: Spaced abbreviations that are no initials of a person: a company's form, or three letters and more after a small word that is no title.
+_COMPANY = re.compile(r"[a-zà-ÿα-ώа-я]\s(?:[Ss]\.\s[Aa]|(?!D\.)(?:[^\W\d_]\.\s){2,}[^\W\d_])$")
 _SMALL_START = re.compile(r"[a-zß-öø-ÿа-яα-ωά-ώ]{4,}[.!?]\s+([^\W\d_])")
 
 
@@ -307,8 +307,8 @@ def _full_stop(x: str, begin: int, at: int, k: int, nxt: str, gap: bool, loud: b
     if key in _SUPPRESS:
         return False
     if len(w) == 1 and w.isalpha() and (w.isupper() or small):
-        company = w in "Aa" and _COMPANY.search(x, max(begin, at - 60), at)
-        return bool(company) and not nxt.islower() and not loud
+        company = _COMPANY.search(x, max(begin, at - 60), at)
+        return bool(company) and (small or not nxt.islower()) and not loud
     if "." in w and _ACRONYM.fullmatch(w):
         return not nxt.islower() and not nxt.isdigit() and not loud and not small
     if nxt.islower():
