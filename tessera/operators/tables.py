@@ -19,6 +19,36 @@ def lexical_table(dtm: DataFrame, groups: DataFrame, key: str = "doc_id", min_fr
     return table.join(enough, "form", "left_semi")
 
 
+def gram_table(dtm: DataFrame, lexicon: DataFrame, groups: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``gram, grp, n``: occurrences of each grammatical class (``form, gram``) in each group; forms without a class are ``nr``."""
+    tagged = dtm.join(lexicon.select("form", "gram"), "form", "left").join(groups, key)
+    return tagged.groupBy(F.coalesce("gram", F.lit("nr")).alias("gram"), "grp").agg(F.sum("n").alias("n"))
+
+
+def lemma_postings(postings: DataFrame, lexicon: DataFrame, unit: str = "uce_id") -> DataFrame:
+    """``lemma, unit, n``: occurrences of each lemma in each unit; forms without a lemma stand for themselves."""
+    joined = postings.join(lexicon.select("form", "lemma"), "form", "left")
+    return joined.groupBy(F.coalesce("lemma", "form").alias("lemma"), unit).agg(F.sum("n").alias("n"))
+
+
+def matched_classes(first: DataFrame, second: DataFrame, n: int = 25) -> DataFrame:
+    """``class_a, class_b, jaccard``: classes of two profile tables (``class_id, form, chi2``) matched by their ``n`` strongest terms, best match first, each class once.
+
+    Classes are few, so the greedy choice is made over their pairs on the driver (at most 10,000).
+    """
+    place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("chi2"), "form"))
+    a, b = (p.withColumn("p", place).where(F.col("p") <= n).groupBy("class_id").agg(F.collect_set("form").alias("t")) for p in (first, second))
+    pairs = a.select(F.col("class_id").alias("class_a"), F.col("t").alias("ta"), F.lit(1).alias("_k")).join(b.select(F.col("class_id").alias("class_b"), F.col("t").alias("tb"), F.lit(1).alias("_k")), "_k")
+    scored = pairs.select("class_a", "class_b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).orderBy(F.desc("jaccard"), "class_a", "class_b").limit(10_000)
+    taken, used_a, used_b = [], set(), set()
+    for r in scored.collect():
+        if r.class_a not in used_a and r.class_b not in used_b:
+            used_a.add(r.class_a)
+            used_b.add(r.class_b)
+            taken.append((r.class_a, r.class_b, r.jaccard))
+    return first.sparkSession.createDataFrame(taken, "class_a int, class_b int, jaccard double")
+
+
 def presence_table(dtm: DataFrame, groups: DataFrame, key: str = "doc_id", least: int = 3) -> DataFrame:
     """``form, grp, n``: units of each group that hold the form, for forms in at least ``least`` units. ``dtm`` has a row for each (unit, form)."""
     table = dtm.join(groups, key).groupBy("form", "grp").agg(F.count("*").alias("n"))

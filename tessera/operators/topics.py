@@ -49,6 +49,20 @@ def tune(dtm: DataFrame, ks: range = range(2, 21), seed: int = 42, **options: in
     return dtm.sparkSession.createDataFrame(rows, "k int, log_perplexity double")
 
 
+def stability(dtm: DataFrame, k: int = 6, seeds: tuple[int, ...] = (1, 2, 3), n: int = 25, **options: int) -> DataFrame:
+    """``seed, topic, best``: how well each topic of the first seed is met again under the other seeds: the best weighted Jaccard of the first ``n`` terms."""
+    base = lda(dtm, k, seeds[0], **options).terms.where(F.col("place") <= n).select("topic", "form", F.col("weight").alias("w1"))
+    out = None
+    for seed in seeds[1:]:
+        other = lda(dtm, k, seed, **options).terms.where(F.col("place") <= n).select(F.col("topic").alias("o"), "form", F.col("weight").alias("w2"))
+        shared = base.join(other, "form").groupBy("topic", "o").agg(F.sum(F.least("w1", "w2")).alias("least"))
+        a, b = base.groupBy("topic").agg(F.sum("w1").alias("a")), other.groupBy("o").agg(F.sum("w2").alias("b"))
+        part = shared.join(a, "topic").join(b, "o").groupBy("topic").agg(F.max(F.col("least") / (F.col("a") + F.col("b") - F.col("least"))).alias("best"))
+        part = part.select(F.lit(seed).alias("seed"), "topic", "best")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def topic_labels(topics: Topics, n: int = 3) -> DataFrame:
     """``topic, label``: the first ``n`` terms joined by a slash."""
     first = topics.terms.where(F.col("place") <= n).groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("place", "form"))).alias("t"))

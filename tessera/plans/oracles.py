@@ -16,6 +16,7 @@ def _tok(whole: str = f"[{_LATIN}]{{3,}}") -> str:
     return f"tok as (select doc_id, unnest(w) as form, unnest(range(len(w))) as pos from (select doc_id, {_runs(whole=whole)} as w from documents))"
 
 
+_WITH_LETTER = ".*\\p{L}.*"
 TOK = _tok()
 FORMS = "forms as (select form, count(*) as freq, count(distinct doc_id) as doc_freq from tok group by form)"
 DTM = "dtm as (select doc_id, form, count(*) as n from tok group by 1, 2)"
@@ -154,7 +155,7 @@ def oracle_sql() -> dict[str, str]:
             select f.* from f where (select count(*) from f) <= 300 or freq > (select case when ties > 1 and above > 0 then t + 1 else t end from x)""",
         "dropped_forms": f"""with {_tok(f'[{_LATIN}]+')}, {FORMS}, stop(form) as (values {_STOP}), r as (select form, case when length(form) < 2 then 'invalid_token' when freq < 3 then 'below_min_freq'
             when form in (select form from stop) then 'stopword' end as reason from forms) select * from r where reason is not null""",
-        "tokenizer_counts": "select " + ", ".join(f"coalesce(sum(len({_runs(whole=w)})), 0)::bigint as {n}" for n, w in (("alpha", f"[{_LATIN}]+"), ("alpha2", f"[{_LATIN}]{{2,}}"), ("alpha3", f"[{_LATIN}]{{3,}}"), ("compound", f"[{_LATIN}]+(?:_[{_LATIN}]+)*"), ("word", ".*\\p{L}.*"), ("sent", ".{2,}"))) + " from documents",
+        "tokenizer_counts": "select " + ", ".join(f"coalesce(sum(len({_runs(whole=w)})), 0)::bigint as {n}" for n, w in (("alpha", f"[{_LATIN}]+"), ("alpha2", f"[{_LATIN}]{{2,}}"), ("alpha3", f"[{_LATIN}]{{3,}}"), ("compound", f"[{_LATIN}]+(?:_[{_LATIN}]+)*"), ("word", _WITH_LETTER), ("sent", ".{2,}"))) + " from documents",
         "folded_forms": f"with {TOK} select distinct form, {_fold('form')} as folded from tok",
         "web_free_texts": f"select doc_id, {_strip_web()} as clean from documents",
         "source_slugs": f"select distinct source, substr(regexp_replace(regexp_replace({_fold('source')}, '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) as slug from documents where source is not null",
@@ -237,6 +238,40 @@ def oracle_sql() -> dict[str, str]:
             select key, canonical, form, freq from k join g using (key)""",
         "fuzzy_levenshtein_pairs": f"""with {TOK}, f as (select distinct form, {_fold('form')} as d from tok), g as (select * from f where length(d) >= 5)
             select a.form as form_a, b.form as form_b, levenshtein(a.d, b.d) as distance from g a join g b on substr(a.d, 1, 3) = substr(b.d, 1, 3) and abs(length(a.d) - length(b.d)) <= 1 and a.form < b.form where levenshtein(a.d, b.d) <= 1""",
+        "noise_forms": f"""with {TOK}, x as (select form from tok union select replace(w, 'ς', 'σ') from (select unnest({_runs(whole=_WITH_LETTER)}) as w from documents))
+            select form from x where regexp_matches(form, '\\p{{N}}') or regexp_full_match(form, '[ivxlcdm]{{1,6}}') or length(form) <= 1 or (length(form) <= 2 and form not in ('ia', 'ai', 'uf', 'br', 'pt'))""",
+        "kwic_hits": """with w as (select doc_id, regexp_extract_all(text, '\\p{L}[\\p{L}\\p{M}\\p{N}]*(?:[''’_\\-][\\p{L}\\p{M}\\p{N}]+)*') as w from documents), p as (select doc_id, w, unnest(range(len(w))) as pos from w)
+            select doc_id, pos, w[greatest(pos - 4, 1):pos] as left_tokens, w[pos + 1] as keyword, w[pos + 2:pos + 6] as right_tokens from p where lower(w[pos + 1]) = 'sobre'""",
+        "prototypical_quadrants": f"""with w as (select list_filter({_runs(whole=f'[{_LATIN}]+')}, lambda x: length(x) > 2) as w from documents), p as (select unnest(w) as form, unnest(range(len(w))) as pos from w),
+            e as (select form, count(*) as freq, avg(pos + 1) as r from p group by form having count(*) >= 2), t as (select avg(freq) as mf, sum(freq * r) / sum(freq) as mr from e)
+            select case when freq >= mf and round(r, 1) <= mr then 'core' when freq >= mf then 'first_periphery' when round(r, 1) <= mr then 'contrast' else 'second_periphery' end as quadrant,
+                   count(*) as forms, sum(freq)::bigint as freq from e, t group by 1""",
+        "voyant_doc_terms": f"""with {TOK}, s as (select doc_id, count(*) as len from tok group by doc_id), b as (select doc_id, form, least(pos * 10 // len, 9) as bin, count(*) as n from tok join s using (doc_id) where form in ('sobre', 'entre') group by 1, 2, 3),
+            m as (select doc_id, form, sum(n)::bigint as n, max(n) as most from b group by 1, 2), x as (select m.*, r.bin as k, coalesce(b.n, 0) as v from m cross join range(10) r(bin) left join b on b.doc_id = m.doc_id and b.form = m.form and b.bin = r.bin)
+            select doc_id, form, n, string_agg(round_even(v * 9 / most, 0)::int::varchar, '' order by k) as code from x group by doc_id, form, n""",
+        "graph_components": f"""with recursive {_pairs(120)}, e as (select term_a as a, term_b as b from pairs where n > 2 union select term_b, term_a from pairs where n > 2),
+            r(node, root) as (select distinct a, a from e union select e.b, r.root from r join e on e.a = r.node) select node, min(root) as component from r group by node""",
+        "gram_by_loc": f"""with {TOK}, {DTM}, {META}, {LOC}, l(form, gram) as (values ('sobre', 'pre'), ('entre', 'pre'), ('com', 'pre'), ('que', 'pro'))
+            select coalesce(gram, 'nr') as gram, grp, sum(n)::bigint as n from dtm left join l using (form) join loc using (doc_id) group by 1, 2""",
+        "word_cloud": f"""with {TOK}, {FORMS}, stop(form) as (values {_STOP}) select form, freq, doc_freq from forms where freq >= 3 and length(form) >= 3 and not regexp_matches(form, '\\p{{N}}') and form not in (select form from stop)
+            order by freq desc, form limit 100""",
+        "crossed_classifications": f"""with {META}, t as (select a.value as form, b.value as grp, count(*) as n from meta a join meta b using (doc_id) where a.variable = 'loc' and b.variable = 'idade' group by 1, 2), {_MARGINS},
+            s as (select form as class_a, grp as class_b, n, {_chi2()} as chi2 from m) select * from s where chi2 > 3.84""",
+        "candidate_concepts": f"""with {TOK}, {DTM}, d as (select count(distinct doc_id) as c from dtm), s as (select form, sum(n)::bigint as freq, count(*) as docs, max(n) as most from dtm group by form having sum(n) >= 3),
+            x as (select form, freq, docs / c as dispersion, most / freq as dominance, least(1.0, length(regexp_replace(form, '\\p{{L}}', '', 'g')) / length(form) + case when length(form) < 4 then 0.3 else 0 end) as noise from s, d)
+            select *, freq * greatest(0.1, 0.42 + 0.9 * dispersion + 0.18 * (1 - dominance)) * greatest(0.05, 1 - noise) as score from x""",
+        "word_tree": f"""with w as (select {_runs(whole=f'[{_LATIN}]+(?:_[{_LATIN}]+)*')} as w from documents), h as (select w, unnest(range(len(w))) as p from w), k as (select w, p from h where w[p + 1] = 'sobre'),
+            s as (select 'right' as side, w[p + 2:p + 5] as t from k union all select 'left', list_reverse(w[greatest(p - 3, 1):p]) from k),
+            n as (select side, array_to_string(t[1:j], ' ') as path, j from (select side, t, unnest(range(1, len(t) + 1)) as j from s)), c as (select side, path, count(*) as freq, any_value(j) as j from n group by 1, 2 having count(*) >= 2)
+            select side, path, freq from (select *, row_number() over (partition by side order by freq desc, j, path) as r from c) where r <= 120""",
+        "multiword_candidates": f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as line from documents), w as (select doc_id, {_runs('line', f'[{_LATIN}]{{2,}}')} as w from l),
+            s as (select unnest(w) as form from w), f as (select form, count(*)::double as c from s group by form), t as (select count(*)::double as total from s),
+            b as (select w[i + 1] as w1, w[i + 2] as w2, null as w3, 2 as n, doc_id, i from (select doc_id, w, unnest(range(greatest(len(w) - 1, 0))) as i from w)
+                  union all select w[i + 1], w[i + 2], w[i + 3], 3, doc_id, i from (select doc_id, w, unnest(range(greatest(len(w) - 2, 0))) as i from w)),
+            c as (select w1, w2, w3, n, count(*) as freq, count(distinct doc_id) as doc_count, count(*) filter (i = 0) as line_starts from b group by 1, 2, 3, 4 having count(*) >= 3 and count(distinct doc_id) >= 2 and (n = 2 or count(*) filter (i = 0) > 0)),
+            r as (select concat_ws(' ', w1, w2, w3) as expr, c.n, freq, doc_count, line_starts, freq * (freq / greatest(x.c, y.c, coalesce(z.c, 0))) * (ln(1 + total / x.c) + ln(1 + total / y.c) + coalesce(ln(1 + total / z.c), 0)) * c.n as score
+                  from c join f x on x.form = w1 join f y on y.form = w2 left join f z on z.form = w3 cross join t)
+            select *, score / max(score) over () as norm from r""",
         "stream_event_counts": "select event_type, count(*) as n, round(sum(value), 4) as value from events group by event_type",
         "stream_daily_counts": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2",
     }

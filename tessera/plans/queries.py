@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions.indices import INDICES
 from tessera.functions.tokenizers import tokenize, tokens
-from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, ngrams, phrases, reinert, segments, small_graph, tables, topics
+from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, network, ngrams, phrases, reinert, segments, small_graph, tables, topics
 from tessera.session import spread, table, written
 from tessera.sources import readers
 from tessera.streaming import counts
@@ -146,7 +146,9 @@ def tokenizer_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def noise_forms(s: SparkSession, d: str) -> DataFrame:
-    return toks(s, d).unionByName(tokens(docs(s, d), "word")).select("form").distinct().where(T.is_noise(F.col("form")))
+    # engines differ in the small sigma at the end of a capital word, so both are written alike
+    forms = toks(s, d).unionByName(tokens(docs(s, d), "word")).select(F.translate("form", "ς", "σ").alias("form"))
+    return forms.distinct().where(T.is_noise(F.col("form")))
 
 
 @query
@@ -530,6 +532,67 @@ def budget_network(s: SparkSession, d: str) -> DataFrame:
     return graph.budget_edges(cooccurrence.ppmi(cooccurrence.presence(units(s, d), unit_vocabulary(s, d, 200)), most=2000), 60)
 
 
+def _windowed(s: SparkSession, d: str) -> DataFrame:
+    words = docs(s, d).select(tokenize(F.col("text"), "alpha3").alias("w"))
+    return written(cooccurrence.windowed(words, 5).where("n_pairs >= 3"), "windowed")
+
+
+@query
+def text_network(s: SparkSession, d: str) -> DataFrame:
+    n = toks(s, d).count()
+    return network.word_network(_windowed(s, d), network.thresholds(n))
+
+
+@query
+def balanced_network(s: SparkSession, d: str) -> DataFrame:
+    return network.balanced(edges(s, d))
+
+
+@query
+def bridged_network(s: SparkSession, d: str) -> DataFrame:
+    raw = edges(s, d)
+    strong = graph.strong_edges(raw, raw.agg(F.percentile_approx("weight", 0.995, 10_000)).first()[0])
+    return network.bridged(network.reinforced(strong, raw), raw)
+
+
+@query
+def candidate_concepts(s: SparkSession, d: str) -> DataFrame:
+    return network.candidate_words(dtm(s, d))
+
+
+@query
+def concept_words(s: SparkSession, d: str) -> DataFrame:
+    e = written(graph.best_edges(edges(s, d), 4), "edges")
+    p = table(s, d, "postings").where("uce_id is not null").groupBy("uce_id", "form").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    return network.concept_confidence(e, small_graph.louvain(e), network.candidate_words(p, "uce_id"), 0.5)
+
+
+@query
+def source_clusters(s: SparkSession, d: str) -> DataFrame:
+    g = source_key(table(s, d, "documents")).select("doc_id", "source_key").where("source_key is not null")
+    cells = dtm(s, d).join(g, "doc_id").groupBy("source_key", "form").agg(F.sum("n").alias("n"))
+    return network.hierarchical(cells, "source_key", "form", "n", 4)
+
+
+@query
+def gram_by_loc(s: SparkSession, d: str) -> DataFrame:
+    lex = s.createDataFrame([("sobre", "pre"), ("entre", "pre"), ("com", "pre"), ("que", "pro")], "form string, gram string")
+    return tables.gram_table(dtm(s, d), lex, loc_groups(s, d))
+
+
+@query
+def word_cloud(s: SparkSession, d: str) -> DataFrame:
+    forms = corpus.form_counts(toks(s, d)).where(lexicon.is_content(F.col("form")) & (F.col("freq") >= 3) & ~F.col("form").isin(*lexicon.STOPWORDS))
+    return corpus.top_forms(forms, 100)
+
+
+@query
+def crossed_classifications(s: SparkSession, d: str) -> DataFrame:
+    m = meta(s, d)
+    a, b = (m.where(f"variable = '{v}'").select(F.col("doc_id").alias("uce_id"), F.col("value").alias("class_id")) for v in ("loc", "idade"))
+    return tables.crossed_classes(a, b)
+
+
 # classification and axes ---------------------------------------------------------------------------------------------------------------------
 
 
