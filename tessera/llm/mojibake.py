@@ -252,7 +252,7 @@ MAPPINGS |= {f"{w} as {r}": (frozenset(charset(r)) | frozenset(map(chr, range(12
 
 def _odd(token: str) -> int:
     """Characters that don't belong where they stand: symbols or control codes between letters, a capital after a small letter, scripts mixed in a word."""
-    n = 0
+    n, worded = 0, any(map(str.isalpha, token))
     for x, y, z in zip(" " + token, token, token[1:] + " "):
         if y < "\x80":
             continue
@@ -261,7 +261,7 @@ def _odd(token: str) -> int:
         if "\x80" <= y < "\xa0":
             n += 1
         elif not letter:
-            n += x.isalpha() and z.isalpha() or beside and y in _SYMBOLS
+            n += x.isalpha() and z.isalpha() or worded and y in _SYMBOLS
         elif y.isupper() and x.islower() or x > "\x7f" and x.islower() and z.isupper():
             n += 1
         elif beside and _script(y) and any(_script(c) and _script(c) != _script(y) for c in (x, z) if c.isalpha()):
@@ -269,8 +269,8 @@ def _odd(token: str) -> int:
     return n
 
 
-#: Symbols that don't stand beside a letter in running text.
-_SYMBOLS = frozenset("√≈∂ƒ∆Ωπ∫∑∏◊¬¦¨¯´¸¤¢£¥§¶†‡•°±²³¹½¼¾÷×µ©®™ˆ˜˘˙˚˝˛ˇ") | frozenset(map(chr, range(0x2500, 0x25A1))) | {"\uf8ff"}
+#: Symbols that don't stand in a word of running text.
+_SYMBOLS = frozenset("√≈∂ƒ∆Ωπ∫∑∏◊¬¦¨¯´¸¤¢£¥§¶†‡•°±²³¹½¼¾÷×µ©®™ˆ˜˘˙˚˝˛ˇ") | frozenset(map(chr, [*range(0x2300, 0x2400), *range(0x2500, 0x25A1)])) | {"\uf8ff"}
 
 
 def _script(c: str) -> str:
