@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.indices import ALIASES, FULL, index
+from tessera.session import paired
 
 
 def windowed(words: DataFrame, window: int = 5, column: str = "w") -> DataFrame:
@@ -54,9 +55,8 @@ def contingency(units: DataFrame, vocabulary: DataFrame, unit: str = "uce_id", f
     if full:
         if vocabulary.count() > most:
             raise ValueError(f"indices over all pairs need a vocabulary of at most {most} terms")
-        one = totals.withColumn("_one", F.lit(1))
-        left = one.select("_one", F.col(form).alias("term_a"), F.col("k").alias("ka"))
-        every = left.join(one.select("_one", F.col(form).alias("term_b"), F.col("k").alias("kb")), "_one").where("term_a < term_b").drop("_one")
+        left, right = totals.select(F.col(form).alias("term_a"), F.col("k").alias("ka")), totals.select(F.col(form).alias("term_b"), F.col("k").alias("kb"))
+        every = paired(left, right).where("term_a < term_b")
         cells = every.join(meets, ["term_a", "term_b"], "left").fillna(0, ["n"])
     else:
         cells = meets.join(totals.select(F.col(form).alias("term_a"), F.col("k").alias("ka")), "term_a").join(totals.select(F.col(form).alias("term_b"), F.col("k").alias("kb")), "term_b")
@@ -99,8 +99,8 @@ def labbe(dtm: DataFrame, key: str = "doc_id") -> DataFrame:
     """
     dtm, key = dtm.select(F.col(key).alias("_text"), "form", "n"), "_text"
     sizes = dtm.groupBy(key).agg(F.sum("n").alias("size"))
-    one = sizes.withColumn("_k", F.lit(1))
-    pairs = one.select("_k", F.col(key).alias("text_1"), F.col("size").alias("n1")).join(one.select("_k", F.col(key).alias("text_2"), F.col("size").alias("n2")), "_k").where("text_1 < text_2").drop("_k")
+    left, right = sizes.select(F.col(key).alias("text_1"), F.col("size").alias("n1")), sizes.select(F.col(key).alias("text_2"), F.col("size").alias("n2"))
+    pairs = paired(left, right).where("text_1 < text_2")
     scale1, scale2 = F.when(F.col("n1") > F.col("n2"), F.col("n2") / F.col("n1")).otherwise(1.0), F.when(F.col("n1") > F.col("n2"), 1.0).otherwise(F.col("n1") / F.col("n2"))
     scaled = pairs.withColumn("u1", scale1).withColumn("u2", scale2)
     # forms in both: one equi join; what is in one text only follows from that text's totals per scale

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.measures import chi2_p, per, signed_chi2, signed_g2, signed_hypergeometric
+from tessera.session import paired
 
 
 
@@ -38,7 +39,7 @@ def matched_classes(first: DataFrame, second: DataFrame, n: int = 25) -> DataFra
     """
     place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("chi2"), "form"))
     a, b = (p.withColumn("p", place).where(F.col("p") <= n).groupBy("class_id").agg(F.collect_set("form").alias("t")) for p in (first, second))
-    pairs = a.select(F.col("class_id").alias("class_a"), F.col("t").alias("ta"), F.lit(1).alias("_k")).join(b.select(F.col("class_id").alias("class_b"), F.col("t").alias("tb"), F.lit(1).alias("_k")), "_k")
+    pairs = paired(a.select(F.col("class_id").alias("class_a"), F.col("t").alias("ta")), b.select(F.col("class_id").alias("class_b"), F.col("t").alias("tb")))
     scored = pairs.select("class_a", "class_b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).orderBy(F.desc("jaccard"), "class_a", "class_b").limit(10_000)
     taken, used_a, used_b = [], set(), set()
     for r in scored.collect():
@@ -119,8 +120,7 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
     cells = clean.groupBy("row", "col").agg(F.count("*").alias("n"))
     rows, cols = cells.groupBy("row").agg(F.sum("n").alias("row_total")), cells.groupBy("col").agg(F.sum("n").alias("col_total"))
     total = rows.agg(F.sum("row_total")).scalar()
-    every = rows.withColumn("_one", F.lit(1)).join(cols.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    full = every.join(cells, ["row", "col"], "left").fillna(0, ["n"]).withColumn("total", total)
+    full = paired(rows, cols).join(cells, ["row", "col"], "left").fillna(0, ["n"]).withColumn("total", total)
     expected = F.col("row_total") * F.col("col_total") / F.col("total")
     return full.withColumn("expected", expected).withColumn("residual", (F.col("n") - F.col("expected")) / F.sqrt(F.greatest(F.col("expected"), F.lit(1e-12))))
 

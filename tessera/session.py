@@ -10,6 +10,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -61,3 +62,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
+def paired(left: DataFrame, right: DataFrame, salts: int = 32) -> DataFrame:
+    """Every row of ``left`` with every row of ``right``, two bounded tables (categories, a capped vocabulary): an equi join on a salt, so the pairs spread over ``salts`` tasks."""
+    a = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int"))
+    b = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return a.join(b, "_salt").drop("_salt")
