@@ -131,6 +131,22 @@ def _strip_web() -> str:
     return _squash(f"regexp_replace({x}, '(^|[^\\w])@\\w+', '\\1 ', 'g')")
 
 
+#: Columns of floating numbers by query; both sides round them to six digits.
+FLOATS = {
+    "corpus_statistics": ("mean_tokens", "richness"), "dtm_stats": ("sparsity", "mean_doc_length", "mean_term_freq"), "postings_stats": ("sparsity", "mean_doc_length", "mean_term_freq"),
+    "specificity_chi2_loc": ("score", "per_thousand"), "specificity_top_loc": ("score",), "chronological_specificity": ("score",), "metadata_profile_chi2": ("score",), "keyness_g2": ("score", "norm_a", "norm_b"),
+    "keyness_chi2": ("score", "norm_a", "norm_b"), "matrix_frequency": ("percent",), "matrix_chi2": ("chi2",), "matrix_chi2_cells": ("expected", "residual"), "matrix_similarity": ("value",),
+    "partition_agreement": ("ari", "nmi"), "dispersion_juilland": ("juilland_d",), "rolling_ratio": ("value",), "xray": ("rel_pos",), "voyant_trends": ("per_thousand",), "evocation_rank": ("mean_rank",),
+    "ppmi_pairs": ("ppmi",), "labbe_distance": ("distance",), "degree_centrality": ("strength",), "graph_summary": ("density", "mean_degree"), "segment_class_profiles": ("chi2",),
+    "sentiment_distribution": ("percent",), "emotion_totals": ("percent",), "crossed_classifications": ("chi2",), "candidate_concepts": ("dispersion", "dominance", "noise", "score"),
+    "multiword_candidates": ("score", "norm"), "stream_event_counts": ("value",),
+}
+
+
+def _rounded(sql: str, columns: tuple[str, ...]) -> str:
+    return f"select * replace ({', '.join(f'round({c}::double, 6) + 0.0 as {c}' for c in columns)}) from ({sql})"
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "corpus_statistics": f"""with {TOK}, {FORMS}, c as (select count(*) as n_forms, coalesce(sum(freq), 0)::bigint as n_occurrences, count(*) filter (freq = 1) as n_hapax from forms),
@@ -275,4 +291,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_event_counts": "select event_type, count(*) as n, round(sum(value), 4) as value from events group by event_type",
         "stream_daily_counts": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2",
     }
+    sql = {name: _rounded(text, FLOATS[name]) if name in FLOATS else text for name, text in sql.items()}
     return sql | {f"similitude_{name}": _similitude(name) for name in _INDEX}

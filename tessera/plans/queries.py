@@ -11,6 +11,7 @@ from tessera.functions import text as T
 from tessera.functions.indices import INDICES
 from tessera.functions.tokenizers import tokenize, tokens
 from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, network, ngrams, phrases, reinert, segments, small_graph, tables, topics
+from tessera.plans.oracles import FLOATS
 from tessera.session import spread, table, written
 from tessera.sources import readers
 from tessera.streaming import counts
@@ -700,6 +701,17 @@ def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
     return s.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _rounded(f: Query, columns: tuple[str, ...]) -> Query:
+    def run(s: SparkSession, d: str) -> DataFrame:
+        return f(s, d).withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
+
+    return run
+
+
+for _name, _columns in FLOATS.items():
+    QUERIES[_name] = _rounded(QUERIES[_name], _columns)
+
+
 def entry(s: SparkSession, d: str) -> DataFrame:
     """The flagship: the 50 most frequent terms with their document frequency, their dispersion and whether they are hapaxes."""
     d_counts = dtm(s, d)
