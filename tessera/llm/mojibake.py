@@ -1,11 +1,11 @@
 """Garbled text from wrong character encoding: find it, and restore the original where possible.
 
-1. Adjacent character pairs of the whole corpus are counted (combined per batch, then summed). A pair's score is its share in the corpus' mutual information,
+1. Adjacent character pairs of the corpus' distinct texts are counted (combined per batch, then summed), so copies of a text don't vouch for each other. A pair's score is its share in the corpus' mutual information,
    p(xy) log2(p(xy) / p(x)p(y)): pairs below ``LOW_SHARE`` score positive, others negative, on a clipped log scale.
 2. In each text the maximum-scoring segments of pair scores (Ruzzo-Tompa) are the improbable runs; a run is widened to the tokens it touches.
-3. Only inside the runs the inverse mappings are tested: text read in a wrong charset is encoded back and read in the right one. A mapping holds if the pairs it yields
-   are known and their log-likelihood under the corpus gains enough bits over those found. Runs with replacement characters, question marks for letters
-   or control codes are garbled too, though beyond restoring.
+3. Inside the runs the inverse mappings are tested: text read in a wrong charset is encoded back and read in the right one. A mapping holds if the pairs it yields
+   are known and their log-likelihood under the corpus gains enough bits over those found. Tokens with UTF-8 sequences are tested for these wherever they stand, so a corpus
+   in which garbling is usual hides none. Texts with replacement characters or control codes anywhere, or question marks for letters in a run, are garbled too, though beyond restoring.
 
 The pair table that goes to the workers holds pairs with p(xy) >= ``FLOOR`` only, so it has at most 1 / ``FLOOR`` rows whatever the corpus.
 """
@@ -39,6 +39,8 @@ UNSEEN = -20.0
 
 #: Charsets in which UTF-8 may have been read.
 UTF8_READ_AS = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1250", "cp1251", "cp1253", "koi8-r", "cp866", "cp1254", "cp1257", "cp852", "iso8859-7", "mac_greek", "mac_cyrillic", "gb18030", "shift_jis", "big5")
+#: Those of them where a character takes several bytes.
+WIDE = ("gb18030", "shift_jis", "big5")
 #: Pairs (read as, written in) of charsets of one byte a character.
 READ_AS = (
     ("cp1252", "mac_roman"), ("mac_roman", "cp1252"), ("cp1252", "cp850"), ("cp850", "cp1252"), ("cp437", "cp1252"), ("cp1252", "cp437"), ("cp1252", "cp1253"),
@@ -91,6 +93,22 @@ _LOST = re.compile(r"�|[\x80-\x84\x86-\x9f]")
 _ASKED = re.compile(r"[^\W\d_]\?+[a-zß-öø-ÿ]")
 
 
+@lru_cache(maxsize=None)
+def _utf8_tokens() -> re.Pattern:
+    """Tokens that may hold a UTF-8 sequence read in one of the charsets; which one, if any, the mappings tell."""
+    return re.compile(rf"[^ \t\n\r\f\v]*(?:{'|'.join(dict.fromkeys(_utf8_pair(r) for r in UTF8_READ_AS if r not in WIDE))})[^ \t\n\r\f\v]*")
+
+
+def _utf8_pair(name: str) -> str:
+    """A lead of a UTF-8 sequence and the first of its tail, as they look when read in a charset, also in small letters."""
+    upper = charset(name)
+    sides = []
+    for a, b in ((0xC2, 0xF4), (0x80, 0xBF)):
+        found = {upper[x - 128] for x in range(a, b + 1)} | ({chr(x) for x in range(a, b + 1) if x < 160} if name != "latin-1" else set())
+        sides.append(found | {c.lower() for c in found if len(c.lower()) == 1})
+    return "".join("[" + re.escape("".join(sorted(x))) + "]" for x in sides)
+
+
 class PairModel:
     """Scores of adjacent character pairs."""
 
@@ -168,7 +186,7 @@ def _as_bytes(text: str, read: str) -> bytes | None:
 
 def undo_utf8(text: str, read: str) -> str:
     """UTF-8 sequences within a text that was read in ``read`` made characters again."""
-    if read in ("gb18030", "shift_jis", "big5"):
+    if read in WIDE:
         return _undo_wide(text, read)
 
     def back(m: re.Match) -> str:
@@ -237,7 +255,7 @@ def _twice(text: str, read: str) -> str:
 
 def _leads(read: str) -> frozenset[str]:
     """Characters that a UTF-8 sequence read in a charset can start with."""
-    if read in ("gb18030", "shift_jis", "big5"):
+    if read in WIDE:
         return frozenset(map(chr, range(0x2E80, 0xFFEF)))
     leads = charset(read)[0x42:0x75]
     return frozenset(leads + leads.lower())
@@ -326,15 +344,27 @@ class Judge:
             return 0.0
         return new - self.model.bits(a)
 
-    def best(self, tokens: list[tuple[int, int, str]]) -> tuple[str, list[tuple[int, int, str]]] | None:
+    def utf8_options(self, token: str) -> dict[str, tuple[str, float, int]]:
+        """The options of a token outside the runs: UTF-8 sequences that mend odd characters."""
+        return {k: v for k, v in self.options(token).items() if k[:5] == "utf-8" and v[2] > 0}
+
+    def tokens(self, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str, bool]]:
+        """``start, end, token, in a run`` of the tokens to test, in order."""
+        found = {m.start(): (m.start(), m.end(), m.group(), True) for a, b in runs for m in _TOKEN.finditer(text, a, b) if not m.group().isascii()}
+        for m in _utf8_tokens().finditer(text):
+            if m.start() not in found and self.utf8_options(m.group()):
+                found[m.start()] = (m.start(), m.end(), m.group(), False)
+        return [found[k] for k in sorted(found)]
+
+    def best(self, tokens: list[tuple[int, int, str, bool]]) -> tuple[str, list[tuple[int, int, str]]] | None:
         """The mapping that gains most over a stretch of the tokens, and what it makes of them; None if none gains enough."""
-        options = [self.options(t) for *_, t in tokens]
+        options = [self.options(t) if inside else self.utf8_options(t) for *_, t, inside in tokens]
         best, most, pieces = "", 0.0, []
         for name in dict.fromkeys(k for o in options for k in o):
             total, mended, start, top = 0.0, 0, 0, (0.0, 0, 0, 0)
             for k, o in enumerate(options):
                 hit = o.get(name)
-                total, mended = (total + hit[1], mended + hit[2]) if hit else (total - 4.0, mended)
+                total, mended = (total + hit[1], mended + hit[2]) if hit else (total - 4.0 * tokens[k][3], mended)
                 if total <= 0:
                     total, mended, start = 0.0, 0, k + 1
                 elif total > top[0]:
@@ -343,7 +373,7 @@ class Judge:
             enough = (GAIN_UTF8 if name[:5] == "utf-8" else GAIN) if mended > 0 else GAIN_UNSEEN
             if total >= enough and total > most:
                 best, most = name, total
-                pieces = [(x, y, o[name][0]) for (x, y, _), o in zip(tokens[a:b], options[a:b]) if name in o]
+                pieces = [(x, y, o[name][0]) for (x, y, *_), o in zip(tokens[a:b], options[a:b]) if name in o]
         return (best, pieces) if best else None
 
     def inspect(self, text: str | None) -> tuple[str, str | None] | None:
@@ -354,7 +384,7 @@ class Judge:
         kinds: list[str] = []
         restored = text
         for _ in range(3):  # a text may be garbled twice, or in two ways
-            tokens = [(m.start(), m.end(), m.group()) for a, b in runs for m in _TOKEN.finditer(restored, a, b) if not m.group().isascii()]
+            tokens = self.tokens(restored, runs)
             found = self.best(tokens) if tokens else None
             if not found:
                 break
@@ -365,10 +395,9 @@ class Judge:
                 at = b
             restored = "".join([*out, restored[at:]])
             runs = self.model.runs(restored)
-        inside = [restored[a:b] for a, b in runs]
-        if any(_LOST.search(x) for x in inside):
+        if _LOST.search(restored):
             kinds.append("lost characters")
-        elif any(_ASKED.search(x) for x in inside):
+        elif any(_ASKED.search(restored[a:b]) for a, b in runs):
             kinds.append("question marks for letters")
         if not kinds:
             return None
@@ -393,8 +422,8 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 
 def pair_model(texts: DataFrame) -> PairModel:
-    """The model of all texts in the first column."""
-    counts = texts.mapInArrow(_count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    """The model of the distinct texts in the first column."""
+    counts = spread(texts.distinct()).mapInArrow(_count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)))
     kept = counts.where(F.col("n") >= F.lit(FLOOR) * total.scalar()).toPandas()  # at most 1 / FLOOR rows
     n = int(kept.n.sum()) if len(kept) else 0

@@ -143,6 +143,25 @@ def test_garbled_rows(spark):
     assert tokens == ["não", "x"] and len(MAPPINGS) > 50
 
 
+def test_copies_of_a_garbled_text_do_not_hide_it(spark):
+    clean = [f"{x} {y}" for x in CLEAN for y in CLEAN]
+    bad = [CLEAN[1].encode().decode("cp1252", "replace"), "Não h� inform�ção", CLEAN[0].encode("ascii", "replace").decode(), CLEAN[0].encode().decode("cp1252")]
+    rows = [("t", k, c) for k, c in enumerate(clean)] + [("t", 1000 * (k + 1) + n, c) for k, c in enumerate(bad) for n in range(500)]
+    got = {r.row_key for r in garbled(spark.createDataFrame(rows, "tab string, row_key bigint, text string")).collect()}
+    assert got == {k for _, k, _ in rows if k >= 1000}
+
+
+def test_usual_garbling_is_found():
+    bad = CLEAN[0].encode().decode("cp1252")
+    counts = Counter()
+    for t in [*CLEAN * 40, *[bad, "Não h� inform�ção", "Sim, n\x93o"] * 40]:
+        t = f" {t} "
+        counts.update(map(str.__add__, t, t[1:]))
+    judge = Judge(PairModel(counts, sum(counts.values())))
+    assert judge.inspect(bad)[1] == CLEAN[0]
+    assert judge.inspect("Não h� inform�ção") == judge.inspect("Sim, n\x93o") == ("lost characters", None)
+
+
 # problem 4
 
 
