@@ -32,8 +32,6 @@ LOW_SHARE = 1e-4
 GAIN_UTF8, GAIN, KNOWN = 0.5, 9.0, -11.0
 #: Bits a mapping must gain where no character is out of place, so that only rarity speaks for it.
 GAIN_UNSEEN = 60.0
-#: log2 p(y|x) above which, on average, a token's pairs are usual.
-USUAL = -7.0
 #: log2 p(y|x) of an unseen pair.
 UNSEEN = -20.0
 
@@ -90,13 +88,14 @@ def _single(read: str, written: str) -> dict[int, str]:
 #: Unicode blanks that a garbled text holds in place of a byte, so no token ends there.
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 _LOST = re.compile(r"�|[\x80-\x84\x86-\x9f]")
+_BROKEN = re.compile(r"[\x80-\x9f\ufffd]")
 _ASKED = re.compile(r"[^\W\d_]\?+[a-zß-öø-ÿ]")
 
 
 @lru_cache(maxsize=None)
-def _utf8_tokens() -> re.Pattern:
-    """Tokens that may hold a UTF-8 sequence read in one of the charsets; which one, if any, the mappings tell."""
-    return re.compile(rf"[^ \t\n\r\f\v]*(?:{'|'.join(dict.fromkeys(_utf8_pair(r) for r in UTF8_READ_AS if r not in WIDE))})[^ \t\n\r\f\v]*")
+def _utf8_pairs() -> re.Pattern:
+    """What a UTF-8 sequence read in one of the charsets may start with; which one, if any, the mappings tell."""
+    return re.compile(rf"(?=[^\x00-\x7f])(?:{'|'.join(dict.fromkeys(_utf8_pair(r) for r in UTF8_READ_AS if r not in WIDE))})")
 
 
 def _utf8_pair(name: str) -> str:
@@ -267,6 +266,9 @@ MAPPINGS |= {f"utf-8 as {r} twice": (_leads(r), lambda t, r=r: _twice(t, r)) for
 MAPPINGS |= {f"{w} as {r}": (frozenset(charset(r)), lambda t, r=r, w=w: _undo_single(t, r, w)) for r, w in READ_AS}
 MAPPINGS |= {f"{w} as {r}": (frozenset(charset(r)) | frozenset(map(chr, range(128, 160))), lambda t, r=r, w=w: _undo_to_wide(t, r, w)) for r, w in WIDE_READ_AS}
 
+#: Those that don't look for UTF-8 in a charset of one byte a character.
+NOT_UTF8 = {k: v for k, v in MAPPINGS.items() if k[:5] != "utf-8" or k.split()[2] in WIDE}
+
 
 def _odd(token: str) -> int:
     """Characters that don't belong where they stand: symbols or control codes between letters, a capital after a small letter, scripts mixed in a word."""
@@ -313,9 +315,9 @@ class Judge:
             found = {}
             chars = {c for c in token if c > "\x7f"}
             before = _odd(token)
-            # a token whose characters are in place and whose pairs are usual has nothing to gain
-            usual = not before and self.model.bits(f" {token} ") > USUAL * (len(token) + 1)
-            for name, (alphabet, undo) in MAPPINGS.items() if not usual else ():
+            # without a lead and a tail side by side no mapping of UTF-8 changes anything
+            mappings = MAPPINGS if _utf8_pairs().search(token) else NOT_UTF8
+            for name, (alphabet, undo) in mappings.items():
                 if (chars <= alphabet) if " twice" not in name and name[:5] != "utf-8" else (chars & alphabet):
                     after = undo(token)
                     if after != token:
@@ -329,7 +331,7 @@ class Judge:
 
     def gain(self, before: str, after: str) -> float:
         """Bits gained by a change; 0 if what it makes is itself improbable. The blanks around the token count."""
-        if not after or any("\x80" <= c < "\xa0" or c == "\ufffd" for c in after):
+        if not after or _BROKEN.search(after):
             return 0.0
         a, b = f" {before} ", f" {after} "
         i = 1
@@ -345,14 +347,15 @@ class Judge:
         return new - self.model.bits(a)
 
     def utf8_options(self, token: str) -> dict[str, tuple[str, float, int]]:
-        """The options of a token outside the runs: UTF-8 sequences that mend odd characters."""
-        return {k: v for k, v in self.options(token).items() if k[:5] == "utf-8" and v[2] > 0}
+        """The options of a token outside the runs: UTF-8 sequences. Those that mend no odd character gain nothing by themselves; they go with others."""
+        return {k: v if v[2] > 0 else (v[0], 0.0, v[2]) for k, v in self.options(token).items() if k[:5] == "utf-8"}
 
     def tokens(self, text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int, str, bool]]:
         """``start, end, token, in a run`` of the tokens to test, in order."""
         found = {m.start(): (m.start(), m.end(), m.group(), True) for a, b in runs for m in _TOKEN.finditer(text, a, b) if not m.group().isascii()}
-        for m in _utf8_tokens().finditer(text):
-            if m.start() not in found and self.utf8_options(m.group()):
+        pairs = _utf8_pairs()
+        for m in _TOKEN.finditer(text) if pairs.search(text) else ():
+            if m.start() not in found and pairs.search(m.group()) and self.utf8_options(m.group()):
                 found[m.start()] = (m.start(), m.end(), m.group(), False)
         return [found[k] for k in sorted(found)]
 
@@ -373,7 +376,7 @@ class Judge:
             enough = (GAIN_UTF8 if name[:5] == "utf-8" else GAIN) if mended > 0 else GAIN_UNSEEN
             if total >= enough and total > most:
                 best, most = name, total
-                pieces = [(x, y, o[name][0]) for (x, y, *_), o in zip(tokens[a:b], options[a:b]) if name in o]
+                pieces = [(x, y, o[name][0]) for k, ((x, y, _, inside), o) in enumerate(zip(tokens, options)) if name in o and (a <= k < b or mended > 0 and not inside)]
         return (best, pieces) if best else None
 
     def inspect(self, text: str | None) -> tuple[str, str | None] | None:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.containers import fill_containers, fill_report, pack
 from tessera.llm.mixture import Mixture, quality_weight
-from tessera.llm.mojibake import MAPPINGS, Judge, PairModel, garbled, maximal_segments, restored_tokens, undo_utf8
+from tessera.llm.mojibake import MAPPINGS, NOT_UTF8, Judge, PairModel, _utf8_pairs, garbled, maximal_segments, restored_tokens, undo_utf8
 from tessera.llm.pair_table import PairTable
 from tessera.llm.sentences import sentence_spans, sentences
 from tessera.llm.split_records import boundaries, current_settings, cut, split_records
@@ -162,6 +162,25 @@ def test_usual_garbling_is_found():
     assert judge.inspect("Não h� inform�ção") == judge.inspect("Sim, n\x93o") == ("lost characters", None)
 
 
+def test_usual_tokens_are_restored_too():
+    clean = ["Vou à câmara à tarde", "à noite às três", "Não vai à praia à noite", "Já às nove fui à câmara"]
+    bad = [t.encode().decode("latin-1") for t in clean]
+    counts = Counter()
+    for t in CLEAN * 20 + clean * 60 + bad * 30:
+        t = f" {t} "
+        counts.update(map(str.__add__, t, t[1:]))
+    judge = Judge(PairModel(counts, sum(counts.values())))
+    assert judge.model.bits(" Ã\xa0 ") > -7 * 3  # usual in this corpus
+    assert [judge.inspect(t)[1] for t in bad] == clean
+
+
+def test_mappings_left_out_change_nothing(judge):
+    words = {w for t in CLEAN for r in ("cp1252", "latin-1", "mac_roman", "cp437", "cp1251", "koi8-r") for w in [*t.split(), *t.encode().decode(r, "ignore").split()]}
+    for w in words | {w.lower() for w in words}:
+        for name in set(MAPPINGS) - set(NOT_UTF8):
+            assert _utf8_pairs().search(w) or MAPPINGS[name][1](w) == w, (w, name)
+
+
 # problem 4
 
 
