@@ -1,8 +1,8 @@
 """Descending hierarchical classification of segments (Reinert) on the presence table ``uce_id, form``.
 
-A node is split along the first axis of its correspondence analysis: the axis by power iteration on the presence table, the units cut into ``bins`` ranges of their
-coordinate, prefix sums of term counts over the ranges, the cut with the greatest chi-square. Units then move to the other side while the chi-square grows. All passes
-over units are joins and aggregations; what reaches the driver is a few rows a pass. With at most ``bins`` units every cut is tried.
+A node is split along the first axis of its correspondence analysis: the axis by power iteration on the presence table, the units in the order of their coordinate,
+prefix sums of term counts over the units, of all cuts the one with the greatest chi-square. Units then move to the other side while the chi-square grows. Small nodes are
+split in one task, large ones by joins and aggregations of which a few rows a pass reach the driver; start, rounds, cuts and moves are the same.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ from tessera.session import written
 
 #: Nodes up to this many cells are split within one task.
 KERNEL_CELLS = 2_000_000
+#: Rounds of the power iteration and of moves, in one task and by distributed passes alike.
+ROUNDS, REFINE = 60, 8
+#: Decimals of coordinates and shares, and of chi-squares, so that the order of sums decides nothing.
+DECIMALS, CHI2_DECIMALS = 12, 7
 
 
 @dataclass
@@ -33,20 +37,23 @@ class Node:
     class_id: int | None = None
 
 
-def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = 60, refine: int = 8) -> tuple[np.ndarray, float] | None:
-    """The side of each unit (numbered from 0) and the chi-square of the split of a node given by its cells; None if no cut leaves ``least`` units on both sides."""
+def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = ROUNDS, refine: int = REFINE, ids: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
+    """The side of each unit (numbered from 0) and the chi-square of the split of a node given by its cells; None if no cut leaves ``least`` units on both sides.
+
+    ``ids`` are the units' ascending keys, by default their numbers."""
     n = int(unit.max()) + 1 if len(unit) else 0
     if n < 2 * least:
         return None
     term = np.unique(term, return_inverse=True)[1]
     r, t = np.bincount(unit, minlength=n).astype(float), np.bincount(term).astype(float)
     total = float(len(unit))
-    coord = (np.arange(n) * 7919 % 2001) / 1000.0 - 1.0
+    ids = np.arange(n) if ids is None else ids
+    coord = (ids % 2001 * 7919 % 2001) / 1000.0 - 1.0
     for _ in range(rounds):
         coord = coord - (r * coord).sum() / total
         coord /= np.sqrt((r * coord**2).sum()) or 1.0
         coord = np.bincount(unit, (np.bincount(term, coord[unit], len(t)) / t)[term], n) / r
-    coord = np.round(coord - (r * coord).sum() / total, 12)
+    coord = np.round(coord - (r * coord).sum() / total, DECIMALS)
     order = np.lexsort((np.arange(n), coord))
     rank = np.empty(n, dtype=np.int64)
     rank[order] = np.arange(n)
@@ -59,6 +66,7 @@ def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = 6
     right = total - left
     with np.errstate(divide="ignore", invalid="ignore"):
         chi2 = np.where(right > 0, total**2 * q / (left * right) - total * left / right, -np.inf)
+    chi2 = np.round(chi2, CHI2_DECIMALS)
     chi2[: least - 1] = -np.inf
     chi2[n - least :] = -np.inf
     cut = int(np.argmax(chi2))
@@ -67,13 +75,14 @@ def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = 6
     side, score = (rank > cut).astype(int), float(chi2[cut])
     for _ in range(refine):
         share = np.bincount(term, side[unit] == 0, len(t)) / t
-        moved = (np.bincount(unit, share[term], n) / r < (side[unit] == 0).mean()).astype(int)
+        moved = (np.round(np.bincount(unit, share[term], n) / r, DECIMALS) < np.round((side[unit] == 0).mean(), DECIMALS)).astype(int)
         l0 = np.bincount(term, moved[unit] == 0, len(t))
         left0 = float((moved[unit] == 0).sum())
         if min((moved == 0).sum(), (moved == 1).sum()) < least or not 0 < left0 < total:
             break
         value = total**2 * float((l0**2 / t).sum()) / (left0 * (total - left0)) - total * left0 / (total - left0)
-        if value <= score + 1e-9:
+        value = round(value, CHI2_DECIMALS)
+        if value <= score:
             break
         side, score = moved, value
     return side, score
@@ -82,7 +91,7 @@ def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = 6
 def _split_group(least: int):
     def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
         ids, unit = np.unique(cells.uce_id.to_numpy(), return_inverse=True)
-        found = split_kernel(unit, pd.factorize(cells.form, sort=True)[0], least)
+        found = split_kernel(unit, pd.factorize(cells.form, sort=True)[0], least, ids=ids)
         columns = ["node_id", "uce_id", "side", "chi2"]
         if found is None:
             return pd.DataFrame({"node_id": [key[0]], "uce_id": [None], "side": [None], "chi2": [None]}, columns=columns)
@@ -92,54 +101,60 @@ def _split_group(least: int):
 
 
 def _axis(x: DataFrame, rounds: int) -> DataFrame:
-    """``uce_id, coord``: the first non-trivial axis by power iteration; each round is two aggregations, centred by the units' masses."""
+    """``uce_id, r, coord``: the first non-trivial axis by power iteration; each round is two aggregations, centred by the units' masses."""
     rows = x.groupBy("uce_id").agg(F.count("*").alias("r"))
     cols = written(x.groupBy("form").agg(F.count("*").alias("c")), "cols")
-    # a deterministic start: units' hashes in [-1, 1]
-    coords = written(rows.withColumn("coord", F.pmod(F.xxhash64("uce_id"), F.lit(2001)) / 1000.0 - 1.0), "coords")
+    # a deterministic start from the units' keys, in [-1, 1]
+    coords = written(rows.withColumn("coord", F.pmod(F.pmod("uce_id", F.lit(2001)) * 7919, F.lit(2001)) / 1000.0 - 1.0), "coords")
+
+    def centre(coords: DataFrame) -> tuple[float, float]:
+        t, m, s = coords.agg(F.sum("r"), F.sum(F.col("r") * F.col("coord")) / F.sum("r"), F.sum(F.col("r") * F.col("coord") ** 2)).first()
+        return m, max(s - t * m**2, 0.0) ** 0.5
+
     for k in range(rounds):
-        mean = coords.agg(F.sum(F.col("r") * F.col("coord")) / F.sum("r"), F.sqrt(F.sum(F.col("r") * F.col("coord") ** 2)))
-        m, s = mean.first()
-        centred = coords.select("uce_id", "r", ((F.col("coord") - F.lit(m or 0.0)) / F.lit(s or 1.0)).alias("coord"))
+        m, s = centre(coords)
+        centred = coords.select("uce_id", "r", ((F.col("coord") - F.lit(m)) / F.lit(s or 1.0)).alias("coord"))
         terms = x.join(centred, "uce_id").groupBy("form").agg(F.sum("coord").alias("t")).join(cols, "form").select("form", (F.col("t") / F.col("c")).alias("t"))
         fresh = x.join(terms, "form").groupBy("uce_id").agg(F.sum("t").alias("t"), F.count("*").alias("r")).select("uce_id", "r", (F.col("t") / F.col("r")).alias("coord"))
-        coords = written(fresh, "coords") if k % 3 == 2 or k == rounds - 1 else fresh
-    return coords.select("uce_id", "coord")
+        coords = written(fresh, "coords")
+    m, _ = centre(coords)
+    return coords.select("uce_id", "r", F.round(F.col("coord") - F.lit(m), DECIMALS).alias("coord"))
 
 
-def split(x: DataFrame, least: int = 5, bins: int = 512, rounds: int = 12, refine: int = 4) -> tuple[DataFrame, float] | None:
-    """``uce_id, side`` (0 or 1) of a node's units and the chi-square of the split; None if no cut leaves ``least`` units on both sides."""
+def split(x: DataFrame, least: int = 5, bins: int = 512, rounds: int = ROUNDS, refine: int = REFINE) -> tuple[DataFrame, float] | None:
+    """``uce_id, side`` (0 or 1) of a node's units and the chi-square of the split; None if no cut leaves ``least`` units on both sides.
+
+    Every cut is tried: prefix sums over all units are sums within ``bins`` ranges of the coordinate, from the totals of the ranges before."""
     units = x.select("uce_id").distinct().count()
     if units < 2 * least:
         return None
     coords = _axis(x, rounds)
-    if units <= bins:
-        ranged = coords.withColumn("bin", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("coord", "uce_id")))  # at most ``bins`` rows
-    else:
-        cuts = coords.agg(F.percentile_approx("coord", [k / bins for k in range(1, bins)], 10_000)).first()[0]
-        ranged = coords.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("coord") > c)) + 1)
-    ranged = written(ranged.select("uce_id", "bin"), "ranged")
-    sizes = ranged.groupBy("bin").agg(F.count("*").alias("u"))
-    upto = sizes.select("bin", F.sum("u").over(Window.partitionBy(F.lit(0)).orderBy("bin")).alias("before"))  # at most ``bins`` rows
-    cells = x.join(ranged, "uce_id").groupBy("form", "bin").agg(F.count("*").alias("n"))
-    # chi-square of a cut is T^2 / (L R) * (sum of l^2 / t over terms) - T L / R, with l a term's count left of the cut, so its steps over bins are enough
-    w = Window.partitionBy("form").orderBy("bin")
-    steps = cells.withColumn("l", F.sum("n").over(w)).withColumn("t", F.sum("n").over(Window.partitionBy("form")))
-    before = F.col("l") - F.col("n")
-    per_bin = steps.groupBy("bin").agg(F.sum((F.col("l") ** 2 - before**2) / F.col("t")).alias("q"), F.sum("n").alias("n"))
-    run = Window.partitionBy(F.lit(0)).orderBy("bin")
-    at = per_bin.select("bin", F.sum("q").over(run).alias("q"), F.sum("n").over(run).alias("left"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all")).join(upto, "bin")
-    right = F.col("all") - F.col("left")
-    chi2 = F.col("all") ** 2 / (F.col("left") * right) * F.col("q") - F.col("all") * F.col("left") / right
-    best = at.where((right > 0) & (F.col("before") >= least) & (F.lit(units) - F.col("before") >= least)).select("bin", chi2.alias("chi2")).orderBy(F.desc("chi2"), "bin").first()
+    cuts = sorted(set(coords.agg(F.percentile_approx("coord", [k / bins for k in range(1, bins)], 10_000)).first()[0]))
+    ranged = written(coords.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("coord") > c))), "ranged")
+    # chi-square of a cut is T^2 q / (L R) - T L / R with q the sum of l^2 / t; a cell adds (2l + 1) / t, l its term's cells before it
+    w = Window.partitionBy("form")
+    cells = x.join(ranged.select("uce_id", "coord"), "uce_id").withColumn("l", F.row_number().over(w.orderBy("coord", "uce_id")) - 1).withColumn("t", F.count("*").over(w))
+    steps = written(cells.groupBy("uce_id").agg(F.sum((2 * F.col("l") + 1) / F.col("t")).alias("q")).join(ranged, "uce_id"), "steps")
+    sums = steps.groupBy("bin").agg(F.sum("q").alias("q0"), F.sum("r").alias("left0"), F.count("*").alias("before0"))
+    run = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("bin", *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in ("q0", "left0", "before0")])  # at most ``bins`` rows
+    upto = Window.partitionBy("bin").orderBy("coord", "uce_id").rowsBetween(Window.unboundedPreceding, 0)
+    within = steps.select("uce_id", "coord", "bin", F.sum("q").over(upto).alias("q"), F.sum("r").over(upto).alias("left"), F.count("*").over(upto).alias("before")).join(offsets, "bin")
+    total = F.lit(float(x.count()))
+    at = within.select("uce_id", "coord", (F.col("q") + F.col("q0")).alias("q"), (F.col("left") + F.col("left0")).alias("left"), (F.col("before") + F.col("before0")).alias("before"))
+    right = total - F.col("left")
+    chi2 = F.round(total**2 * F.col("q") / (F.col("left") * right) - total * F.col("left") / right, CHI2_DECIMALS)
+    best = at.where((right > 0) & (F.col("before") >= least) & (F.lit(units) - F.col("before") >= least)).select("uce_id", "coord", "before", chi2.alias("chi2")).orderBy(F.desc("chi2"), "before").first()
     if best is None:
         return None
-    sides = written(ranged.select("uce_id", (F.col("bin") > best.bin).cast("int").alias("side")), "sides")
+    beyond = (F.col("coord") > best.coord) | (F.col("coord") == best.coord) & (F.col("uce_id") > best.uce_id)
+    sides = written(ranged.select("uce_id", beyond.cast("int").alias("side")), "sides")
     score = float(best.chi2)
     for _ in range(refine):
         fresh = written(_moved(x, sides), "sides")
         value, small = _chi2(x, fresh)
-        if small < least or value <= score + 1e-9:
+        value = round(value, CHI2_DECIMALS)
+        if small < least or value <= score:
             break
         sides, score = fresh, value
     return sides, score
@@ -162,8 +177,8 @@ def _moved(x: DataFrame, sides: DataFrame) -> DataFrame:
     """Sides after each unit goes where its terms' shares, against the node's, say it belongs; the sides' overall share of occurrences is the threshold."""
     terms = _totals(x, sides).withColumn("p", F.col("l") / F.col("t"))
     share = terms.agg(F.sum("l") / F.sum("t")).scalar()
-    pulls = x.join(terms.select("form", "p"), "form").groupBy("uce_id").agg(F.avg("p").alias("p"))
-    return pulls.select("uce_id", (F.col("p") < share).cast("int").alias("side"))
+    pulls = x.join(terms.select("form", "p"), "form").groupBy("uce_id").agg(F.round(F.avg("p"), DECIMALS).alias("p"))
+    return pulls.select("uce_id", (F.col("p") < F.round(share, DECIMALS)).cast("int").alias("side"))
 
 
 def _offers(x: DataFrame, leaves: dict[int, DataFrame], least: int, bins: int) -> dict[int, tuple[DataFrame, float] | None]:

@@ -214,6 +214,17 @@ def test_reinert(spark, monkeypatch):
     assert len({split[k] for k in range(14)}) == 1 and split[0] != split[20]
 
 
+def test_reinert_splits_alike_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    cells = sorted({(int(u) * 3 + 100, f"f{w}") for u in range(900) for w in (rng.zipf(1.3, 14) * (1 + u % 3)) % 80})
+    x = spark.createDataFrame(cells, "uce_id bigint, form string")
+    ids, unit = np.unique([u for u, _ in cells], return_inverse=True)
+    want, chi2 = reinert.split_kernel(unit, np.unique([f for _, f in cells], return_inverse=True)[1], 5, ids=ids)
+    sides, value = reinert.split(x)
+    assert {r.uce_id: r.side for r in sides.collect()} == dict(zip(map(int, ids), map(int, want)))
+    assert abs(value - chi2) < 1e-5
+
+
 def test_topics(spark):
     dtm = spark.createDataFrame([(u, w) for u, w in themes(2)], "doc_id bigint, form string").groupBy("doc_id", "form").agg(F.count("*").alias("n"))
     t = topics.lda(dtm, 2, min_freq=1, rounds=8)
