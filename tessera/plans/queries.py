@@ -18,6 +18,8 @@ from tessera.streaming import counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: The limits of the reference: forms of a classification, features of a topic model or a clustering; rounds of a topic model.
+MAX_ACTIVES, MAX_FEATURES, LDA_ROUNDS = 20_000, 2000, 20
 
 
 def query(f: Query) -> Query:
@@ -434,6 +436,13 @@ def cooc_presence(s: SparkSession, d: str) -> DataFrame:
     return cooccurrence.presence(units(s, d), unit_vocabulary(s, d, 200))
 
 
+@query
+def cooc_presence_all(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of all forms; ``cooc_presence`` keeps to the 200 forms of its SQL."""
+    u = units(s, d)
+    return cooccurrence.presence(u, u.select("form").distinct())
+
+
 @query
 def ppmi_pairs(s: SparkSession, d: str) -> DataFrame:
     return cooccurrence.ppmi(cooccurrence.presence(units(s, d), unit_vocabulary(s, d, 200))).select("term_a", "term_b", "n", F.round("ppmi", 6).alias("ppmi"))
@@ -598,7 +607,7 @@ def crossed_classifications(s: SparkSession, d: str) -> DataFrame:
 
 
 def _presence(s: SparkSession, d: str) -> DataFrame:
-    return units(s, d).join(unit_vocabulary(s, d, 400), "form", "left_semi")
+    return units(s, d).join(unit_vocabulary(s, d, MAX_ACTIVES), "form", "left_semi")
 
 
 @query
@@ -639,17 +648,17 @@ def wordfish_sources(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def lda_topics(s: SparkSession, d: str) -> DataFrame:
-    return topics.lda(dtm(s, d), k=4, most=500, rounds=5).terms.where("place <= 10")
+    return topics.lda(dtm(s, d), k=4, most=MAX_FEATURES, rounds=LDA_ROUNDS).terms.where("place <= 10")
 
 
 @query
 def lda_dominant(s: SparkSession, d: str) -> DataFrame:
-    return topics.dominant_topics(topics.lda(dtm(s, d), k=4, most=500, rounds=5))
+    return topics.dominant_topics(topics.lda(dtm(s, d), k=4, most=MAX_FEATURES, rounds=LDA_ROUNDS))
 
 
 @query
 def kmeans_documents(s: SparkSession, d: str) -> DataFrame:
-    return topics.cluster(dtm(s, d), 4, most=300)
+    return topics.cluster(dtm(s, d), 4, most=MAX_FEATURES)
 
 
 # lexicons, variants, streams -----------------------------------------------------------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.tokenizers import tokenize, tokens
 from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, ngrams, phrases, reinert, segments, small_graph, tables, topics
+from tessera.plans import queries
 
 
 def rows(df, *by):
@@ -242,3 +243,11 @@ def test_phrases(spark):
     assert top["mar azul"].freq == 3 and top["mar azul"].doc_count == 2
     targets = spark.createDataFrame([("t", "mar")], "target string, form string")
     assert {r.doc_id for r in phrases.representative_sentences(d, targets, common=1.0, rounds=5).collect()} <= {1, 2}
+
+
+def test_registered_queries_keep_all_forms(spark, tmp_path):
+    cells = [(u, f"f{u + k}", 1) for u in range(500) for k in range(2)]
+    spark.createDataFrame(cells, "uce_id bigint, form string, n int").write.parquet(f"{tmp_path}/postings.parquet")
+    assert queries._presence(spark, str(tmp_path)).select("form").distinct().count() == 501
+    assert queries.QUERIES["cooc_presence_all"](spark, str(tmp_path)).count() == 500
+    assert (queries.MAX_ACTIVES, queries.MAX_FEATURES, queries.LDA_ROUNDS) == (20_000, 2000, 20)
