@@ -29,7 +29,7 @@ def squeeze(text: Column) -> Column:
 
 
 #: Spellings that are their own key: ASCII and Latin-1 small letters, digits, hyphens, single inner blanks.
-_PLAIN = r"^[a-z0-9_\-\xdf-\xf6\xf8-\xff]+(?: [a-z0-9_\-\xdf-\xf6\xf8-\xff]+)*$"
+_PLAIN = r"^[a-z0-9_\-\xdf-\xf6\xf8-\xff]+(?: [a-z0-9_\-\xdf-\xf6\xf8-\xff]+)*\z"
 
 
 def has_term(text: Column) -> Column:

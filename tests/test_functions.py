@@ -103,3 +103,8 @@ def test_segments_keep_all_tokens(tokens, size):
 def test_segment_cuts_at_the_strongest_mark():
     tokens = ["w"] * 9 + ["."] + ["w"] * 10 + [","] + ["w"] * 20
     assert cut_points(tokens, 12, 27)[0] == (0, 10)
+
+
+def test_a_final_line_end_is_no_part_of_a_term(spark):
+    rows = spark.createDataFrame([("casa\n",), ("casa",), ("casa\r\n",), ("mar azul ",)], "form string")
+    assert sorted(r.term for r in with_term(rows, F.col("form"), "term").collect()) == ["casa", "casa", "casa", "mar azul"]
