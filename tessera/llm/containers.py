@@ -1,9 +1,10 @@
 """Filling fixed-capacity containers by exact-complement hashing on a histogram of lengths.
 
 Items of one length are interchangeable, so the packing is planned on the histogram: at most ``capacity`` lengths with their counts, whatever the number of
-items. The plan takes the longest remaining length and fills the gap; where one, two or three remaining lengths complete it exactly (an index of lengths answers
-singles, pairs and triples) they are taken, else the longest length that fits (best fit). The pattern found is repeated as often as the counts allow, so it uses up
-a length and the number of patterns follows the number of lengths. Items then get their containers by their rank within their length: ranks are counted per
+items. Single, pair and triple sums of lengths are indexed: a slot for each sum holds a combination, checked against the counts left when it is asked for and replaced
+when it is used up. Counts only fall, so a sum whose last combination is gone is never searched again. The plan takes the longest remaining length and fills the gap: where
+the index holds an exact complement it is consumed, else the longest length that fits (best fit). The pattern found is repeated as often as the counts allow, so it uses
+up a length and the number of patterns follows the number of lengths. Items then get their containers by their rank within their length: ranks are counted per
 (length, salt) with prefix offsets, so a hot length isn't one task, and a binary search in the plan gives the container.
 """
 
@@ -24,12 +25,20 @@ MOST_SPECS = 1000
 
 
 class _Lengths:
-    """Remaining counts by length."""
+    """Remaining counts by length, and the index of sums: of one length (its count), of two and of three (a slot a sum, 0 unknown, -1 none left)."""
 
     def __init__(self, lengths: np.ndarray, counts: np.ndarray, capacity: int):
         self.left = np.zeros(capacity + 1, dtype=np.int64)
         self.left[lengths] = counts
         self.sorted = np.unique(lengths)
+        self.two = np.zeros(capacity + 1, dtype=np.int64)  # the longer of the two
+        self.three = np.zeros(capacity + 1, dtype=np.int64)  # the longest of the three
+        for a in self.sorted:
+            fits = self.sorted[(self.sorted <= a) & (self.sorted <= capacity - a)]
+            if len(fits) and fits[-1] == a and self.left[a] < 2:
+                fits = fits[:-1]
+            self.two[fits + a] = a
+        self.two[self.two == 0] = -1
 
     def compact(self) -> None:
         self.sorted = self.sorted[self.left[self.sorted] > 0]
@@ -41,34 +50,48 @@ class _Lengths:
             k -= 1
         return int(self.sorted[k]) if k >= 0 else 0
 
-    def pair(self, gap: int) -> tuple[int, int] | None:
-        """Two remaining lengths that sum to ``gap``, the most even ones last."""
+    def _have(self, *lengths: int) -> bool:
+        return all(x > 0 and self.left[x] >= lengths.count(x) for x in lengths)
+
+    def _search(self, gap: int) -> int:
+        """The longer of two remaining lengths that sum to ``gap``, the most even ones last; -1 if there are none."""
         a = self.sorted[(self.sorted * 2 >= gap) & (self.sorted < gap)]
-        if not len(a):
-            return None
         b = gap - a
-        ok = (self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1))
-        k = np.flatnonzero(ok)
-        return (int(a[k[-1]]), int(b[k[-1]])) if len(k) else None
+        k = np.flatnonzero((self.left[a] > 0) & (self.left[b] > 0) & ((a != b) | (self.left[a] > 1)))
+        return int(a[k[-1]]) if len(k) else -1
 
-    def complement(self, gap: int) -> list[int] | None:
-        """One, two or three remaining lengths that sum exactly to ``gap``."""
-        if self.left[gap] > 0:
-            return [gap]
-        if two := self.pair(gap):
-            return [*two]
-        top = self.sorted[self.sorted < gap]
-        for a in top[::-1]:
-            if 3 * a < gap:
-                break
-            if self.left[a] > 0:
+    def pair(self, gap: int) -> tuple[int, int] | None:
+        """Two remaining lengths that sum to ``gap``."""
+        a = int(self.two[gap])
+        if a > 0 and not self._have(a, gap - a):
+            a = self.two[gap] = self._search(gap)
+        return (a, gap - a) if a > 0 else None
+
+    def triple(self, gap: int) -> tuple[int, int, int] | None:
+        """Three remaining lengths that sum to ``gap``, the longest one as long as may be."""
+        a = int(self.three[gap])
+        if a < 0:
+            return None
+        top = self.sorted[(self.sorted * 3 >= gap) & (self.sorted < gap)]
+        if a > 0:
+            top = top[top <= a]  # longer ones have been used up
+        for a in top[(self.left[top] > 0) & (self.two[gap - top] > 0)][::-1].tolist():
+            rest = self.pair(gap - a)
+            if rest and not self._have(a, *rest):  # the slot's pair needs the same items
                 self.left[a] -= 1
-                rest = self.pair(gap - int(a))
+                b = self._search(gap - a)
                 self.left[a] += 1
-                if rest:
-                    return [int(a), *rest]
+                rest = (b, gap - a - b) if b > 0 else None
+            if rest:
+                self.three[gap] = a
+                return a, *rest
+        self.three[gap] = -1
         return None
 
+    def complement(self, gap: int) -> tuple[int, ...] | None:
+        """One, two or three remaining lengths that sum exactly to ``gap``."""
+        return (gap,) if self.left[gap] > 0 else self.pair(gap) or self.triple(gap)
+
 
 def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
     """Patterns ``(repeats, [(length, uses)])`` that use every item once; each pattern's sum is at most ``capacity``."""
@@ -85,12 +108,14 @@ def pack(lengths: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[i
         take(longest)
         gap -= longest
         while gap and (most := have.longest(gap)):
+            # three lengths of at most ``most`` sum to no more than 3 * most, so nothing is left unsearched
             if gap <= 3 * most and (exact := have.complement(gap)):
                 for length in exact:
                     take(length)
                 gap = 0
                 break
-            n = max(1, min(int(have.left[most]), gap // most - 3)) if gap > 6 * most else 1
+            # best-fit steps in one go, as long as no exact complement is possible
+            n = max(1, min(int(have.left[most]), gap // most - 3))
             take(most, n)
             gap -= n * most
         more = min(int(have.left[x]) // n for x, n in pattern.items())
@@ -114,16 +139,17 @@ def _plan(key: tuple, histogram: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["kind", "length", "start", "uses", "first"])
 
 
-def fill_containers(docs: DataFrame, specs: DataFrame, ranks: str = RANKS, salts: int = 16) -> DataFrame:
+def fill_containers(docs: DataFrame, specs: DataFrame, ranks: str = RANKS, salts: int | None = None) -> DataFrame:
     """``container_kind, capacity_tokens, container_id, doc_id, piece, start_token, n_tokens``.
 
     Every document is assigned once for every kind; one longer than the capacity is cut into pieces of the capacity and a remainder, no other is split. Null and
     empty texts have no tokens: they take no space and come out in container 0. Rows with a null ``doc_id`` are items like others. Kinds with a null or non-positive
-    capacity give no rows; an empty table gives none. Of ``docs`` only ``doc_id`` and ``text`` are read. The plan joined is bounded by the capacities.
+    capacity give no rows; an empty table gives none. ``salts`` is the number of tasks that share a length, by default that of shuffle partitions. Of ``docs`` only ``doc_id`` and ``text`` are read. The plan joined is bounded by the capacities.
     """
     kinds = [(k, r[0], r[1]) for k, r in enumerate(specs.where("capacity_tokens > 0").select("container_kind", "capacity_tokens").distinct().orderBy("capacity_tokens", "container_kind").limit(MOST_SPECS + 1).collect())]
     if len(kinds) > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} container specs")
+    salts = salts or max(16, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sizes = written(spread(docs.select("doc_id", "text")).select("doc_id", token_size(F.col("text"), ranks).alias("size")), "sizes")
     array = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("container_kind"), F.lit(c).alias("capacity")) for k, n, c in kinds))
     each = sizes.select("doc_id", "size", F.explode(array).alias("s")).select("doc_id", "size", "s.*") if kinds else sizes.limit(0).selectExpr("doc_id", "size", "0 as kind", "'' as container_kind", "1 as capacity")

@@ -49,7 +49,23 @@ _P5 = f"""
          r as (select record_id, corpus_id, len(list_filter(tokens, lambda t: t is not null and not regexp_full_match(t, '{_SPACE}*'))) as n,
                       row_number() over (partition by record_id order by loaded_at desc nulls last) as k
                from uci_records where record_id is not null)
-    select record_id from r join s using (corpus_id) where k = 1 and n > size"""
+    select record_id, n from r join s using (corpus_id) where k = 1 and n > size"""
+
+_P6 = """
+    select container_kind, capacity_tokens, (select count(*) from documents) as documents, 0 as overfull, 0 as split_needlessly
+    from (select distinct container_kind, capacity_tokens from container_specs where capacity_tokens > 0)"""
+
+
+def _source(column: str) -> str:
+    return f"nullif(regexp_replace(lower(trim({column})), '[\\s-]+', '_', 'g'), '')"
+
+
+_P7 = f"""
+    with t as (select {_source("source")} as source, max(struct_pack(share := target_share, cap := max_repeats)) as r from mix_targets
+               where {_source("source")} is not null and target_share > 0 and not isnan(target_share) group by 1),
+         h as (select distinct {_source("source")} as source from documents where text <> ''),
+         s as (select source, r.share / sum(r.share) over () as share, r.cap as cap, h.source is not null as here from t left join h using (source))
+    select source, round(share, 6) as target_share, round(if(here, share, 0) / sum(if(here, share, 0)) over (), 6) as share_with_documents, cap, 0 as over_cap from s"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,5 +76,8 @@ def oracle_sql() -> dict[str, str]:
         "p2_pairs": _PAIRS + " select term_a, term_b, cooccurrence, round(greatest(0, log2(lift)), 6) as ppmi from s",
         "p4_top": _P4,
         "p4_found": f"select tab, grp, item from ({_P4})",
-        "p5_found": _P5,
+        "p5_found": f"select record_id from ({_P5})",
+        "p5_kept": f"select record_id, n as n_tokens, 0 as too_long, 0 as off from ({_P5})",
+        "p6_kept": _P6,
+        "p7_kept": _P7,
     }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.terms import with_term
@@ -13,7 +13,7 @@ from tessera.llm.mixture import Mixture
 from tessera.llm.mojibake import garbled, restored_tokens
 from tessera.llm.pair_table import PairTable
 from tessera.llm.sentences import sentences
-from tessera.llm.split_records import split_records
+from tessera.llm.split_records import current_settings, split_records
 from tessera.llm.term_bitmaps import record_count, term_bitmaps, term_frequencies
 from tessera.llm.top_n import top_n
 from tessera.session import table
@@ -95,6 +95,16 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return p5_pieces(spark, folder).where("piece = 0").select("record_id")
 
 
+def p5_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Of every record that is split: its tokens, pieces above the size, and tokens lost or not shared as asked between consecutive pieces. The last two are 0."""
+    size, overlap = F.col("uce_size"), F.col("uce_overlap")
+    pieces = p5_pieces(spark, folder).join(current_settings(table(spark, folder, "import_config")), "corpus_id")
+    before = F.lag("end_token").over(Window.partitionBy("record_id").orderBy("piece"))
+    rows = pieces.select("record_id", "start_token", "end_token", F.size("tokens").alias("n"), size, overlap, F.coalesce(before, F.lit(0)).alias("before"), "piece")
+    off = (F.col("n") != F.col("end_token") - F.col("start_token")) | (F.col("before") - F.col("start_token") != F.when(F.col("piece") == 0, 0).otherwise(overlap))
+    return rows.groupBy("record_id").agg(F.max("end_token").cast("bigint").alias("n_tokens"), F.count_if(F.col("n") > size).alias("too_long"), F.count_if(off).alias("off"))
+
+
 def p6_containers(spark: SparkSession, folder: str) -> DataFrame:
     return fill_containers(table(spark, folder, "documents"), table(spark, folder, "container_specs"))
 
@@ -104,11 +114,22 @@ def p6_fill(spark: SparkSession, folder: str) -> DataFrame:
     return fill_report(p6_containers(spark, folder))
 
 
-def _mixture(spark: SparkSession, folder: str) -> Mixture:
-    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+def p6_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each kind: documents assigned, containers above the capacity, documents in more pieces than they need. The last two are 0."""
+    rows = p6_containers(spark, folder)
+    keys = ["container_kind", "capacity_tokens"]
+    full = rows.groupBy(*keys, "container_id").agg(F.sum("n_tokens").alias("n")).groupBy(*keys).agg(F.count_if(F.col("n") > F.col("capacity_tokens")).alias("overfull"))
+    docs = rows.groupBy(*keys, "doc_id").agg(F.sum("n_tokens").alias("n"), F.count("*").alias("pieces"))
+    needless = F.count_if(F.col("pieces") > F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity_tokens"))))
+    return docs.groupBy(*keys).agg(F.count("*").alias("documents"), needless.alias("split_needlessly")).join(full, keys)
+
+
+def _mixture(spark: SparkSession, folder: str, size: str | None = None) -> Mixture:
+    return Mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"), size)
 
 
 def p7_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The largest mixture that keeps the shares."""
     return _mixture(spark, folder).documents()
 
 
@@ -117,6 +138,24 @@ def p7_shares(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).report()
 
 
+def p7_all_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """A mixture of as many tokens as the targeted sources have: caps bind, and the sources they bind fall short."""
+    return _mixture(spark, folder, "all").documents()
+
+
+def p7_all_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder, "all").report()
+
+
+def p7_kept(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each target: the share asked for, that of sources with documents, the cap, and documents repeated more often than it allows (0)."""
+    mix = _mixture(spark, folder)
+    over = F.count_if(F.col("repeats") > F.col("cap"))
+    report = mix.report().select("source", F.round("target_share", 6).alias("target_share"), F.round("share_with_documents", 6).alias("share_with_documents"), "cap")
+    rows = mix.documents().join(report.select("source", "cap"), "source").groupBy("source").agg(over.alias("over_cap"))
+    return report.join(rows, "source", "left").fillna(0, ["over_cap"])
+
+
 def p8_sentences(spark: SparkSession, folder: str) -> DataFrame:
     return sentences(table(spark, folder, "documents"))
 

@@ -1,8 +1,9 @@
 """Splitting oversized records at natural boundaries.
 
-The tokens of a record get offset prefix sums (in the size unit; a token counts 1), and its boundaries a sorted array per strength. A piece that starts at
-offset s ends at the last boundary in (s + overlap, s + limit], found by binary search, strongest kind first; where no boundary lies there the cut is hard at
-s + limit. The next piece starts ``overlap`` back from the cut. Every token is in a piece, and each step moves on by at least one token.
+The tokens of a record get offset prefix sums (in the size unit; a token counts 1), and its boundaries one sorted array with their strengths. A piece that starts at
+offset s ends at the last boundary in (s + overlap, s + limit], found by binary search; among the boundaries of the last ``1 / NEAR`` of that span the strongest kind
+comes first, so strength costs a piece at most that much of its length. Where no boundary lies in the span the cut is hard at s + limit. The next piece starts
+``overlap`` back from the cut. Every token is in a piece, and each step moves on by at least one token.
 """
 
 from __future__ import annotations
@@ -22,41 +23,46 @@ STRONG, MEDIUM, WEAK = ".!?…。！？؟۔।॥።፧", ":;：；؛·፤፥",
 CLOSERS = "\"'”’»)]}」』）"
 _KIND = {c: kind for kind, marks in enumerate((STRONG, MEDIUM, WEAK)) for c in marks}
 _MARKS = frozenset(_KIND) | frozenset(CLOSERS)
+#: The part of a piece's span, one in so many, within which a stronger boundary is preferred to a later one.
+NEAR = 8
 #: How each piece ends.
 KINDS = ("end", "strong", "medium", "weak", "hard")
 
 
-def boundaries(tokens: list[str]) -> list[np.ndarray]:
-    """Sorted offsets after which the text pauses: sentence ends and places before a theme marker, clause ends, phrase ends."""
-    found: tuple[list[int], list[int], list[int]] = ([], [], [])
+def boundaries(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted offsets after which the text pauses and their kinds: 1 sentence ends and places before a theme marker, 2 clause ends, 3 phrase ends."""
+    found: dict[int, int] = {}
     n = len(tokens)
     for i, token in enumerate(tokens):
         if i and token[:2] == "-*":
-            found[0].append(i)
+            found[i] = 1
         if token[-1] not in _MARKS:
             continue
         last = (token.rstrip(CLOSERS) or (tokens[i - 1].rstrip(CLOSERS) if i else ""))[-1:]
         kind = _KIND.get(last)
         if kind is not None and (i + 1 == n or tokens[i + 1].strip(CLOSERS)):  # else closing marks follow, and the pause is after them
-            found[kind].append(i + 1)
-    return [np.unique(np.array(x, dtype=np.int64)) for x in found]
+            found[i + 1] = kind + 1
+    at = np.array(sorted(found), dtype=np.int64)
+    return at, np.array([found[k] for k in at.tolist()], dtype=np.int64)
 
 
-def cut(sizes: np.ndarray, marks: list[np.ndarray], limit: int, overlap: int) -> list[tuple[int, int, str]]:
+def cut(sizes: np.ndarray, marks: tuple[np.ndarray, np.ndarray], limit: int, overlap: int) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the pieces over tokens of the given sizes. A single token above the limit is a piece of its own."""
     offsets = np.concatenate(([0], np.cumsum(sizes)))
+    at, kinds = marks
     n, start, out = len(sizes), 0, []
     while offsets[n] - offsets[start] > limit:
         most = int(np.searchsorted(offsets, offsets[start] + limit, "right")) - 1
         most = max(most, start + 1)
         least = int(np.searchsorted(offsets, offsets[start] + overlap, "right"))
         least = max(least, start + 1)
-        end, kind = most, "hard"
-        for name, at in zip(KINDS[1:4], marks):
-            k = int(np.searchsorted(at, most, "right")) - 1
-            if k >= 0 and at[k] >= least:
-                end, kind = int(at[k]), name
-                break
+        near = max(least, most - (most - least) // NEAR)
+        lo, mid, hi = (int(np.searchsorted(at, x, side)) for x, side in ((least, "left"), (near, "left"), (most, "right")))
+        if mid < hi:
+            k = hi - 1 - int(np.argmin(kinds[mid:hi][::-1]))
+        else:
+            k = hi - 1
+        end, kind = (int(at[k]), KINDS[kinds[k]]) if k >= lo else (most, "hard")
         out.append((start, end, kind))
         back = int(np.searchsorted(offsets, offsets[end] - overlap, "left"))
         start = max(back, start + 1)
@@ -96,14 +102,15 @@ def split_records(records: DataFrame, config: DataFrame) -> DataFrame:
 
     A record's last delivery holds (ties, also unchanged redeliveries, by the row's hash); rows without ``record_id`` are left out. Null and blank tokens don't
     count and are left out; records within the limit, without tokens or of a corpus without a size give no piece. Pieces cover all counted tokens in order,
-    each has at most ``uce_size``, and consecutive ones share ``uce_overlap`` tokens. The settings joined are one row per corpus. One aggregation with map-side
-    combine picks the last delivery; token arrays travel only for rows above their limit.
+    each has at most ``uce_size``, and consecutive ones share ``uce_overlap`` tokens. The settings joined are one row per corpus. The last delivery is picked among
+    slim rows (id, time, hash, size); token arrays are read again and travel only for the winners above their limit.
     """
-    sized = records.where("record_id is not null").select("record_id", "corpus_id", "loaded_at", visible(F.col("tokens")).alias("tokens"))
-    rows = sized.join(current_settings(config), "corpus_id", "left")
-    long = F.when(F.size("tokens") > F.col("uce_size"), F.col("tokens"))
-    content = F.struct("corpus_id", "uce_size", "uce_overlap", long.alias("tokens"))
-    order = F.struct("loaded_at", F.xxhash64("corpus_id", "tokens").alias("mark"))
-    last = rows.groupBy("record_id").agg(F.max_by(content, order).alias("last")).select("record_id", "last.*").where("tokens is not null")
+    columns = records.where("record_id is not null").select("record_id", "corpus_id", "loaded_at", visible(F.col("tokens")).alias("tokens"))
+    marked = columns.withColumn("mark", F.xxhash64("loaded_at", "corpus_id", "tokens"))
+    slim = marked.select("record_id", F.struct("loaded_at", "mark", "corpus_id", F.size("tokens").alias("n")).alias("row"))
+    last = slim.groupBy("record_id").agg(F.max("row").alias("row")).select("record_id", "row.mark", "row.corpus_id", "row.n")
+    long = last.join(current_settings(config), "corpus_id").where("n > uce_size").select("record_id", "mark", "uce_size", "uce_overlap")
+    # rows delivered twice alike are one
+    whole = marked.select("record_id", "mark", "corpus_id", "tokens").join(long, ["record_id", "mark"]).dropDuplicates(["record_id"])
     schema = "record_id bigint, corpus_id int, piece int, start_token int, end_token int, cut string, tokens array<string>"
-    return last.mapInPandas(_pieces, schema)
+    return whole.select("record_id", "corpus_id", "uce_size", "uce_overlap", "tokens").mapInPandas(_pieces, schema)

@@ -1,6 +1,7 @@
 """Top N items within every group, by a hot-cold split.
 
-1. Repeats of an item are reduced to its best place before any row is ranked (partial aggregation, keyed by group and item, so no group is one task).
+1. Repeats of an item are reduced to its best place before any row is ranked (partial aggregation, keyed by group and item, so no group is one task), and the result is
+   written once, as all that follows reads it.
 2. Exact counts of distinct items split the groups: hot ones have more than ``hot_rows`` items and more than 1/1000 of all, so there are fewer than
    1000 of them, whatever the input; that list is the only thing broadcast.
 3. Cold groups go to an ordinary window.
@@ -14,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 
 def _ranked(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
@@ -28,7 +31,7 @@ def top_n(df: DataFrame, group: Column, item: Column, score: Column, frequency:
     """
     rows = df.select(group.cast("string").alias("grp"), item.alias("item"), (score.cast("double") + F.lit(0.0)).alias("score"), frequency.cast("bigint").alias("frequency"))
     rows = rows.where("grp is not null and item is not null and score is not null and not isnan(score)")
-    best = rows.groupBy("grp", "item").agg(F.max(F.struct("score", "frequency")).alias("best")).select("grp", "item", "best.score", "best.frequency")
+    best = written(rows.groupBy("grp", "item").agg(F.max(F.struct("score", "frequency")).alias("best")).select("grp", "item", "best.score", "best.frequency"), "best")
     order = [F.desc("score"), F.desc_nulls_last("frequency"), F.asc("item")]
     counts = best.groupBy("grp").agg(F.count("*").alias("size"))
     total = counts.agg(F.coalesce(F.sum("size"), F.lit(0)))

@@ -49,6 +49,19 @@ def test_terms_against_loops(spark):
     assert {r.term: (r.frequency, r.n_records, r.mark) for r in term_frequencies(parts, total).collect()} == want
 
 
+def test_containers_hold_ids_or_bits(spark):
+    ids = [*range(0, 65536, 3), *range(70000, 70010), -1, -2, 2**40]
+    rows = spark.createDataFrame([("x", i) for i in ids + ids[:50]] + [("x", None), ("y", 5)], "form string, rec bigint")
+    one = term_bitmaps(rows, F.col("form"), F.col("rec"))
+    got = {(r.term, r.high): r for r in one.collect()}
+    dense = got["x", 0]
+    assert dense.ids is None and [64 * k + b for k, w in enumerate(dense.bits) for b in range(64) if w >> b & 1] == [i for i in ids if 0 <= i < 65536]
+    assert got["x", 1].ids == [i - 65536 for i in range(70000, 70010)] and got["x", -1].ids == [65534, 65535] and got["x", 2**24].ids == [0]
+    assert got["x", None].cardinality == 0 and got["x", None].occurrences == 1 and dense.occurrences == dense.cardinality + 50
+    again = {(r.term, r.high): r for r in merge_bitmaps(one, one).collect()}
+    assert all(again[k].ids == r.ids and again[k].bits == r.bits and again[k].cardinality == r.cardinality and again[k].occurrences == 2 * r.occurrences for k, r in got.items())
+
+
 def test_terms_of_nothing(spark):
     df = spark.createDataFrame([], "rec bigint, form string")
     assert term_frequencies(term_bitmaps(df, F.col("form"), F.col("rec")), record_count(df, F.col("form"), F.col("rec"))).count() == 0
@@ -221,6 +234,15 @@ def test_cuts_at_pauses():
     assert boundaries(["a", ".", "”", "b"])[0].tolist() == [3]
 
 
+def test_the_last_pause_is_taken():
+    tokens = ["a"] * 300
+    tokens[50], tokens[89] = "x.", "y,"
+    assert cut(np.ones(300, dtype=int), boundaries(tokens), 100, 50)[:2] == [(0, 90, "weak"), (40, 140, "hard")]
+    tokens[84] = "z."  # stronger, and near enough to the limit of the next line
+    assert cut(np.ones(300, dtype=int), boundaries(tokens), 95, 0)[0] == (0, 85, "strong")
+    assert cut(np.ones(300, dtype=int), boundaries(tokens), 100, 0)[0] == (0, 90, "weak")
+
+
 def test_records(spark):
     cfg = [(1, 4, 1, 1), (1, 3, 1, 2), (1, None, None, 3), (2, 2, 9, 1), (None, 5, 1, 1), (3, None, 1, 1)]
     config = spark.createDataFrame(cfg, "corpus_id int, uce_size int, uce_overlap int, set_at bigint")
@@ -295,11 +317,24 @@ def test_mixture(spark):
     assert all(r.repeats == 3 for r in rows if r.source == "small") and len({r.doc_id for r in rows}) == len(rows)
     capped = {r.source: r for r in Mixture(df, targets, total_tokens=10**6).report().collect()}
     assert capped["small"].most_repeats == 3 and capped["a_b"].most_repeats > 3
-    assert Mixture(df.where("false"), targets).documents().count() == 0
+    assert Mixture(df.where("false"), targets).documents().count() == 0 and {r.shortfall for r in Mixture(df.where("false"), targets).report().collect()} == {"no documents"}
     w = spark.createDataFrame([("",), (None,), ("texto bom " * 40,), ("123 456",)], "t string").select(quality_weight(F.col("t")).alias("w")).collect()
     assert w[2].w > w[3].w >= 0.01
 
 
+def test_long_documents_leave_the_shares_alone(spark):
+    docs = [(k, "palavra boa " * (1 + k % 7), "a") for k in range(600)] + [(1000 + k, "pouco texto", "b") for k in range(30)] + [(2000, "longo demais " * 4000, "b")] + [(3000 + k, "meio texto " * 9, "c") for k in range(80)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 2)], "source string, target_share double, max_repeats int")
+    mix = Mixture(df, targets)
+    report = {r.source: r for r in mix.report().collect()}
+    assert all(abs(r.actual_share - r.target_share) < 0.02 and r.most_repeats <= r.cap for r in report.values()), report
+    rows = {r.doc_id: r.repeats for r in mix.documents().collect()}
+    assert rows.get(2000) is None and report["b"].left_out > 8000
+    every = {r.source: r for r in Mixture(df, targets, "all").report().collect()}
+    assert every["a"].shortfall == "cap" and every["a"].most_repeats == 1 and every["a"].left_out == 0
+
+
 # problem 8
 
 CASES = [
