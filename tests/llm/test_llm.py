@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import unicodedata
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -92,13 +93,31 @@ def test_pair_table_follows_batches(spark, bounds):
     before = table.state
     table.apply(spark.createDataFrame([], "basket bigint, term string"))
     assert table.state is before
+    again = PairTable.open(spark, table.root)
+    assert again.state == before and {(r.term_a, r.term_b): r.cooccurrence for r in again.scores().collect()} == got
+    folder = Path(table.root.removeprefix("file:"))
+    files = {f"file:{x}".replace("file:///", "file:/") for x in folder.rglob("*.parquet")}
+    assert all(any(f.startswith(p.replace("file:///", "file:/")) for p in before.paths()) for f in files)  # nothing of former versions
     table.apply(spark.createDataFrame([(k, None) for k in now], "basket bigint, term string"))
     assert table.scores().count() == 0 and table.state.total == 0
 
 
-def test_a_large_basket_is_cut_into_blocks(spark):
-    df = spark.range(90).select(F.lit(1).alias("basket"), F.concat(F.lit("t"), "id").alias("term"))
-    assert PairTable(spark, buckets=2, block=16).apply(df).scores().count() == 90 * 89 // 2
+def test_a_large_basket_spreads_over_tasks(spark, monkeypatch):
+    df = spark.range(600).select(F.lit(1).alias("basket"), F.concat(F.lit("t"), "id").alias("term"))
+    tasks = []
+    expanded = PairTable._expanded
+
+    def watch(cells):
+        tasks.append(cells.where("not same or size(left) < 600").groupBy(F.spark_partition_id()).count().count())
+        return expanded(cells)
+
+    monkeypatch.setattr(PairTable, "_expanded", staticmethod(watch))
+    table = PairTable(spark, buckets=2, block=16).apply(df)
+    assert table.scores().count() == 600 * 599 // 2
+    assert tasks[0] >= 4  # all there are
+    changed = spark.createDataFrame([(1, f"t{k}") for k in range(300)] + [(2, "t1"), (2, "t2")], "basket bigint, term string")
+    got = {(r.term_a, r.term_b): r.cooccurrence for r in table.apply(changed).scores().collect()}
+    assert len(got) == 300 * 299 // 2 and got["t1", "t2"] == 2
 
 
 # problem 3
