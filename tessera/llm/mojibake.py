@@ -7,7 +7,9 @@
    are known and their log-likelihood under the corpus gains enough bits over those found. Tokens with UTF-8 sequences are tested for these wherever they stand, so a corpus
    in which garbling is usual hides none. Texts with replacement characters or control codes anywhere, or question marks for letters in a run, are garbled too, though beyond restoring.
 
-The pair table that goes to the workers holds pairs with p(xy) >= ``FLOOR`` only, so it has at most 1 / ``FLOOR`` rows whatever the corpus.
+What goes to the workers is bounded whatever the corpus, and leaves no pair out. Pairs with p(xy) >= ``FLOOR`` go by name, at most 1 / ``FLOOR`` of them. ``FLOOR`` is so
+low that every rarer pair has the highest score, the same as an unseen one: its share is at most p log2(1 / p) < ``LOW_SHARE`` / 16. The counts of rarer pairs, which
+likelihoods need, go as two rows of ``CELLS`` sums by hashes of the pair (a count-min sketch); margins go by character, at most one for each code point.
 """
 
 from __future__ import annotations
@@ -18,14 +20,17 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.session import spread
+from tessera.session import spread, written
 
-#: Probability below which a pair counts as unseen; bounds the table to 1 / FLOOR pairs.
-FLOOR = 2e-6
+#: Probability below which a pair isn't named but counted in the sketch; bounds the table to 1 / FLOOR pairs.
+FLOOR = 2.5e-7
+#: Sums in each row of the sketch.
+CELLS = 1 << 20
 #: Share in the mutual information (bits) below which a pair is improbable.
 LOW_SHARE = 1e-4
 #: Bits a mapping must gain over a text's runs (little where the form of UTF-8 speaks for it too), and log2 p(y|x) that pairs it makes must have on average.
@@ -89,7 +94,15 @@ def _single(read: str, written: str) -> dict[int, str]:
 _TOKEN = re.compile(r"[^ \t\n\r\f\v]+")
 _LOST = re.compile(r"�|[\x80-\x84\x86-\x9f]")
 _BROKEN = re.compile(r"[\x80-\x9f\ufffd]")
-_ASKED = re.compile(r"[^\W\d_]\?+[a-zß-öø-ÿ]")
+_ASKED = re.compile(r"[^\W\d_]\?+[^\W\d_]")
+#: Whole words lost: tokens of question marks side by side.
+_ASKED_WORDS = re.compile(r"(?<![^\s(«“\"'])\?{2,}[,;]? \?{2,}(?![^\s.,;:!)»”\"'])")
+
+
+def _asked(text: str, runs: list[tuple[int, int]]) -> bool:
+    """Whether question marks stand for letters: before a small letter in a run, or for two words and more anywhere."""
+    inside = any(m.group()[-1].islower() or not m.group()[-1].isupper() and m.group()[0] > "\x7f" for a, b in runs for m in _ASKED.finditer(text, a, b))
+    return inside or bool(_ASKED_WORDS.search(text))
 
 
 @lru_cache(maxsize=None)
@@ -109,14 +122,16 @@ def _utf8_pair(name: str) -> str:
 
 
 class PairModel:
-    """Scores of adjacent character pairs."""
-
-    def __init__(self, pairs: dict[str, int], total: int):
-        left: Counter = Counter()
-        right: Counter = Counter()
-        for xy, n in pairs.items():
-            left[xy[0]] += n
-            right[xy[1]] += n
+    """Scores of adjacent character pairs: ``pairs`` named with their counts out of ``total``; ``left`` and ``right`` are the margins over all pairs, by default over the named
+    ones; ``sketch`` holds two rows of sums over the pairs not named, each of which has fewer than ``below`` occurrences."""
+
+    def __init__(self, pairs: dict[str, int], total: int, left: dict[str, int] | None = None, right: dict[str, int] | None = None, sketch: tuple[np.ndarray, np.ndarray] | None = None, below: float = 0):
+        if left is None or right is None:
+            left, right = Counter(), Counter()
+            for xy, n in pairs.items():
+                left[xy[0]] += n
+                right[xy[1]] += n
+        self.left, self.sketch, self.below = left, sketch, below
         self.score: dict[str, float] = {}
         self.likely: dict[str, float] = {}
         for xy, n in pairs.items():
@@ -130,6 +145,13 @@ class PairModel:
                     self.likely[other] = max(self.likely.get(other, UNSEEN), self.likely[xy] - 4.0)
                     self.score[other] = min(self.score.get(other, 4.0), self.score[xy] + 1.0)
 
+    def rare(self, xy: str) -> float:
+        """log2 p(y|x) of a pair that isn't named, by the sketch."""
+        if self.sketch is None or xy[0] not in self.left:
+            return UNSEEN
+        n = min(*(int(row[cell]) for row, cell in zip(self.sketch, cells(xy))), self.below)
+        return max(UNSEEN, math.log2(n / self.left[xy[0]])) if n else UNSEEN
+
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Spans of tokens touched by the maximum-scoring segments of improbable pairs."""
         score = self.score
@@ -151,7 +173,15 @@ class PairModel:
     def bits(self, text: str) -> float:
         """log2 likelihood of a text's pairs."""
         likely = self.likely
-        return sum(likely.get(x + y, UNSEEN) for x, y in zip(text, text[1:]))
+        if self.sketch is None:
+            return sum(likely.get(x + y, UNSEEN) for x, y in zip(text, text[1:]))
+        return sum(self.rare(xy) if (n := likely.get(xy)) is None else n for xy in map(str.__add__, text, text[1:]))
+
+
+def cells(xy: str) -> tuple[int, int]:
+    """The cells of a pair in the rows of the sketch."""
+    x, y = ord(xy[0]), ord(xy[1])
+    return (x * 2654435761 + y * 40503) % 4294967291 % CELLS, (x * 2246822519 + y * 3266489917) % 4294967279 % CELLS
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -400,7 +430,7 @@ class Judge:
             runs = self.model.runs(restored)
         if _LOST.search(restored):
             kinds.append("lost characters")
-        elif any(_ASKED.search(restored[a:b]) for a, b in runs):
+        elif _asked(restored, runs):
             kinds.append("question marks for letters")
         if not kinds:
             return None
@@ -426,20 +456,35 @@ def _counted(counts: Counter) -> pa.RecordBatch:
 
 def pair_model(texts: DataFrame) -> PairModel:
     """The model of the distinct texts in the first column."""
-    counts = spread(texts.distinct()).mapInArrow(_count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)))
-    kept = counts.where(F.col("n") >= F.lit(FLOOR) * total.scalar()).toPandas()  # at most 1 / FLOOR rows
-    n = int(kept.n.sum()) if len(kept) else 0
-    return PairModel(dict(zip(kept.pair, map(int, kept.n))), max(n, 1))
+    counts = written(spread(texts.distinct()).mapInArrow(_count, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    total = int(counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    named = F.col("n") >= F.lit(FLOOR * total)
+    kept = counts.where(named).toPandas()  # at most 1 / FLOOR rows
+    x, y = F.substring("pair", 1, 1).alias("c"), F.substring("pair", 2, 1).alias("c")
+    left, right = (counts.groupBy(c).agg(F.sum("n").alias("n")).toPandas() for c in (x, y))  # a row a code point
+    pairs, margins = dict(zip(kept.pair, map(int, kept.n))), [dict(zip(m.c, map(int, m.n))) for m in (left, right)]
+    if len(pairs) == counts.count():
+        return PairModel(pairs, max(total, 1), *margins)
+    hashed = counts.where(~named).mapInArrow(_cells, "row int, cell int, n bigint").groupBy("row", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2 x CELLS rows
+    rows = np.zeros((2, CELLS), dtype=np.int64)
+    rows[hashed.row.to_numpy(), hashed.cell.to_numpy()] = hashed.n.to_numpy()
+    return PairModel(pairs, max(total, 1), *margins, (rows[0], rows[1]), FLOOR * total)
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [cells(xy) for xy in batch.column(0).to_pylist()]
+        for k in range(2):
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array([c[k] for c in found], pa.int32()), batch.column(1)], ["row", "cell", "n"])
 
 
 def garbled(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
-    """``tab, row_key, kind, restored`` of the garbled rows of ``rows`` (``tab string, row_key bigint, text string``).
+    """``tab, row_key, text_hash, kind, restored`` of the garbled rows of ``rows`` (``tab string, row_key bigint, text string``); ``text_hash`` is ``xxhash64(text)``.
 
     ``corpus`` is the one-column frame the pair statistics are taken from, by default all texts of ``rows``. Null, empty and ASCII texts without question marks aren't
     garbled. Repeated rows come out as often as they are there. Other columns are not read. Texts are judged whole, whatever their length.
     """
-    texts = spread(rows.select("tab", "row_key", "text"))
+    texts = spread(rows.select("tab", "row_key", "text", F.xxhash64("text").alias("text_hash")))
     model = pair_model(spread(corpus) if corpus is not None else texts.select("text"))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
@@ -447,15 +492,15 @@ def garbled(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
         judgement = Judge(shared.value)
         for batch in batches:
             out: list[tuple] = []
-            for tab, key, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for tab, key, text, mark in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 found = judgement.inspect(text)
                 if found:
-                    out.append((tab, key, *found))
-            columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.string(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tab", "row_key", "kind", "restored"])
+                    out.append((tab, key, mark, *found))
+            columns = list(zip(*out)) or [()] * 5
+            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["tab", "row_key", "text_hash", "kind", "restored"])
 
-    return texts.mapInArrow(judge, "tab string, row_key bigint, kind string, restored string")
+    return texts.mapInArrow(judge, "tab string, row_key bigint, text_hash bigint, kind string, restored string")
 
 
 def restored_tokens(tokens: Column, text: Column, restored: Column) -> Column:

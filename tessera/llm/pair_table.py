@@ -26,7 +26,7 @@ from tessera.session import scratch, spread
 #: Pairs that a bucket holds at most, by the upper bound known before they are made, when the number of buckets is chosen.
 PAIRS_A_BUCKET = 1_000_000
 #: Name of the file that names the current version, and steps of a batch that no version keeps.
-CURRENT, STEPS = "current.json", ("incoming", "touched", "flags", "chunks", "deltas")
+CURRENT, STEPS = "current.json", ("rows", "incoming", "touched", "flags", "chunks", "deltas")
 _BASKETS = "basket bigint, chunk int, items array<bigint>"
 _PAIRS = "a bigint, b bigint, together bigint"
 _ITEMS = "item bigint, term string, n_before bigint, n_baskets bigint"
@@ -147,11 +147,13 @@ class PairTable:
         """
         before = self.state
         keyed = changed.where("basket is not null").select(F.col("basket").cast("bigint").alias("basket"), "term", F.when(F.col("term").isNotNull(), F.xxhash64("term")).alias("item"))
+        keyed = self._kept(keyed, "rows")
         incoming = self._kept(self._chunked(keyed.select("basket", "item")), "incoming")
         sizes = incoming.groupBy("basket").agg(F.sum(F.size("items")).alias("m"))
         n, most = sizes.agg(F.count("*"), F.coalesce(F.sum(F.col("m").cast("double") * (F.col("m") - 1) / 2), F.lit(0.0))).first()
         if not n:
-            self._drop(self._new("incoming"))
+            for step in ("rows", "incoming"):
+                self._drop(self._new(step))
             return self
         self.state = state = PairState(**(asdict(before) | {"buckets": before.buckets or max(8, min(8192, int(most // PAIRS_A_BUCKET) + 1))}))
         touched, state.baskets = self._replaced(incoming, before)

@@ -71,9 +71,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def p3_restored(spark: SparkSession, folder: str) -> DataFrame:
     """What garbled each row, its restored text, and a line's restored tokens."""
-    found = garbled(_texts(spark, folder)).dropDuplicates(["tab", "row_key", "restored"])
+    found = garbled(_texts(spark, folder)).dropDuplicates(["tab", "row_key", "text_hash"])
     lines = table(spark, folder, "kwic_lines").select(F.lit("kwic_lines").alias("tab"), F.col("line_id").cast("bigint").alias("row_key"), "left_tokens", "keyword", "right_tokens", "sentence")
-    joined = found.join(lines.dropDuplicates(["row_key", "sentence"]), ["tab", "row_key"], "left")
+    # a key with several sentences keeps them apart
+    keyed = lines.withColumn("text_hash", F.xxhash64("sentence")).dropDuplicates(["row_key", "text_hash"])
+    joined = found.join(keyed, ["tab", "row_key", "text_hash"], "left")
 
     def tokens(c: str) -> Column:
         return restored_tokens(F.col(c), F.col("sentence"), F.col("restored")).alias(c)

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import unicodedata
 from collections import Counter, defaultdict
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.containers import fill_containers, fill_report, pack
 from tessera.llm.mixture import Mixture, quality_weight
-from tessera.llm.mojibake import MAPPINGS, NOT_UTF8, Judge, PairModel, _utf8_pairs, garbled, maximal_segments, restored_tokens, undo_utf8
+from tessera.llm.mojibake import FLOOR, LOW_SHARE, MAPPINGS, NOT_UTF8, UNSEEN, Judge, PairModel, _utf8_pairs, garbled, maximal_segments, restored_tokens, undo_utf8
 from tessera.llm.pair_table import PairTable
 from tessera.llm.sentences import sentence_spans, sentences
 from tessera.llm.split_records import boundaries, current_settings, cut, split_records
@@ -175,6 +176,62 @@ def test_garbled_rows(spark):
     assert tokens == ["não", "x"] and len(MAPPINGS) > 50
 
 
+def test_rare_pairs_are_counted_too(spark, monkeypatch):
+    from tessera.llm import mojibake
+
+    texts = spark.createDataFrame([(f"{x} {y} {k}",) for k, x in enumerate(CLEAN) for y in CLEAN], "text string")
+    exact = mojibake.pair_model(texts)
+    monkeypatch.setattr(mojibake, "FLOOR", 5e-3)
+    small = mojibake.pair_model(texts)
+    assert small.sketch is not None and len(small.likely) < len(exact.likely) / 2
+    for xy in exact.likely:
+        if xy not in small.likely and not xy.isupper() and not xy[0].isupper():
+            assert small.rare(xy) == pytest.approx(exact.likely[xy]) or small.rare(xy) > exact.likely[xy]
+    assert small.rare("qж") == UNSEEN and sum(abs(small.rare(xy) - exact.likely[xy]) < 1e-9 for xy in exact.likely if xy not in small.likely) > 100
+
+
+def test_scores_of_pairs_below_the_floor_are_the_highest():
+    p = FLOOR
+    assert p * math.log2(1 / p) < LOW_SHARE / 16
+
+
+@pytest.mark.parametrize("text,lost", [("?????? ?? ???? ontem", True), ("Ele disse: ????? ??????.", True), ("Sim?? Não???", False), ("O quê ??? Nada.", False), ("Привет мо?кв?", True), ("fim?Outro", False)])
+def test_words_of_question_marks(judge, text, lost):
+    assert (judge.inspect(text) is not None) == lost
+
+
+def test_keys_with_two_sentences_keep_them_apart(spark, tmp_path):
+    from tessera.llm.queries import p3_restored
+
+    bad = [CLEAN[k].encode().decode("cp1252") for k in (0, 3)]
+    lines = [(7, t.split(" ")[:2], t.split(" ")[2], t.split(" ")[3:], t) for t in bad]
+    spark.createDataFrame(lines, "line_id bigint, left_tokens array<string>, keyword string, right_tokens array<string>, sentence string").write.parquet(f"{tmp_path}/kwic_lines.parquet")
+    spark.createDataFrame([(k, t) for k, t in enumerate(CLEAN * 20)], "doc_id int, text string").write.parquet(f"{tmp_path}/topic_corpus.parquet")
+    got = [(r.restored, " ".join([*r.left_tokens, r.keyword, *r.right_tokens])) for r in p3_restored(spark, str(tmp_path)).where("tab = 'kwic_lines'").collect()]
+    assert sorted(got) == sorted((CLEAN[k], CLEAN[k]) for k in (0, 3))
+
+
+def test_held_out_garbling(spark):
+    """Texts of a table whose rows the rules were not written on, garbled at random: nearly all are found, few clean ones are."""
+    folder = "/root/testdata/sf0.001/documents.parquet"
+    if not Path(folder).exists():
+        pytest.skip("no test data")
+    texts = sorted({line.strip() for (t,) in spark.read.parquet(folder).where("text is not null").select("text").collect() for line in t.split("\n") if 40 < len(line) < 400 and not line.isascii()})
+    rnd, rows, bad = random.Random(5), [], set()
+    ways = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp1251"), ("cp1252", "mac_roman"), ("cp1252", "cp850")]
+    for k, t in enumerate(texts):
+        if k % 5 == 0:
+            a, b = rnd.choice(ways)
+            try:
+                t, bad = t.encode(a).decode(b), bad | {k}
+            except UnicodeError:
+                pass
+        rows.append(("t", k, t))
+    got = {r.row_key for r in garbled(spark.createDataFrame(rows, "tab string, row_key bigint, text string")).collect()}
+    print("held-out rows", len(rows), "garbled", len(bad), "found", len(got), "both", len(got & bad))
+    assert len(got & bad) >= 0.9 * len(bad) and len(got - bad) <= 0.02 * len(rows)
+
+
 def test_copies_of_a_garbled_text_do_not_hide_it(spark):
     clean = [f"{x} {y}" for x in CLEAN for y in CLEAN]
     bad = [CLEAN[1].encode().decode("cp1252", "replace"), "Não h� inform�ção", CLEAN[0].encode("ascii", "replace").decode(), CLEAN[0].encode().decode("cp1252")]
