@@ -2,7 +2,7 @@
 
 The standard character properties of text segmentation (Sentence_Break: STerm, ATerm, Close, SContinue, Upper, Lower, OLetter) find the candidate ends in all scripts;
 rules then tailor them: paragraph separators end a unit unless the text is hard-wrapped there; full stops of abbreviations, initials, numbers, list numbers, addresses
-and file names are suppressed by language; an ellipsis goes on before a small letter; quotations and brackets are whole: nothing inside ends the unit, and one that
+and file names are suppressed, abbreviations by the language that the text's script and small words tell; an ellipsis goes on before a small letter; quotations and brackets are whole: nothing inside ends the unit, and one that
 closes with a terminator ends it only if it stands alone or a new sentence visibly starts. Thai, without terminators, ends units at blanks between Thai phrases, except
 around numerals and after the repetition mark.
 
@@ -12,12 +12,14 @@ Header lines (``****``) and theme lines (``-*``) are no units. A unit starts wit
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.session import spread
 
@@ -34,6 +36,8 @@ _STRONG = frozenset(_STERM)
 _CONTINUES = frozenset(_property("SContinue"))
 #: Quotation marks and brackets that open and what closes them.
 _CLOSES = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "(": ")", "[": "]", "（": "）", "【": "】", "《": "》", "‹": "›", "‚": "‘’"}
+#: Brackets of all scripts: the opening marks of property Close whose closing mark follows them in the code charts.
+_CLOSES |= {c: chr(ord(c) + k) for c in _property("Close") for k in (2, 1) if unicodedata.category(c) == "Ps" and unicodedata.category(chr(ord(c) + k)) == "Pe"} | _CLOSES
 _OPENERS = frozenset(_CLOSES) | frozenset("¿¡\"'‘")
 _CLOSERS = "".join(dict.fromkeys("".join(_CLOSES.values()))) + "\"'"
 _PAIRED = frozenset("".join(_CLOSES) + "".join(_CLOSES.values()))
@@ -82,8 +86,46 @@ FINAL = {
     "ru": "д др пр т.д т.п п",
     "el": "κ.λπ κ.ά λπ",
 }
-_SUPPRESS = frozenset(w for words in ABBREVIATIONS.values() for w in words.split())
+_POOLED = frozenset(w for words in ABBREVIATIONS.values() for w in words.split())
 _MAY_END = frozenset(w for words in FINAL.values() for w in words.split())
+#: Abbreviations that are words of their own language too; in any language they suppress a full stop before a number, and only there.
+BEFORE_NUMBERS = frozenset("no nos art arts".split())
+#: Abbreviations of one language that are words, or letters, of another; they hold in their own language only. Titles and the like hold wherever they are met,
+#: as texts quote names across languages.
+ELSEWHERE_WORDS = frozenset("me al min max gen col sec fig pe ex cap av hon rev ed est app ch obs am as".split())
+#: Small words that tell languages of the Latin script apart.
+SMALL_WORDS = {
+    "pt": "o os as um uma em no na nos nas do da dos das ao aos que não com para por mais foi ele ela eu seu sua e também já é são",
+    "es": "el los las un una en del al que no con para por más fue él ella yo su sus y también ya es son dije pero como",
+    "fr": "le les un une des en dans du au aux que ne pas avec pour par plus fut il elle je son sa ses et aussi est sont nous vous",
+    "en": "the a an of in on to and that not with for by more was he she i his her it is are we you said then me my at",
+    "de": "der die das ein eine den dem des in im zu und dass nicht mit für von mehr war er sie ich sein ihr es ist sind wir meine auf",
+}
+_SMALL = {k: frozenset(v.split()) for k, v in SMALL_WORDS.items()}
+_WORDS = re.compile(r"[^\W\d_]+")
+#: How many times as often the small words of one language must come as those of another to rule the other out, and how many tell without the hint.
+CLEARLY, ENOUGH = 1.5, 3
+
+
+@lru_cache(maxsize=64)
+def _abbreviations(latin: frozenset[str]) -> frozenset[str]:
+    """Abbreviations of some languages of the Latin script and of all other scripts, whose letters keep them apart."""
+    return frozenset(w for k, words in ABBREVIATIONS.items() if k in latin or k not in _SMALL for w in words.split())
+
+
+def languages(text: str, lang: str | None = None) -> frozenset[str]:
+    """The languages of the Latin script that the text may be in: those whose small words are most frequent. Where these say little, ``lang`` counts too; where nothing is
+    known, all. ``lang`` may be wrong or null."""
+    counts = dict.fromkeys(_SMALL, 0)
+    for w in _WORDS.findall(text.lower()):
+        for k, words in _SMALL.items():
+            counts[k] += w in words
+    best = max(counts.values())
+    found = {k for k, n in counts.items() if n and n * CLEARLY >= best}
+    hint = (lang or "").strip().lower()[:2]
+    if best < ENOUGH and hint in _SMALL:
+        found.add(hint)
+    return frozenset(found or _SMALL)
 #: Words after a quotation that report it, in scripts or styles where letter case doesn't tell.
 REPORTING = frozenset(
     "disse perguntou respondeu contou falou afirmou explicou dijo preguntó respondió contó explicó dit demanda demande répondit raconta said asked told replied answered "
@@ -92,6 +134,7 @@ REPORTING = frozenset(
 )
 _WORD_BEFORE = re.compile(r"[\w.\-ºª\u0300-\u036f\u0900-ॿ]+$")
 _WORD_AFTER = re.compile(r"[\w\u0300-\u036f\u0900-ॿ]+")
+_A_NUMBER = re.compile(r"[\d#(°º]|[IVXLC]+\b")
 _ACRONYM = re.compile(r"(?:[^\W\d_]\.)*[^\W\d_]")
 #: Spaced abbreviations that are no initials of a person: a company's form, or three letters and more after a small word that is no title.
 _COMPANY = re.compile(r"[a-zà-ÿα-ώа-я]\s(?:[Ss]\.\s[Aa]|(?!D\.)(?:[^\W\d_]\.\s){2,}[^\W\d_])$")
@@ -183,7 +226,7 @@ def _spans(x: str, marks: re.Pattern | None) -> dict[int, tuple[int, int]]:
     return closed
 
 
-def _ends(x: str, small: bool, patterns: tuple[re.Pattern | None, re.Pattern | None], thai: bool) -> list[int]:
+def _ends(x: str, small: bool, known: frozenset[str], patterns: tuple[re.Pattern | None, re.Pattern | None], thai: bool) -> list[int]:
     """Offsets at which new units start within a paragraph, after the first."""
     starts: list[int] = []
     end, marks = patterns
@@ -226,13 +269,13 @@ def _ends(x: str, small: bool, patterns: tuple[re.Pattern | None, re.Pattern | N
             break
         k = seen.start()
         nxt, gap = x[k], k > after
-        if _boundary(x, begin, at, term, after, k, nxt, gap, outer, small):
+        if _boundary(x, begin, at, term, after, k, nxt, gap, outer, small, known):
             starts.append(k)
             begin = k
     return starts
 
 
-def _boundary(x: str, begin: int, at: int, term: int, after: int, k: int, nxt: str, gap: bool, outer: tuple[int, int] | None, small: bool) -> bool:
+def _boundary(x: str, begin: int, at: int, term: int, after: int, k: int, nxt: str, gap: bool, outer: tuple[int, int] | None, small: bool, known: frozenset[str]) -> bool:
     marks = x[at:term]
     if nxt in _CONTINUES or nxt in "–—·=/%" and not (nxt in "–—" and outer is None and gap):
         return False
@@ -271,11 +314,19 @@ def _boundary(x: str, begin: int, at: int, term: int, after: int, k: int, nxt: s
         if nxt.islower():
             return small
         return not loud
-    return _full_stop(x, begin, at, k, nxt, gap, loud, small)
+    return _full_stop(x, begin, at, k, nxt, gap, loud, small, known)
+
 
+def _full_stop(x: str, begin: int, at: int, k: int, nxt: str, gap: bool, loud: bool, small: bool, known: frozenset[str]) -> bool:
+    """Whether the single full stop at ``at`` ends a unit; ``nxt`` is the next visible character, ``known`` are the abbreviations of the text's languages."""
+
+    def suppressed(key: str) -> bool:
+        if key not in _POOLED or key in BEFORE_NUMBERS:
+            return key in BEFORE_NUMBERS and bool(_A_NUMBER.match(x, k))
+        if key in known or len(key) > 1 and key not in ELSEWHERE_WORDS:
+            return True
+        return key in _abbreviations(languages(x[begin : k + 60]))  # the sentence may be in another language than the text
 
-def _full_stop(x: str, begin: int, at: int, k: int, nxt: str, gap: bool, loud: bool, small: bool) -> bool:
-    """Whether the single full stop at ``at`` ends a unit; ``nxt`` is the next visible character."""
     if x[at] != ".":
         return gap or not nxt.isalnum()
     before = _WORD_BEFORE.search(x, max(begin, at - 40), at)
@@ -287,7 +338,7 @@ def _full_stop(x: str, begin: int, at: int, k: int, nxt: str, gap: bool, loud: b
             return nxt in _OPENERS
         if w and w[-1].isascii() != nxt.isascii() and not (nxt.isupper() or nxt.islower()):
             return True
-        if w.casefold() in _SUPPRESS or "." in w or len(w) < 3 or "_" in w:
+        if suppressed(w.casefold()) or "." in w or len(w) < 3 or "_" in w:
             return False
         tail = x[k + 1 : k + 3]
         return nxt.isupper() and (w[-1].islower() or w[-1].isdigit()) and not tail[:1].isupper() and tail[:1] != "."
@@ -295,7 +346,7 @@ def _full_stop(x: str, begin: int, at: int, k: int, nxt: str, gap: bool, loud: b
         return False
     key = w.casefold().lstrip(".-")
     if key in _MAY_END or w.split(".")[-1].casefold() in ("ä",):
-        if key not in _SUPPRESS:
+        if key not in _POOLED:
             return not nxt.islower() and not loud and not nxt.isdigit()
         head = x[max(begin, at - 8) : at]
         if re.search(r"(?:[тu]\. ?[дпÄä]|и (?:др|пр))$", head):
@@ -304,7 +355,7 @@ def _full_stop(x: str, begin: int, at: int, k: int, nxt: str, gap: bool, loud: b
             return not nxt.islower() and not loud
     if key in ("г", "гг") and re.search(r"\d\s*гг?$", x[max(begin, at - 8) : at]):
         return not nxt.islower()
-    if key in _SUPPRESS:
+    if suppressed(key):
         return False
     if len(w) == 1 and w.isalpha() and (w.isupper() or small):
         company = _COMPANY.search(x, max(begin, at - 60), at)
@@ -328,21 +379,23 @@ def _address(x: str, at: int) -> bool:
     return "://" in x[start:at] or x[start : at].lower().startswith("www.")
 
 
-def sentence_spans(text: str | None) -> list[tuple[int, int]]:
-    """``(start, end)`` of each unit, in code points; the end is after its last visible character. Null and blank texts have none."""
+def sentence_spans(text: str | None, lang: str | None = None) -> list[tuple[int, int]]:
+    """``(start, end)`` of each unit, in code points; the end is after its last visible character. Null and blank texts have none.
+    ``lang`` is a hint that may be wrong."""
     if not text:
         return []
     small = small_style(text)
     chars = set(text)
     patterns = _patterns("".join(sorted(chars & _TERMINATORS)), "".join(sorted(chars & _PAIRED)))
     thai = bool(_THAI.search(text))
+    known = _abbreviations(languages(text, lang)) if "." in chars else _abbreviations(frozenset())
     out: list[tuple[int, int]] = []
     for a, b in _paragraphs(text):
         x = text[a:b]
         first = _VISIBLE.search(x)
         if not first:
             continue
-        starts = [first.start(), *_ends(x, small, patterns, thai)]
+        starts = [first.start(), *_ends(x, small, known, patterns, thai)]
         for s, e in zip(starts, [*starts[1:], len(x)]):
             out.append((a + s, a + s + len(x[s:e].rstrip())))
     return out
@@ -351,8 +404,8 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, unit, starts, ends = [], [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for k, (a, b) in enumerate(sentence_spans(text)):
+        for doc, text, lang in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for k, (a, b) in enumerate(sentence_spans(text, lang)):
                 ids.append(doc)
                 unit.append(k)
                 starts.append(a)
@@ -365,6 +418,7 @@ def sentences(docs: DataFrame) -> DataFrame:
     """``doc_id, unit, start_pos, end_pos``: the sentence units of every ``text`` of ``docs`` in order.
 
     Positions are in code points from 0, the end exclusive. Null, empty and blank texts and texts of header lines only give no unit; a null ``doc_id`` and repeated rows
-    are kept. Other columns aren't read. No shuffle but to spread a scan of few partitions.
+    are kept. ``lang``, if the table has it, is a hint. Other columns aren't read. No shuffle but to spread a scan of few partitions.
     """
-    return spread(docs.select("doc_id", "text")).mapInArrow(_units, "doc_id bigint, unit int, start_pos bigint, end_pos bigint")
+    lang = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    return spread(docs.select("doc_id", "text", lang.alias("lang"))).mapInArrow(_units, "doc_id bigint, unit int, start_pos bigint, end_pos bigint")

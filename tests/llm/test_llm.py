@@ -16,7 +16,7 @@ from tessera.llm.containers import fill_containers, fill_report, pack
 from tessera.llm.mixture import Mixture, quality_weight
 from tessera.llm.mojibake import FLOOR, LOW_SHARE, MAPPINGS, NOT_UTF8, UNSEEN, Judge, PairModel, _utf8_pairs, garbled, maximal_segments, restored_tokens, undo_utf8
 from tessera.llm.pair_table import PairTable
-from tessera.llm.sentences import sentence_spans, sentences
+from tessera.llm.sentences import SMALL_WORDS, languages, sentence_spans, sentences
 from tessera.llm.split_records import boundaries, current_settings, cut, split_records
 from tessera.llm.term_bitmaps import merge_bitmaps, record_count, term_bitmaps, term_frequencies
 from tessera.llm.token_sizes import RANKS, encoder, token_size
@@ -435,6 +435,20 @@ def test_sentences(text, want):
     assert [text[a:b] for a, b in sentence_spans(text)] == want
 
 
+@pytest.mark.parametrize("lang", [None, "pt", "fr", "xx"])
+@pytest.mark.parametrize(
+    "text,n",
+    [("I said no. Then I left.", 2), ("Yo dije que no. Después salí.", 2), ("Das ist meine Art. Er ging.", 2), ("Call me. He left the house.", 2), ("Veja o art. 5 da lei. Fim.", 2), ("See no. 7 of the list. It is long.", 2)],
+)
+def test_abbreviations_by_language(text, n, lang):
+    assert len(sentence_spans(text, lang)) == n
+
+
+def test_languages():
+    assert languages("Não há mais do que isso para ele e ela") == {"pt"} and languages("The house that he said is in the list") == {"en"}
+    assert languages("Xyz", "fr-FR") == {"fr"} and languages("Xyz", "??") == set(SMALL_WORDS) == languages("текст")
+
+
 def test_wrapped_lines():
     text = "Uma frase que foi quebrada na margem direita do texto pelo\nprograma que a gravou continua aqui. Depois vem outra frase\nque também segue adiante até o fim do parágrafo de teste.\n\nNovo."
     assert len(sentence_spans(text)) == 3
