@@ -37,8 +37,19 @@ def per(count: Column, size: Column, unit: float) -> Column:
     return ratio(count * F.lit(unit), size)
 
 
+_LOG_GAMMA = np.array([math.inf, *(math.lgamma(k) for k in range(1, 1024))])
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """log of the gamma function at positive integers: a table, and Stirling's series above it."""
+    x = np.asarray(x)
+    z = np.maximum(x, 1023).astype(float)
+    far = (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return np.where(x < 1024, _LOG_GAMMA[np.minimum(x, 1023).astype(np.int64)], far)
+
+
 def _log_choose(n: np.ndarray, k: np.ndarray) -> np.ndarray:
-    return np.array([math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1) for a, b in zip(n, k)])
+    return log_gamma(n + 1) - log_gamma(k + 1) - log_gamma(n - k + 1)
 
 
 def hypergeometric_tail(k: int, row: int, col: int, total: int) -> float:

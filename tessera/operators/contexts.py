@@ -5,22 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.text import fold
 from tessera.functions.tokenizers import tokenize
+from tessera.operators.corpus import numbered
 from tessera.session import written
 
 
-def kwic(docs: DataFrame, query: str, context: int = 5, regex: bool = False, rule: str = "kwic") -> DataFrame:
-    """``doc_id, pos, left_tokens, keyword, right_tokens`` of every hit, in its document's context. No shuffle: contexts are slices of the document's token array.
+def kwic(docs: DataFrame, query: str, context: int = 5, regex: bool = False, rule: str = "kwic", case_sensitive: bool = False, stream: bool = True) -> DataFrame:
+    """``doc_id, pos, left_tokens, keyword, right_tokens`` of every hit.
 
-    The query is compared in small letters, a regular expression with whole tokens. Null texts give no hit.
+    Tokens and query are compared without accents and case, or as they stand if ``case_sensitive``; a regular expression with whole tokens. With ``stream`` the context goes
+    on into the documents before and after, in the order of ``doc_id``; else it ends with its document, without a shuffle. Null texts give no hit.
     """
     words = docs.select("doc_id", tokenize(F.col("text"), rule).alias("w")).where("w is not null")
-    hit = (lambda w: F.lower(w).rlike(f"^(?:{query})$")) if regex else (lambda w: F.lower(w) == query.lower())
+    seen = (lambda w: w) if case_sensitive else fold
+    sought = query if case_sensitive else F.lit(query) if regex else fold(F.lit(query))
+    hit = (lambda w: seen(w).rlike(f"{'' if case_sensitive else '(?i)'}^(?:{query})$")) if regex else (lambda w: seen(w) == sought)
     # the token array is searched before it is exploded, so only hits become rows
     at = F.filter(F.transform("w", lambda w, i: F.when(hit(w), i)), lambda i: i.isNotNull())
     hits = words.select("doc_id", "w", F.explode(at).alias("pos"))
     left = F.slice("w", F.greatest(F.col("pos") + 1 - context, F.lit(1)), F.least(F.col("pos"), F.lit(context)))
-    return hits.select("doc_id", "pos", left.alias("left_tokens"), F.get("w", F.col("pos")).alias("keyword"), F.slice("w", F.col("pos") + 2, context).alias("right_tokens"))
+    found = hits.select("doc_id", "pos", left.alias("left_tokens"), F.get("w", F.col("pos")).alias("keyword"), F.slice("w", F.col("pos") + 2, context).alias("right_tokens"))
+    if not stream:
+        return found
+    around = _edges(words, context)
+    joined = found.join(around, "doc_id", "left")
+    tail, head = F.coalesce("before", F.array().cast("array<string>")), F.coalesce("after", F.array().cast("array<string>"))
+    missing_left, missing_right = context - F.size("left_tokens"), context - F.size("right_tokens")
+    return joined.select(
+        "doc_id", "pos", F.concat(F.slice(tail, F.greatest(F.size(tail) - missing_left + 1, F.lit(1)), missing_left), "left_tokens").alias("left_tokens"), "keyword",
+        F.concat("right_tokens", F.slice(head, F.lit(1), missing_right)).alias("right_tokens"),
+    )
+
+
+def _edges(words: DataFrame, context: int, bucket: int = 1000) -> DataFrame:
+    """``doc_id, before, after``: the last ``context`` tokens before each document and the first after it. Only the edges of documents travel: documents with tokens are numbered,
+    and each goes to its bucket of numbers and, near the bucket's end, to the neighbour too."""
+    slim = words.where(F.size("w") > 0).select("doc_id", F.slice("w", 1, context).alias("head"), F.slice("w", F.greatest(F.size("w") - context + 1, F.lit(1)), context).alias("tail"))
+    placed = numbered(slim, "doc_id", "idx")
+    home = F.floor(F.col("idx") / bucket)
+    near = F.array_distinct(F.array(F.floor((F.col("idx") - context) / bucket), home, F.floor((F.col("idx") + context) / bucket)))
+    rows = placed.withColumn("home", home).withColumn("bucket", F.explode(near))
+    order = Window.partitionBy("bucket").orderBy("idx")
+    before = F.flatten(F.collect_list("tail").over(order.rowsBetween(-context, -1)))
+    after = F.flatten(F.collect_list("head").over(order.rowsBetween(1, context)))
+    return rows.select("doc_id", "home", "bucket", before.alias("before"), after.alias("after")).where("home = bucket").select("doc_id", "before", "after")
 
 
 def concordance(docs: DataFrame, pattern: str, width: int = 50) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.indices import ALIASES, FULL, index
-from tessera.session import paired
+from tessera.session import paired, spread, written
 
 
 def windowed(words: DataFrame, window: int = 5, column: str = "w") -> DataFrame:
@@ -19,31 +19,40 @@ def windowed(words: DataFrame, window: int = 5, column: str = "w") -> DataFrame:
     return pairs.groupBy(F.least("a", "b").alias("term_a"), F.greatest("a", "b").alias("term_b")).agg(F.count("*").alias("n_pairs")).withColumn("n_ref", F.col("n_pairs") * 2)
 
 
-def presence(units: DataFrame, vocabulary: DataFrame, unit: str = "uce_id", form: str = "form", block: int = 128) -> DataFrame:
+def presence(units: DataFrame, vocabulary: DataFrame, unit: str = "uce_id", form: str = "form", block: int = 256) -> DataFrame:
     """``term_a < term_b, n``: units that hold both terms, for terms of ``vocabulary``. ``units`` has distinct (unit, form) rows.
 
-    A unit's terms are cut into blocks and pairs of blocks are expanded, so no task expands more than block^2 pairs at once.
+    A unit with at most ``block`` terms expands its pairs where it is. A larger one is cut into chunks by a hash of the term, and each pair of chunks is shuffled on its own key,
+    so a unit of any size spreads over all tasks and no row grows with it.
     """
-    kept = units.join(vocabulary.select(form), form, "left_semi")
-    packed = kept.groupBy(unit).agg(F.array_sort(F.collect_set(form)).alias("xs")).where(F.size("xs") > 1)
-    cut = packed.select("xs", F.explode(F.expr(f"sequence(0, int((size(xs) - 1) div {block}))")).alias("i"))
-    two = cut.select("xs", "i", F.explode(F.expr(f"sequence(i, int((size(xs) - 1) div {block}))")).alias("j"))
-    sides = two.select(F.expr(f"slice(xs, i * {block} + 1, {block})").alias("l"), F.expr(f"slice(xs, j * {block} + 1, {block})").alias("r"), F.expr("i = j").alias("same"))
-    first = sides.select("r", "same", F.posexplode("l").alias("pos", "term_a"))
-    pairs = first.select("term_a", F.explode(F.expr(f"if(same, slice(r, pos + 2, {block}), r)")).alias("term_b"))
-    return pairs.groupBy("term_a", "term_b").agg(F.count("*").alias("n"))
-
-
-def ppmi(pairs: DataFrame, alpha: float = 0.75, min_cooc: int = 1, most: int = 200) -> DataFrame:
+    kept = units.join(vocabulary.select(form), form, "left_semi").select(F.col(unit).alias("u"), F.col(form).alias("x"))
+    large = kept.groupBy("u").agg(F.count("*").alias("size")).where(F.col("size") > block)
+    chunks = F.coalesce(F.ceil(F.col("size") / block), F.lit(1))
+    placed = kept.join(large, "u", "left").select("u", "x", chunks.alias("chunks"), F.pmod(F.xxhash64("x"), chunks).cast("int").alias("chunk"))
+    packed = written(placed.groupBy("u", "chunks", "chunk").agg(F.collect_list("x").alias("xs")), "chunks")
+    several = packed.where("chunks > 1").select("u", "chunk", "xs", F.explode(F.expr("sequence(0, int(chunks) - 1)")).alias("other"))
+    spark = units.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = several.withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).repartition(tasks, "u", "i", "j")
+    cells = keyed.groupBy("u", "i", "j").agg(F.collect_list("xs").alias("sides"))
+    met = cells.where("i = j or size(sides) = 2").select(F.expr("sides[0]").alias("l"), F.expr("sides[size(sides) - 1]").alias("r"), F.expr("i = j").alias("same"))
+    alone = spread(packed.where("chunks = 1")).select(F.col("xs").alias("l"), F.col("xs").alias("r"), F.lit(True).alias("same"))
+    first = alone.unionByName(met).select("r", "same", F.posexplode("l").alias("pos", "a"))
+    pairs = first.select("a", F.explode(F.expr("if(same, slice(r, pos + 2, size(r)), r)")).alias("b"))
+    return pairs.groupBy(F.least("a", "b").alias("term_a"), F.greatest("a", "b").alias("term_b")).agg(F.count("*").alias("n"))
+
+
+def ppmi(pairs: DataFrame, alpha: float = 0.75, min_cooc: int = 1, most: int | None = 200) -> DataFrame:
     """``term_a, term_b, n, ppmi``: positive PMI with a smoothed context distribution over the symmetric matrix of ``pairs`` (``term_a < term_b, n``), the strongest
-    first (ties by n, then terms); the value read is that of row term_a, column term_b."""
+    first (ties by n, then terms), or all if ``most`` is None; the value read is that of row term_a, column term_b."""
     both = pairs.select(F.col("term_a").alias("t"), "n").unionAll(pairs.select(F.col("term_b").alias("t"), "n"))
     rows = both.groupBy("t").agg(F.sum("n").cast("double").alias("row"))
     sums = rows.agg(F.sum("row").alias("total"), F.sum(F.pow("row", F.lit(alpha))).alias("smooth"))
     total, smooth = sums.select("total").scalar(), sums.select("smooth").scalar()
     joined = pairs.join(rows.select(F.col("t").alias("term_a"), F.col("row").alias("ra")), "term_a").join(rows.select(F.col("t").alias("term_b"), F.col("row").alias("rb")), "term_b")
     value = F.greatest(F.lit(0.0), F.log2(F.col("n") / total / (F.col("ra") / total * (F.pow("rb", F.lit(alpha)) / smooth))))
-    return joined.where(F.col("n") >= min_cooc).select("term_a", "term_b", "n", value.alias("ppmi")).orderBy(F.desc("ppmi"), F.desc("n"), "term_a", "term_b").limit(most)
+    scored = joined.where(F.col("n") >= min_cooc).select("term_a", "term_b", "n", value.alias("ppmi"))
+    return scored if most is None else scored.orderBy(F.desc("ppmi"), F.desc("n"), "term_a", "term_b").limit(most)
 
 
 def contingency(units: DataFrame, vocabulary: DataFrame, unit: str = "uce_id", form: str = "form", full: bool = False, most: int = 5000) -> DataFrame:
@@ -91,14 +100,16 @@ def concept_pairs(words: DataFrame, concepts: DataFrame, window: int = 10, colum
     return pairs.groupBy("concept_a", "concept_b").agg(F.count("*").alias("windows"))
 
 
-def labbe(dtm: DataFrame, key: str = "doc_id") -> DataFrame:
+def labbe(dtm: DataFrame, key: str = "doc_id", most: int = 5000) -> DataFrame:
     """``text_1 < text_2, distance``: Labbé's intertextual distance of every pair of texts of a long matrix ``key, form, n``.
 
     The larger text is scaled to the smaller; forms only in the larger count from a scaled frequency of 1. In the denominator scaled frequencies count from 1 if text 1 is
-    the larger, above 1 otherwise. Meant for a bounded set of texts: all their pairs come out. Empty texts have no rows and take no part.
+    the larger, above 1 otherwise. All pairs of texts come out, so more than ``most`` texts are refused. Empty texts have no rows and take no part.
     """
-    dtm, key = dtm.select(F.col(key).alias("_text"), "form", "n"), "_text"
+    dtm, key = written(dtm.select(F.col(key).alias("_text"), "form", "n"), "dtm"), "_text"
     sizes = dtm.groupBy(key).agg(F.sum("n").alias("size"))
+    if sizes.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} texts")
     left, right = sizes.select(F.col(key).alias("text_1"), F.col("size").alias("n1")), sizes.select(F.col(key).alias("text_2"), F.col("size").alias("n2"))
     pairs = paired(left, right).where("text_1 < text_2")
     scale1, scale2 = F.when(F.col("n1") > F.col("n2"), F.col("n2") / F.col("n1")).otherwise(1.0), F.when(F.col("n1") > F.col("n2"), 1.0).otherwise(F.col("n1") / F.col("n2"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import fold
+from tessera.session import written
 
 
 def fingerprint(text: Column) -> Column:
@@ -29,18 +30,52 @@ def variant_groups(forms: DataFrame, key: Column) -> DataFrame:
     return keyed.join(groups, "key").select("key", "canonical", "form", "freq")
 
 
-def close_pairs(forms: DataFrame, most: int = 1, prefix: int = 3, shortest: int = 5) -> DataFrame:
+def close_pairs(forms: DataFrame, most: int = 1, prefix: int = 3) -> DataFrame:
     """``form_a < form_b, distance``: forms with one folded prefix at most ``most`` edits apart.
 
-    Blocks are the prefix and the length: lengths of a pair differ by ``most`` at the most, so each form is met under its own length and the ones above it.
+    Blocks are the prefix, the length and one of ``most`` + 1 equal parts that two such forms must share at about the same place (they differ in ``most`` places at the most), so
+    a prefix that many forms have is many small blocks. Forms too short for parts meet under their prefix and length.
     """
-    rows = forms.select("form", fold(F.col("form")).alias("folded")).where(F.length("folded") >= shortest)
-    rows = rows.select("form", "folded", F.substring("folded", 1, prefix).alias("block"), F.length("folded").alias("len"))
-    left = rows.select("block", F.col("form").alias("f1"), F.col("folded").alias("d1"), F.col("len").alias("l1"), F.explode(F.sequence(F.col("len"), F.col("len") + most)).alias("len"))
-    right = rows.select("block", "len", F.col("form").alias("f2"), F.col("folded").alias("d2"))
-    pairs = left.join(right, ["block", "len"]).where((F.col("f1") != F.col("f2")) & ((F.col("l1") < F.col("len")) | (F.col("f1") < F.col("f2"))))
-    distance = F.levenshtein("d1", "d2", most)
-    return pairs.select(F.least("f1", "f2").alias("form_a"), F.greatest("f1", "f2").alias("form_b"), distance.alias("distance")).where(F.col("distance").between(0, most))
+    rows = forms.select("form", fold(F.col("form")).alias("d"))
+    rows = rows.select("form", "d", F.substring("d", 1, prefix).alias("block"), F.length("d").alias("len"))
+    n = most + 1
+
+    def parts(length: Column, shifts: range) -> Column:
+        """Keys (part, text) of ``d``, cut as a form of ``length`` would be, each moved by the shifts."""
+        found = []
+        for k in range(n):
+            start, stop = F.floor(length * k / n).cast("int"), F.floor(length * (k + 1) / n).cast("int")
+            found += [F.struct(F.lit(k).alias("part"), F.substring(F.col("d"), start + 1 + s, stop - start).alias("piece")) for s in shifts]
+        return F.array_distinct(F.array(*found))
+
+    # the shorter form's parts are cut by its own length, the longer one's by the shorter's, wherever edits may have moved them
+    left = rows.select("block", "form", "d", "len", F.explode(parts(F.col("len"), range(1))).alias("key"))
+    longer = rows.withColumn("short", F.explode(F.sequence(F.greatest(F.col("len") - most, F.lit(0)), F.col("len"))))
+    right = longer.select("block", F.col("form").alias("form2"), F.col("d").alias("d2"), F.col("len").alias("len2"), F.col("short").alias("len"), F.explode(parts(F.col("short"), range(-most, most + 1))).alias("key"))
+    pairs = left.join(right, ["block", "len", "key"]).where((F.col("len") < F.col("len2")) | (F.col("form") < F.col("form2"))).where("form <> form2")
+    named = pairs.select(F.least("form", "form2").alias("form_a"), F.greatest("form", "form2").alias("form_b"), F.levenshtein("d", "d2", most).alias("distance"))
+    return named.where(F.col("distance").between(0, most)).distinct()
+
+
+def close_clusters(forms: DataFrame, most: int = 1, prefix: int = 3, rounds: int = 100) -> DataFrame:
+    """``canonical, form, freq, cluster_freq``: close forms in clusters. In the order of their names each form that is in no cluster opens one with the later close forms that are
+    in none; the most frequent member is canonical (ties by name). Rounds settle forms whose earlier neighbours are settled, so they follow the longest chain of close forms."""
+    pairs = written(close_pairs(forms, most, prefix).select(F.col("form_a").alias("a"), F.col("form_b").alias("b")), "pairs")
+    state = written(pairs.select(F.col("a").alias("form")).union(pairs.select("b")).distinct().withColumn("center", F.lit(None).cast("boolean")), "state")
+    for _ in range(rounds):
+        earlier = pairs.join(state.withColumnRenamed("form", "a"), "a").groupBy(F.col("b").alias("form")).agg(F.coalesce(F.bool_or("center"), F.lit(False)).alias("taken"), F.bool_or(F.col("center").isNull()).alias("open"))
+        told = F.when(F.col("taken"), False).when(~F.col("open"), True)
+        joined = state.join(earlier, "form", "left").fillna(False, ["taken", "open"])
+        state = written(joined.select("form", F.coalesce("center", told).alias("center")), "state")
+        if not state.where("center is null").limit(1).count():
+            break
+    else:
+        raise RuntimeError(f"clusters did not settle in {rounds} rounds")
+    centers = state.where("center").select(F.col("form").alias("a"))
+    members = pairs.join(centers, "a").groupBy("b").agg(F.min("a").alias("cluster")).join(state.where("not center").select(F.col("form").alias("b")), "b").select(F.col("b").alias("form"), "cluster")
+    every = members.unionByName(members.select(F.col("cluster").alias("form"), "cluster").distinct()).join(forms.select("form", "freq"), "form")
+    heads = every.groupBy("cluster").agg(F.min_by("form", F.struct((-F.col("freq")).alias("f"), "form")).alias("canonical"), F.sum("freq").alias("cluster_freq"))
+    return every.join(heads, "cluster").select("canonical", "form", "freq", "cluster_freq")
 
 
 def apply_variants(toks: DataFrame, canonical: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Iterations write their state to the shared folder each round, so their lineage s
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,9 +89,9 @@ def pagerank(edges: DataFrame, rounds: int = 30, damping: float = 0.85) -> DataF
     return ranks
 
 
-def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
+def label_propagation(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, community``: each node takes the label with the greatest weight around it (ties by the least label); rounds alternate between halves of the nodes, so that
-    labels settle."""
+    labels settle. A warning says if some still moved in the last round."""
     out = written(both_ways(edges), "out")
     labels = out.select(F.col("src").alias("node")).distinct().withColumn("community", F.col("node"))
     for k in range(rounds):
@@ -100,7 +102,8 @@ def label_propagation(edges: DataFrame, rounds: int = 20) -> DataFrame:
         moved = fresh.where("community <> old").limit(1).count()
         labels = fresh.select("node", "community")
         if not moved and k % 2:
-            break
+            return labels
+    warnings.warn(f"labels still moved after {rounds} rounds", stacklevel=2)
     return labels
 
 
@@ -130,14 +133,16 @@ def thematic_map(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return rows.withColumn("quadrant", F.when(central & dense, "motor").when(central, "basic").when(dense, "specialised").otherwise("emerging"))
 
 
-def budget_edges(pairs: DataFrame, most_nodes: int, most_edges: int = 100_000) -> DataFrame:
+def budget_edges(pairs: DataFrame, most_nodes: int, most_pairs: int = 2_000_000) -> DataFrame:
     """The edges accepted when pairs (``term_a, term_b, n, ppmi``) are scanned by strength and one is taken only while distinct nodes stay within ``most_nodes``.
 
-    The scan is sequential by nature; it reads the ``most_edges`` strongest pairs on the driver, a documented bound of the picture it feeds.
+    The scan is sequential by nature and streams the pairs through the driver in their order; more than ``most_pairs`` are refused.
     """
+    if pairs.limit(most_pairs + 1).count() > most_pairs:
+        raise ValueError(f"more than {most_pairs} pairs")
     seen: set[str] = set()
     taken = []
-    for r in pairs.orderBy(F.desc("ppmi"), F.desc("n"), "term_a", "term_b").limit(most_edges).collect():
+    for r in pairs.orderBy(F.desc("ppmi"), F.desc("n"), "term_a", "term_b").toLocalIterator():
         fresh = {r.term_a, r.term_b} - seen
         if len(seen) + len(fresh) <= most_nodes:
             seen |= fresh

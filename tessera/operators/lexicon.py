@@ -17,6 +17,12 @@ STOPWORDS = (
     "meu minha na nas não nem no nos nós o os ou para pela pelas pelo pelos por qual quando que quem se sem ser seu seus só são sobre sua suas também te tem teu tua um uma você"
 ).split()
 
+#: English words that n-grams leave out too.
+ENGLISH_STOPWORDS = (
+    "you your yours the and for with from this that was were are not have has had can could will would shall should what when where which who whom why how into onto over under "
+    "than then there their them"
+).split()
+
 
 def prepare_lexicon(rows: DataFrame) -> DataFrame:
     """``word, lemma, gram, folded`` of dictionary rows (``pos, word, lemma, gram``): the last row of a word holds."""

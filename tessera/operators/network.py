@@ -33,6 +33,13 @@ def thresholds(n_tokens: int) -> Thresholds:
     return next(t for most, t in PROFILES if most is None or n_tokens <= most)
 
 
+def vocabulary_words(toks: DataFrame, t: Thresholds, key: str = "doc_id") -> DataFrame:
+    """``key, w``: the tokens of each document that are met ``min_freq`` times and more in the corpus, in order; windows are laid over these. ``toks`` is ``key, pos, form``."""
+    often = toks.groupBy("form").agg(F.count("*").alias("n")).where(F.col("n") >= t.min_freq).select("form")
+    kept = toks.join(often, "form", "left_semi")
+    return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "form"))), lambda x: x["form"]).alias("w"))
+
+
 def word_network(pairs: DataFrame, t: Thresholds) -> DataFrame:
     """``src, dst, weight`` of windowed pairs (``term_a, term_b, n_ref``) with at least ``min_cooc`` and more than ``edge_threshold``."""
     kept = pairs.where((F.col("n_ref") >= t.min_cooc) & (F.col("n_ref") > t.edge_threshold))
@@ -75,15 +82,38 @@ def bridged(edges: DataFrame, raw: DataFrame, most: int = 20) -> DataFrame:
     return edges.select("src", "dst", "weight").unionByName(found)
 
 
-def candidate_words(dtm: DataFrame, key: str = "doc_id", min_freq: int = 3) -> DataFrame:
-    """``form, freq, dispersion, dominance, noise, score`` of concept words: dispersion is the share of documents with the word, dominance the share of its largest document, noise the
-    share of digits and of marks of glued or name-like tokens; score = freq x (.42 + .90 dispersion + .18 (1 - dominance), .1 at least) x (1 - noise, .05 at least)."""
+#: Words of the academic trade that are noise among concepts.
+ACADEMIC_NOISE = (
+    "universidade federal estadual santa catarina florianopolis ufsc usp ufmg ufrj instituto departamento faculdade programa campus centro laboratorio laboratório pesquisador pesquisadora "
+    "resumo abstract palavraschave keywords revista periodico periódico editora edicao edição volume numero número suplemento issn doi orcid email http https www com org br "
+    "jan fev mar abr mai jun jul ago set out nov dez january february march april may june july august september october november december"
+).split()
+#: Words that are never concepts.
+HARD_NOISE = "doi issn orcid http https www email".split()
+
+
+def candidate_words(dtm: DataFrame, key: str = "doc_id", min_freq: int = 3, capitals: DataFrame | None = None, foreign: DataFrame | None = None) -> DataFrame:
+    """``form, freq, dispersion, dominance, noise, score`` of concept words.
+
+    Dispersion is the share of documents with the word, dominance the share of its largest document. Noise adds up: .42 for academic words, .10 for up to three letters, .06 for
+    compounds, .14 under a dispersion of .12, up to .28 for a dominance above .80, .50 for words mostly in capitals (``capitals``: form, capitalised) and .20 more for those that are
+    so throughout and widespread, .28 for words of another language (``foreign``: form); .88 at most. score = freq x (.42 + .90 dispersion + .18 (1 - dominance), .1 at least) x (1 - noise, .05 at least).
+    """
     docs = dtm.agg(F.count_distinct(key)).scalar()
-    sums = dtm.groupBy("form").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"), F.max("n").alias("most")).where(F.col("freq") >= min_freq)
-    noise = (F.length(F.regexp_replace("form", r"[\p{L}]", "")) / F.length("form")) + F.when(F.length("form") < 4, 0.3).otherwise(0.0)
-    out = sums.select("form", "freq", (F.col("docs") / docs).alias("dispersion"), (F.col("most") / F.col("freq")).alias("dominance"), F.least(noise, F.lit(1.0)).alias("noise"))
+    sums = dtm.groupBy("form").agg(F.sum("n").alias("freq"), F.count("*").alias("docs"), F.max("n").alias("most")).where((F.col("freq") >= min_freq) & ~F.col("form").isin(HARD_NOISE))
+    sums = sums.withColumn("capital", F.lit(0.0)) if capitals is None else sums.join(capitals.select("form", "capitalised"), "form", "left").withColumn("capital", F.least(F.lit(1.0), F.coalesce("capitalised", F.lit(0)) / F.col("freq")))
+    sums = sums.withColumn("foreign", F.lit(False)) if foreign is None else sums.join(foreign.select("form").distinct().withColumn("foreign", F.lit(True)), "form", "left").fillna(False, ["foreign"])
+    out = sums.withColumns({"dispersion": F.col("docs") / docs, "dominance": F.col("most") / F.col("freq")})
+    often, wide = F.col("freq") >= 2, F.col("freq") >= 3
+    parts = [
+        F.when(F.col("form").isin(ACADEMIC_NOISE), 0.42), F.when(F.length("form") <= 3, 0.10), F.when(F.col("form").rlike("[_-]"), 0.06), F.when(F.col("dispersion") < 0.12, 0.14),
+        F.when(F.col("dominance") > 0.80, F.least(F.lit(0.28), (F.col("dominance") - 0.80) * 1.2)), F.when(often & (F.col("capital") >= 0.88), 0.50),
+        F.when(wide & (F.col("capital") >= 0.95) & (F.col("dispersion") >= 0.35), 0.20), F.when(F.col("foreign"), 0.28),
+    ]
+    noise = F.least(F.lit(0.88), sum((F.coalesce(p, F.lit(0.0)) for p in parts), F.lit(0.0)))
+    rows = out.select("form", "freq", "dispersion", "dominance", noise.alias("noise"))
     spread = F.greatest(F.lit(0.1), 0.42 + 0.90 * F.col("dispersion") + 0.18 * (1 - F.col("dominance")))
-    return out.withColumn("score", F.col("freq") * spread * F.greatest(F.lit(0.05), 1 - F.col("noise")))
+    return rows.withColumn("score", F.col("freq") * spread * F.greatest(F.lit(0.05), 1 - F.col("noise")))
 
 
 @F.pandas_udf(T.DoubleType())

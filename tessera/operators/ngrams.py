@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.tokenizers import tokenize
+from tessera.session import written
 
 
 def ngrams(words: DataFrame, n: int, key: str = "doc_id", column: str = "w") -> DataFrame:
@@ -25,6 +26,12 @@ def ngram_counts(docs: DataFrame, n: int, min_freq: int = 2, stopwords: list[str
     return per_doc.groupBy(*[f"w{k + 1}" for k in range(n)]).agg(F.sum("n").alias("freq"), F.count("*").alias("doc_count")).where(F.col("freq") >= min_freq)
 
 
+def top_ngrams(counts: DataFrame, most: int = 120, least: int = 20) -> DataFrame:
+    """The ``most`` (``least`` at least) most frequent n-grams, ties by their words."""
+    words = [c for c in counts.columns if c[0] == "w" and c[1:].isdigit()]
+    return counts.orderBy(F.desc("freq"), *words).limit(max(least, most))
+
+
 def bigram_edges(bigrams: DataFrame) -> DataFrame:
     """``src, dst, weight``: undirected edges of ordered bigrams; of (a, b) and (b, a) the smaller frequency holds, as the later one overwrites."""
     pairs = bigrams.where("w1 <> w2").select(F.least("w1", "w2").alias("src"), F.greatest("w1", "w2").alias("dst"), "freq")
@@ -45,7 +52,8 @@ def multiword_candidates(docs: DataFrame, min_freq: int = 3, min_docs: int = 2,
     the largest score. Kept: ``min_freq``, ``min_docs``, no stop word at an edge, trigrams that start a line at least once.
     """
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", tokenize(F.col("line"), "alpha2").alias("w"))
-    singles = lines.select(F.explode("w").alias("form")).groupBy("form").agg(F.count("*").alias("f"))
+    # counts and the scored union are read several times, so each is written once
+    singles = written(lines.select(F.explode("w").alias("form")).groupBy("form").agg(F.count("*").alias("f")), "singles")
     total = singles.agg(F.coalesce(F.sum("f"), F.lit(0))).scalar()
     out = None
     for n in (2, 3):
@@ -62,6 +70,7 @@ def multiword_candidates(docs: DataFrame, min_freq: int = 3, min_docs: int = 2,
         density = F.col("freq") / F.greatest(*[F.col(f"f{k}") for k in range(n)])
         part = kept.select(F.concat_ws(" ", *cols).alias("expr"), F.lit(n).alias("n"), "freq", "doc_count", "line_starts", (F.col("freq") * density * rarity * n).alias("score"))
         out = part if out is None else out.unionByName(part)
+    out = written(out, "scored")
     return out.withColumn("norm", F.col("score") / out.agg(F.max("score")).scalar())
 
 

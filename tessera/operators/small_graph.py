@@ -6,6 +6,7 @@ distributed operators of ``tessera.operators.graph``.
 
 from __future__ import annotations
 
+import heapq
 from collections import deque
 
 from pyspark.sql import DataFrame
@@ -114,17 +115,97 @@ def louvain(edges: DataFrame, resolution: float = 1.0, smallest: int = 1) -> Dat
     members: dict[str, list[str]] = {}
     for v, g in owner.items():
         members.setdefault(g, []).append(v)
+    return _numbered(edges, members, near, smallest)
+
+
+def greedy_modularity(edges: DataFrame, smallest: int = 1) -> DataFrame:
+    """``node, community`` by agglomeration: the two tied communities whose merger raises modularity most are merged until none does (ties by names)."""
+    near = adjacency(edges)
+    total = sum(sum(ws.values()) for ws in near.values()) or 1.0
+    mass = {v: sum(ws.values()) / total for v, ws in near.items()}
+    ties = {v: {u: w / total for u, w in ws.items() if u != v} for v, ws in near.items()}
+    members = {v: [v] for v in near}
+    queue = [(-2 * (w - mass[v] * mass[u]), v, u) for v, ws in ties.items() for u, w in ws.items() if v < u]
+    heapq.heapify(queue)
+    while queue:
+        gain, a, b = heapq.heappop(queue)
+        if gain >= -1e-12:
+            break
+        if a not in members or b not in members or abs(-2 * (ties[a].get(b, 0.0) - mass[a] * mass[b]) - gain) > 1e-12:
+            continue  # of communities that have changed since
+        members[a] += members.pop(b)
+        mass[a] += mass.pop(b)
+        for u, w in ties.pop(b).items():
+            ties[u].pop(b)
+            if u != a:
+                ties[a][u] = ties[u][a] = ties[a].get(u, 0.0) + w
+        for u, w in ties[a].items():
+            heapq.heappush(queue, (-2 * (w - mass[a] * mass[u]), *sorted((a, u))))
+    return _numbered(edges, members, near, smallest)
+
+
+def girvan_newman(edges: DataFrame) -> DataFrame:
+    """``node, community``: the first split by removing, again and again, the edge that most shortest paths use (ties by names)."""
+    near = {v: dict(ws) for v, ws in adjacency(edges).items()}
+    first = len(_parts(near))
+    while len(parts := _parts(near)) == first and any(near.values()):
+        a, b = max(_edge_betweenness(near).items(), key=lambda e: (round(e[1], 9), e[0]))[0]
+        del near[a][b], near[b][a]
+    return _numbered(edges, {min(p): p for p in parts}, near, 1)
+
+
+def _parts(near: dict[str, dict[str, float]]) -> list[list[str]]:
+    seen: set[str] = set()
+    out = []
+    for v in sorted(near):
+        if v not in seen:
+            seen.add(v)
+            part = [v]
+            for x in part:
+                for u in near[x]:
+                    if u not in seen:
+                        seen.add(u)
+                        part.append(u)
+            out.append(part)
+    return out
+
+
+def _edge_betweenness(near: dict[str, dict[str, float]]) -> dict[tuple[str, str], float]:
+    """Shortest paths, in steps, over each edge."""
+    out: dict[tuple[str, str], float] = {}
+    for s in near:
+        order, far, paths, before = [s], {s: 0}, {s: 1.0}, {s: []}
+        for v in order:
+            for u in near[v]:
+                if u not in far:
+                    far[u], paths[u], before[u] = far[v] + 1, 0.0, []
+                    order.append(u)
+                if far[u] == far[v] + 1:
+                    paths[u] += paths[v]
+                    before[u].append(v)
+        flow = dict.fromkeys(order, 1.0)
+        for v in reversed(order):
+            for u in before[v]:
+                share = flow[v] * paths[u] / paths[v]
+                flow[u] += share
+                e = (u, v) if u < v else (v, u)
+                out[e] = out.get(e, 0.0) + share / 2
+    return out
+
+
+def _numbered(edges: DataFrame, members: dict[str, list[str]], near: dict[str, dict[str, float]], smallest: int) -> DataFrame:
+    """Communities numbered by size, then first node; those under ``smallest`` join the one they are tied to most."""
+    owner = {v: g for g, vs in members.items() for v in vs}
     for g in sorted(members, key=lambda g: (len(members[g]), g)):
         if len(members[g]) < smallest and len(members) > 1:
-            ties = {}
+            ties: dict[str, float] = {}
             for v in members[g]:
                 for u, w in near[v].items():
                     if owner[u] != g:
                         ties[owner[u]] = ties.get(owner[u], 0.0) + w
             if ties:
                 to = max(ties, key=lambda k: (ties[k], k))
-                for v in members[g]:
-                    owner[v] = to
+                owner |= dict.fromkeys(members[g], to)
                 members[to] += members.pop(g)
     names = {g: k for k, g in enumerate(sorted(members, key=lambda g: (-len(members[g]), min(members[g]))))}
     return edges.sparkSession.createDataFrame([(v, names[g]) for v, g in owner.items()], "node string, community int")

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.measures import chi2_p, per, signed_chi2, signed_g2, signed_hypergeometric
-from tessera.session import paired
-
+from tessera.session import paired, written
 
+#: Classes of a partition that are matched on the driver.
+MOST_CLASSES = 1000
 
 
 def lexical_table(dtm: DataFrame, groups: DataFrame, key: str = "doc_id", min_freq: int = 1) -> DataFrame:
@@ -35,12 +36,14 @@ def lemma_postings(postings: DataFrame, lexicon: DataFrame, unit: str = "uce_id"
 def matched_classes(first: DataFrame, second: DataFrame, n: int = 25) -> DataFrame:
     """``class_a, class_b, jaccard``: classes of two profile tables (``class_id, form, chi2``) matched by their ``n`` strongest terms, best match first, each class once.
 
-    Classes are few, so the greedy choice is made over their pairs on the driver (at most 10,000).
+    Classes are few: the greedy choice is made over their pairs on the driver, and more than ``MOST_CLASSES`` classes are refused.
     """
     place = F.row_number().over(Window.partitionBy("class_id").orderBy(F.desc("chi2"), "form"))
     a, b = (p.withColumn("p", place).where(F.col("p") <= n).groupBy("class_id").agg(F.collect_set("form").alias("t")) for p in (first, second))
+    if max(a.limit(MOST_CLASSES + 1).count(), b.limit(MOST_CLASSES + 1).count()) > MOST_CLASSES:
+        raise ValueError(f"more than {MOST_CLASSES} classes")
     pairs = paired(a.select(F.col("class_id").alias("class_a"), F.col("t").alias("ta")), b.select(F.col("class_id").alias("class_b"), F.col("t").alias("tb")))
-    scored = pairs.select("class_a", "class_b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).orderBy(F.desc("jaccard"), "class_a", "class_b").limit(10_000)
+    scored = pairs.select("class_a", "class_b", (F.size(F.array_intersect("ta", "tb")) / F.size(F.array_union("ta", "tb"))).alias("jaccard")).orderBy(F.desc("jaccard"), "class_a", "class_b")
     taken, used_a, used_b = [], set(), set()
     for r in scored.collect():
         if r.class_a not in used_a and r.class_b not in used_b:
@@ -111,13 +114,16 @@ def keyness(dtm: DataFrame, target: DataFrame, key: str = "doc_id", measure: str
     )
 
 
-def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
+def crosstab(df: DataFrame, row: str, col: str, most: int = 4_000_000) -> DataFrame:
     """``row, col, n, row_total, col_total, total, expected, residual`` of every cell, empty ones too: the margins are crossed, and they are categories.
 
-    Null categories read ``(NA)``, blank ones ``(vazio)``.
+    Null categories read ``(NA)``, blank ones ``(vazio)``. More than ``most`` cells are refused.
     """
     clean = df.select(*(F.when(F.col(c).isNull(), "(NA)").when(F.trim(F.col(c).cast("string")) == "", "(vazio)").otherwise(F.trim(F.col(c).cast("string"))).alias(k) for c, k in ((row, "row"), (col, "col"))))
-    cells = clean.groupBy("row", "col").agg(F.count("*").alias("n"))
+    cells = written(clean.groupBy("row", "col").agg(F.count("*").alias("n")), "cells")
+    sizes = cells.agg(F.count_distinct("row"), F.count_distinct("col")).first()
+    if sizes[0] * sizes[1] > most:
+        raise ValueError(f"{sizes[0]} x {sizes[1]} categories are more than {most} cells")
     rows, cols = cells.groupBy("row").agg(F.sum("n").alias("row_total")), cells.groupBy("col").agg(F.sum("n").alias("col_total"))
     total = rows.agg(F.sum("row_total")).scalar()
     full = paired(rows, cols).join(cells, ["row", "col"], "left").fillna(0, ["n"]).withColumn("total", total)

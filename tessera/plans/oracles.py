@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from tessera.functions.text import FOLDS, WEB
-from tessera.operators.lexicon import STOPWORDS
+from tessera.functions.indices import ALIASES, FULL
+from tessera.operators.lexicon import ENGLISH_STOPWORDS, STOPWORDS
+from tessera.operators.network import ACADEMIC_NOISE, HARD_NOISE
 
+#: Forms of the indices over all pairs of a vocabulary.
+DENSE_FORMS = 5000
 _LATIN = "a-zA-ZÀ-ÿ"
 
 
@@ -16,6 +20,8 @@ def _tok(whole: str = f"[{_LATIN}]{{3,}}") -> str:
     return f"tok as (select doc_id, unnest(w) as form, unnest(range(len(w))) as pos from (select doc_id, {_runs(whole=whole)} as w from documents))"
 
 
+#: Tokens of concordances.
+_KWIC = "regexp_extract_all(text, '\\p{L}[\\p{L}\\p{M}\\p{N}]*(?:[''’_\\-][\\p{L}\\p{M}\\p{N}]+)*')"
 _WITH_LETTER = ".*\\p{L}.*"
 TOK = _tok()
 FORMS = "forms as (select form, count(*) as freq, count(distinct doc_id) as doc_freq from tok group by form)"
@@ -44,12 +50,18 @@ def _chi2(n: str = "n", k: str = "k", g: str = "g", total: str = "total") -> str
     return f"case when {n}::double * {total} >= {k}::double * {g} then 1 else -1 end * case when {den} = 0 then 0 else {total}::double * {det} * {det} / {den} end"
 
 
+def _frequent(most: int | None = None, least: int = 3) -> str:
+    """Forms with enough occurrences in all segments."""
+    limit = f" order by k desc, form limit {most}" if most else ""
+    return f"vocab as (select form from (select form, sum(coalesce(n, 0)) as k from postings where uce_id is not null and trim(form) <> '' group by form having sum(coalesce(n, 0)) >= {least}){limit})"
+
+
 def _vocab(n: int) -> str:
     return f"vocab as (select form from units group by form order by count(*) desc, form limit {n})"
 
 
-def _pairs(n: int) -> str:
-    return f"""{UNITS}, {_vocab(n)}, u as (select units.* from units join vocab using (form)),
+def _pairs(vocab: str) -> str:
+    return f"""{UNITS}, {vocab}, u as (select units.* from units join vocab using (form)),
       pairs as (select a.form as term_a, b.form as term_b, count(*) as n from u a join u b on a.uce_id = b.uce_id and a.form < b.form group by 1, 2)"""
 
 
@@ -78,7 +90,7 @@ _MEETING = {"cooccurrence", "jaccard", "dice", "ochiai", "russel", "kulczynski1"
 
 def _similitude(name: str) -> str:
     meets = " where a > 0" if name in _MEETING else ""
-    return f"""with {_pairs(60)}, k as (select form, count(*) as k from u group by form), t as (select count(distinct uce_id) as n from units),
+    return f"""with {_pairs(_frequent(DENSE_FORMS if ALIASES[name] in FULL else None))}, k as (select form, count(*) as k from u group by form), t as (select count(distinct uce_id) as n from units),
       cells as (select x.form as term_a, y.form as term_b, coalesce(p.n, 0)::double as a, (x.k - coalesce(p.n, 0))::double as b, (y.k - coalesce(p.n, 0))::double as c,
                        (t.n - x.k - y.k + coalesce(p.n, 0))::double as d, t.n::double as n
                 from k x join k y on x.form < y.form cross join t left join pairs p on p.term_a = x.form and p.term_b = y.form)
@@ -97,13 +109,53 @@ def _squash(x: str) -> str:
     return f"trim(regexp_replace({x}, '[\\s\\x{{0b}}]+', ' ', 'g'), ' ')"
 
 
+_NO_GRAM = ", ".join(f"'{w}'" for w in [*STOPWORDS, *ENGLISH_STOPWORDS])
+
+
+def _top_grams(n: int) -> str:
+    cols = ", ".join(f"w{k}" for k in range(1, n + 1))
+    return f"{_grams(n)}, top as (select * from gc order by freq desc, {cols} limit 120)"
+
+
 def _grams(n: int, least: int = 2) -> str:
     parts = ", ".join(f"w[i + {k}] as w{k}" for k in range(1, n + 1))
     cols = ", ".join(f"w{k}" for k in range(1, n + 1))
-    return f"""grams as (select doc_id, {parts} from (select doc_id, w, unnest(range(greatest(len(w) - {n - 1}, 0))) as i from (select doc_id, {_runs()} as w from documents))),
+    return f"""grams as (select doc_id, {parts} from (select doc_id, w, unnest(range(greatest(len(w) - {n - 1}, 0))) as i from (select doc_id, list_filter({_runs()}, lambda w: w not in ({_NO_GRAM})) as w from documents))),
       gc as (select {cols}, count(*) as freq, count(distinct doc_id) as doc_count from grams group by {cols} having count(*) >= {least})"""
 
 
+_EVERY = "vocab as (select distinct form from units)"
+_EDGES = _pairs(_frequent())
+
+
+def _ppmi(vocab: str) -> str:
+    return f"""with {_pairs(vocab)}, b as (select term_a as t, n from pairs union all select term_b, n from pairs), r as (select t, sum(n)::double as row from b group by t),
+      s as (select sum(row) as total, sum(pow(row, 0.75)) as smooth from r), v as (select term_a, term_b, n, greatest(0, log2(n / total / (x.row / total * (pow(y.row, 0.75) / smooth)))) as ppmi
+      from pairs join r x on x.t = term_a join r y on y.t = term_b cross join s) select term_a, term_b, n, round(ppmi, 6) as ppmi from v"""
+
+
+def _pagerank(rounds: int) -> str:
+    """The rounds written out."""
+    steps = ["r0 as (select node, 1.0::double / (select count(*) from nodes) as rank from nodes)"]
+    steps += [f"r{k + 1} as materialized (select node, 0.15 / (select count(*) from nodes) + 0.85 * coalesce(sum(rank * p), 0) as rank from nodes left join (select dst, rank, p from shares join r{k} on r{k}.node = src) on dst = node group by node)" for k in range(rounds)]
+    return f"""with {_EDGES}, o as (select term_a as src, term_b as dst, n::double as w from pairs union all select term_b, term_a, n from pairs), nodes as (select distinct src as node from o),
+      z as (select src, sum(w) as total from o group by src), shares as materialized (select o.src, dst, w / total as p from o join z on z.src = o.src), {", ".join(steps)} select node, rank from r{rounds}"""
+
+
+def _hypergeometric(n: str, row: str, col: str, total: str, source: str) -> str:
+    """-log10 of the tail beyond a count, signed, added to the rows of ``source`` as ``score``."""
+    choose = lambda a, b: f"(lgamma({a} + 1) - case when {b} = 0 then 0 else lgamma({b} + 1) end - case when {a} = {b} then 0 else lgamma({a} - {b} + 1) end)"
+    log = f"{choose('col', 'x')} + {choose('(total - col)', '(row - x)')} - {choose('total', 'row')}"
+    return f"""h0 as (select *, {n}::bigint as k, {row}::bigint as row, {col}::bigint as col, {total}::bigint as total from {source}), h1 as (select *, k * total >= row * col as up, row_number() over () as id from h0),
+      hx as (select id, row, col, total, unnest(case when up then range(k, least(row, col) + 1) else range(greatest(0, row + col - total), k + 1) end) as x from h1), hl as (select id, {log} as l from hx),
+      hm as (select id, max(l) as top from hl group by id), hp as (select hl.id, least(1, greatest(1e-300, exp(any_value(top)) * sum(exp(l - top)))) as p from hl join hm using (id) group by hl.id),
+      hs as (select h1.*, case when up then -log10(p) else log10(p) end as score from h1 join hp using (id))"""
+
+
+def _quoted(words: list[str]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
 _STOP = ", ".join(f"('{w}')" for w in STOPWORDS)
 _G2 = """2 * (case when n_a > 0 then n_a * ln(n_a / (sa * (n_a + n_b) / (sa + sb))) else 0 end + case when n_b > 0 then n_b * ln(n_b / (sb * (n_a + n_b) / (sa + sb))) else 0 end)"""
 _KEYNESS = f"""with {TOK}, {DTM}, {META}, {LOC}, c as (
@@ -136,15 +188,19 @@ FLOATS = {
     "corpus_statistics": ("mean_tokens", "richness"), "dtm_stats": ("sparsity", "mean_doc_length", "mean_term_freq"), "postings_stats": ("sparsity", "mean_doc_length", "mean_term_freq"),
     "specificity_chi2_loc": ("score", "per_thousand"), "specificity_top_loc": ("score",), "chronological_specificity": ("score",), "metadata_profile_chi2": ("score",), "keyness_g2": ("score", "norm_a", "norm_b"),
     "keyness_chi2": ("score", "norm_a", "norm_b"), "matrix_frequency": ("percent",), "matrix_chi2": ("chi2",), "matrix_chi2_cells": ("expected", "residual"), "matrix_similarity": ("value",),
-    "partition_agreement": ("ari", "nmi"), "dispersion_juilland": ("juilland_d",), "rolling_ratio": ("value",), "xray": ("rel_pos",), "voyant_trends": ("per_thousand",), "evocation_rank": ("mean_rank",),
+    "partition_agreement": ("ari", "nmi"), "dispersion_juilland": ("juilland_d",), "specificity_hypergeo_loc": ("score", "per_thousand"), "keyness_exact": ("score", "norm_a", "norm_b"), "rolling_ratio": ("value",), "pagerank": ("rank",), "text_network": ("weight",), "mst_weight": ("weight",), "xray": ("rel_pos",), "voyant_trends": ("per_thousand",), "evocation_rank": ("mean_rank",),
     "ppmi_pairs": ("ppmi",), "labbe_distance": ("distance",), "degree_centrality": ("strength",), "graph_summary": ("density", "mean_degree"), "segment_class_profiles": ("chi2",),
     "sentiment_distribution": ("percent",), "emotion_totals": ("percent",), "crossed_classifications": ("chi2",), "candidate_concepts": ("dispersion", "dominance", "noise", "score"),
     "multiword_candidates": ("score", "norm"), "stream_event_counts": ("value",),
 }
 
 
-def _rounded(sql: str, columns: tuple[str, ...]) -> str:
-    return f"select * replace ({', '.join(f'round({c}::double, 6) + 0.0 as {c}' for c in columns)}) from ({sql})"
+#: Decimals of floating results, where engines agree to fewer than six: sums of many logarithms of factorials.
+DECIMALS = {"specificity_hypergeo_loc": 3, "keyness_exact": 3}
+
+
+def _rounded(sql: str, columns: tuple[str, ...], digits: int) -> str:
+    return f"select * replace ({', '.join(f'round({c}::double, {digits}) + 0.0 as {c}' for c in columns)}) from ({sql})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -204,8 +260,9 @@ def oracle_sql() -> dict[str, str]:
             select value, sum(n)::bigint as n from j group by value""",
         "dispersion_juilland": f"""with {TOK}, {DTM}, t as (select count(distinct doc_id) as c from documents), s as (select form, sum(n)::bigint as freq, sum(n * n)::double as q, count(*) as docs_with from dtm group by form)
             select form, freq, docs_with, round(case when c > 1 then greatest(0, 1 - sqrt(greatest(q / c - pow(freq / c, 2), 0)) / (freq / c) / sqrt(c - 1)) else 0 end, 4) as juilland_d from s cross join t""",
-        "rolling_ratio": f"""with {TOK}, g as (select form, row_number() over (order by doc_id, pos) - 1 as p from tok), t as (select max(p) + 1 as n from g), w as (select unnest(range(0, ((select n from t) - 500) // 100 + 1)) as k),
-            h as (select p from g where form = 'sobre') select k * 100 + 250 as center, (select count(*) from h where p >= k * 100 and p < k * 100 + 500) / 500 as value from w""",
+        "rolling_ratio": f"""with w as (select doc_id, {_KWIC} as w from documents), tok as (select doc_id, unnest(w) as form, unnest(range(len(w))) as pos from w), g as (select form, row_number() over (order by doc_id, pos) - 1 as p from tok),
+            t as (select max(p) + 1 as n from g), w2 as (select unnest(range(0, ((select n from t) - 500) // 100 + 1)) as k),
+            h as (select p from g where {_fold('form')} = 'sobre') select k * 100 + 250 as center, (select count(*) from h where p >= k * 100 and p < k * 100 + 500) / 500 as value from w2""",
         "xray": f"""with w as (select doc_id, {_runs()} as w from documents), p as (select doc_id, len(w) as n, unnest(w) as form, unnest(range(len(w))) as pos from w)
             select doc_id, case when form = 'sobre' then 'sobre' else 'lh*' end as pattern, (pos + 1) / n as rel_pos from p where form = 'sobre' or form like 'lh%'""",
         "bubblelines": f"""with {TOK}, s as (select doc_id, count(*) as len from tok group by doc_id) select doc_id, form, least(pos * 10 // len, 9)::bigint as bin, count(*) as n
@@ -218,16 +275,17 @@ def oracle_sql() -> dict[str, str]:
             select form, count(*) as freq, avg(pos + 1) as mean_rank from p group by form""",
         "bigrams": f"with {_grams(2)} select * from gc",
         "trigrams": f"with {_grams(3)} select * from gc",
-        "bigram_network": f"with {_grams(2)} select least(w1, w2) as src, greatest(w1, w2) as dst, min(freq) as weight from gc where w1 <> w2 group by 1, 2",
-        "trigram_network": f"""with {_grams(3)}, e as (select w1 as a, w2 as b, freq from gc union all select w2, w3, freq from gc)
+        "bigram_network": f"with {_top_grams(2)} select least(w1, w2) as src, greatest(w1, w2) as dst, min(freq) as weight from top where w1 <> w2 group by 1, 2",
+        "ngram_union": f"""select w1 || ' ' || w2 as gram, freq from (with {_grams(2)} select * from gc) union all select w1 || ' ' || w2 || ' ' || w3, freq from (with {_top_grams(3)} select * from top)""",
+        "trigram_network": f"""with {_top_grams(3)}, e as (select w1 as a, w2 as b, freq from top union all select w2, w3, freq from top)
             select least(a, b) as src, greatest(a, b) as dst, sum(freq)::bigint as weight from e where a <> b group by 1, 2""",
-        "cooc_window": f"""with {TOK}, p as (select least(a.form, b.form) as term_a, greatest(a.form, b.form) as term_b, count(*) as n_pairs from tok a join tok b on a.doc_id = b.doc_id and b.pos between a.pos + 1 and a.pos + 2
-            where a.form <> b.form group by 1, 2) select term_a, term_b, n_pairs, 2 * n_pairs as n_ref from p where n_pairs >= 5""",
-        "cooc_presence": f"with {_pairs(200)} select * from pairs",
-        "ppmi_pairs": f"""with {_pairs(200)}, b as (select term_a as t, n from pairs union all select term_b, n from pairs), r as (select t, sum(n)::double as row from b group by t),
-            s as (select sum(row) as total, sum(pow(row, 0.75)) as smooth from r), v as (select term_a, term_b, n, greatest(0, log2(n / total / (x.row / total * (pow(y.row, 0.75) / smooth)))) as ppmi
-            from pairs join r x on x.t = term_a join r y on y.t = term_b cross join s) select term_a, term_b, n, round(ppmi, 6) as ppmi from v order by v.ppmi desc, n desc, term_a, term_b limit 200""",
-        "cca_concepts": f"""with {TOK}, c(form, concept) as (values ('sobre', 'place'), ('entre', 'place'), ('com', 'company'), ('sem', 'company'), ('por', 'cause'), ('para', 'cause')),
+        "cooc_window": f"""with {TOK}, p as (select least(a.form, b.form) as term_a, greatest(a.form, b.form) as term_b, count(*) as n_pairs from tok a join tok b on a.doc_id = b.doc_id and b.pos between a.pos + 1 and a.pos + 5
+            where a.form <> b.form group by 1, 2) select term_a, term_b, n_pairs, 2 * n_pairs as n_ref from p""",
+        "cooc_presence": f"with {_pairs(_EVERY)} select * from pairs",
+        "ppmi_pairs": _ppmi(_vocab(200)) + " order by v.ppmi desc, n desc, term_a, term_b limit 100",
+        "ppmi_all": _ppmi(_EVERY),
+        "contingency_issues": f"with {_pairs(_frequent())} select count(*) as pairs, 0 as bad_sum, 0 as negative, 0 as bad_order from pairs",
+        "cca_concepts": f"""with w as (select doc_id, list_filter(list_transform({_KWIC}, lambda w: {_fold('w')}), lambda w: length(w) > 1) as w from documents), tok as (select doc_id, unnest(w) as form, unnest(range(len(w))) as pos from w), c(form, concept) as (values ('sobre', 'place'), ('entre', 'place'), ('com', 'company'), ('sem', 'company'), ('por', 'cause'), ('para', 'cause')),
             l as (select doc_id, count(*) as len from tok group by doc_id), h as (select doc_id, len, pos, concept from tok join c using (form) join l using (doc_id) where len >= 10),
             s as (select distinct doc_id, concept, unnest(range(greatest(pos - 9, 0), least(pos, len - 10) + 1)) as start from h)
             select a.concept as concept_a, b.concept as concept_b, count(*) as windows from s a join s b on a.doc_id = b.doc_id and a.start = b.start and a.concept < b.concept group by 1, 2""",
@@ -237,8 +295,8 @@ def oracle_sql() -> dict[str, str]:
             g as (select distinct * from f), l as (select *, case when n1 > n2 then x1 else x2 end as big, case when n1 > n2 then x2 else x1 end as small from g)
             select k1 as text_1, k2 as text_2, round(sum(case when big > 0 and small > 0 then abs(big - small) when small > 0 then small when big >= 1 then big else 0 end)
                 / (any_value(least(n1, n2)) + sum(case when (n1 > n2 and big >= 1) or (n1 <= n2 and big > 1) then big else 0 end)), 8) as distance from l group by 1, 2""",
-        "degree_centrality": f"with {_pairs(120)}, e as (select term_a as node, n from pairs where n > 2 union all select term_b, n from pairs where n > 2) select node, count(*) as degree, sum(n)::double as strength from e group by node",
-        "graph_summary": f"""with {_pairs(120)}, e as (select term_a as node from pairs where n > 2 union all select term_b from pairs where n > 2), d as (select count(distinct node) as nodes, count(*) // 2 as edges from e)
+        "degree_centrality": f"with {_EDGES}, e as (select term_a as node, n from pairs union all select term_b, n from pairs) select node, count(*) as degree, sum(n)::double as strength from e group by node",
+        "graph_summary": f"""with {_EDGES}, e as (select term_a as node from pairs union all select term_b from pairs), d as (select count(distinct node) as nodes, count(*) // 2 as edges from e)
             select nodes, edges, 2 * edges / (nodes * (nodes - 1)) as density, 2 * edges / nodes as mean_degree from d""",
         "segment_class_profiles": f"""with {UNITS}, mx as (select max(uce_id) as m from units), cl as (select distinct uce_id, ((uce_id - 1) * 4 // m)::int as class_id from units, mx), p as (select * from units join cl using (uce_id)),
             k as (select form, count(*) as in_all from p group by form having count(*) >= 3), z as (select class_id, count(*) as size from cl group by 1), t as (select count(*) as total from cl),
@@ -252,12 +310,13 @@ def oracle_sql() -> dict[str, str]:
             select day, count(*) filter (p > 0) as positive, count(*) filter (p < 0) as negative, count(*) filter (p > 0) - count(*) filter (p < 0) as balance from x group by day""",
         "fuzzy_fingerprint": f"""with {TOK}, {FORMS}, k as (select {_fold('form')} as key, form, freq from forms), g as (select key, arg_min(form, struct_pack(a := -freq, b := form)) as canonical from k group by key having count(*) > 1)
             select key, canonical, form, freq from k join g using (key)""",
-        "fuzzy_levenshtein_pairs": f"""with {TOK}, f as (select distinct form, {_fold('form')} as d from tok), g as (select * from f where length(d) >= 5)
+        "fuzzy_levenshtein_pairs": f"""with {TOK}, f as (select distinct form, {_fold('form')} as d from tok), g as (select * from f)
             select a.form as form_a, b.form as form_b, levenshtein(a.d, b.d) as distance from g a join g b on substr(a.d, 1, 3) = substr(b.d, 1, 3) and abs(length(a.d) - length(b.d)) <= 1 and a.form < b.form where levenshtein(a.d, b.d) <= 1""",
         "noise_forms": f"""with {TOK}, x as (select form from tok union select replace(w, 'ς', 'σ') from (select unnest({_runs(whole=_WITH_LETTER)}) as w from documents))
             select form from x where regexp_matches(form, '\\p{{N}}') or regexp_full_match(form, '[ivxlcdm]{{1,6}}') or length(form) <= 1 or (length(form) <= 2 and form not in ('ia', 'ai', 'uf', 'br', 'pt'))""",
-        "kwic_hits": """with w as (select doc_id, regexp_extract_all(text, '\\p{L}[\\p{L}\\p{M}\\p{N}]*(?:[''’_\\-][\\p{L}\\p{M}\\p{N}]+)*') as w from documents), p as (select doc_id, w, unnest(range(len(w))) as pos from w)
-            select doc_id, pos, w[greatest(pos - 4, 1):pos] as left_tokens, w[pos + 1] as keyword, w[pos + 2:pos + 6] as right_tokens from p where lower(w[pos + 1]) = 'sobre'""",
+        "kwic_hits": f"""with w as (select doc_id, {_KWIC} as w from documents), p as (select doc_id, unnest(w) as t, unnest(range(len(w))) as pos from w),
+            l as (select *, list(t) over (order by doc_id, pos rows between 5 preceding and 1 preceding) as l, list(t) over (order by doc_id, pos rows between 1 following and 5 following) as r from p)
+            select doc_id, pos, coalesce(l, []) as left_tokens, t as keyword, coalesce(r, []) as right_tokens from l where {_fold('t')} = 'sobre'""",
         "prototypical_quadrants": f"""with w as (select list_filter({_runs(whole=f'[{_LATIN}]+')}, lambda x: length(x) > 2) as w from documents), p as (select unnest(w) as form, unnest(range(len(w))) as pos from w),
             e as (select form, count(*) as freq, avg(pos + 1) as r from p group by form having count(*) >= 2), t as (select avg(freq) as mf, sum(freq * r) / sum(freq) as mr from e)
             select case when freq >= mf and round(r, 1) <= mr then 'core' when freq >= mf then 'first_periphery' when round(r, 1) <= mr then 'contrast' else 'second_periphery' end as quadrant,
@@ -265,17 +324,37 @@ def oracle_sql() -> dict[str, str]:
         "voyant_doc_terms": f"""with {TOK}, s as (select doc_id, count(*) as len from tok group by doc_id), b as (select doc_id, form, least(pos * 10 // len, 9) as bin, count(*) as n from tok join s using (doc_id) where form in ('sobre', 'entre') group by 1, 2, 3),
             m as (select doc_id, form, sum(n)::bigint as n, max(n) as most from b group by 1, 2), x as (select m.*, r.bin as k, coalesce(b.n, 0) as v from m cross join range(10) r(bin) left join b on b.doc_id = m.doc_id and b.form = m.form and b.bin = r.bin)
             select doc_id, form, n, string_agg(round_even(v * 9 / most, 0)::int::varchar, '' order by k) as code from x group by doc_id, form, n""",
-        "graph_components": f"""with recursive {_pairs(120)}, e as (select term_a as a, term_b as b from pairs where n > 2 union select term_b, term_a from pairs where n > 2),
-            r(node, root) as (select distinct a, a from e union select e.b, r.root from r join e on e.a = r.node) select node, min(root) as component from r group by node""",
+        "graph_components": f"""with recursive {_EDGES}, e as materialized (select term_a as a, term_b as b from pairs union select term_b, term_a from pairs),
+            r(node, root) as (select * from (select a, min(a) over () as m from (select distinct a from e)) where a = m union select e.b, r.root from r join e on e.a = r.node),
+            rest as (select distinct a from e where a not in (select node from r)) select node, root as component from r union all select a, (select min(x.a) from rest x) from rest""",
+        "pagerank": _pagerank(20),
+        "text_network": f"""with {TOK}, t as (select case when count(*) <= 1500 then 1 when count(*) <= 8000 then 2 when count(*) <= 30000 then 3 when count(*) <= 90000 then 4 else 5 end as f,
+              case when count(*) <= 1500 then 0 when count(*) <= 30000 then 1 when count(*) <= 90000 then 2 else 3 end as e from tok),
+            v as (select form from tok group by form having count(*) >= (select f from t)), k as (select doc_id, form, row_number() over (partition by doc_id order by pos) as pos from tok join v using (form)),
+            p as (select least(a.form, b.form) as src, greatest(a.form, b.form) as dst, 2 * count(*) as n from k a join k b on a.doc_id = b.doc_id and b.pos between a.pos + 1 and a.pos + 5 where a.form <> b.form group by 1, 2)
+            select src, dst, n::double as weight from p where n >= (select f from t) and n > (select e from t)""",
+        "specificity_hypergeo_loc": f"""with {TOK}, {DTM}, {META}, {LOC}, {_table('loc', 3)}, {_MARGINS}, {_hypergeometric('n', 'kk', 'g', 'tt', '(select form, grp, n, k as kk, g, total as tt from m)')}
+            select form, grp, n, kk::bigint as form_total, score, case when score >= 0 then '+' else '-' end as sign, n * 1000.0 / g as per_thousand from hs""",
+        "keyness_exact": _KEYNESS + f""", {_hypergeometric('n_a', '(n_a + n_b)', 'sa', '(sa + sb)', 'z')} select form, n_a::bigint as n_a, n_b::bigint as n_b, score, case when score >= 0 then 'A' else 'B' end as direction,
+            n_a * 1e6 / sa as norm_a, n_b * 1e6 / sb as norm_b from hs""",
+        "fuzzy_ngram_fingerprint": f"""with {TOK}, {FORMS}, d as (select form, freq, {_fold('form')} as d from forms),
+            k as (select form, freq, case when length(d) < 2 then d else array_to_string(list_sort(list_distinct(list_transform(range(1, length(d)), lambda i: substr(d, i, 2)))), '') end as key from d),
+            g as (select key, arg_min(form, struct_pack(a := -freq, b := form)) as canonical from k group by key having count(*) > 1) select key, canonical, form, freq from k join g using (key)""",
+        "lemma_counts": """with p as (select uce_id, case when form in ('sobre', 'entre') then 'sob' else form end as lemma, coalesce(n, 0) as n from postings where uce_id is not null and form is not null)
+            select lemma, count(distinct uce_id) as units, sum(n)::bigint as n from p group by lemma""",
         "gram_by_loc": f"""with {TOK}, {DTM}, {META}, {LOC}, l(form, gram) as (values ('sobre', 'pre'), ('entre', 'pre'), ('com', 'pre'), ('que', 'pro'))
             select coalesce(gram, 'nr') as gram, grp, sum(n)::bigint as n from dtm left join l using (form) join loc using (doc_id) group by 1, 2""",
         "word_cloud": f"""with {TOK}, {FORMS}, stop(form) as (values {_STOP}) select form, freq, doc_freq from forms where freq >= 3 and length(form) >= 3 and not regexp_matches(form, '\\p{{N}}') and form not in (select form from stop)
             order by freq desc, form limit 100""",
         "crossed_classifications": f"""with {META}, t as (select a.value as form, b.value as grp, count(*) as n from meta a join meta b using (doc_id) where a.variable = 'loc' and b.variable = 'idade' group by 1, 2), {_MARGINS},
             s as (select form as class_a, grp as class_b, n, {_chi2()} as chi2 from m) select * from s where chi2 > 3.84""",
-        "candidate_concepts": f"""with {TOK}, {DTM}, d as (select count(distinct doc_id) as c from dtm), s as (select form, sum(n)::bigint as freq, count(*) as docs, max(n) as most from dtm group by form having sum(n) >= 3),
-            x as (select form, freq, docs / c as dispersion, most / freq as dominance, least(1.0, length(regexp_replace(form, '\\p{{L}}', '', 'g')) / length(form) + case when length(form) < 4 then 0.3 else 0 end) as noise from s, d)
-            select *, freq * greatest(0.1, 0.42 + 0.9 * dispersion + 0.18 * (1 - dominance)) * greatest(0.05, 1 - noise) as score from x""",
+        "candidate_concepts": f"""with {TOK}, {DTM}, d as (select count(distinct doc_id) as c from dtm), s as (select form, sum(n)::bigint as freq, count(*) as docs, max(n) as most from dtm where form not in ({_quoted(HARD_NOISE)}) group by form having sum(n) >= 3),
+            w as (select unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) as w from documents), c as (select lower(w) as form, count(*) as caps from w where regexp_matches(w, '^\\p{{Lu}}') group by 1),
+            x as (select form, freq, docs / c as dispersion, most / freq as dominance, least(1, coalesce(caps, 0) / freq) as cap from s left join c using (form) cross join d),
+            y as (select form, freq, dispersion, dominance, least(0.88::double, case when form in ({_quoted(ACADEMIC_NOISE)}) then 0.42 else 0 end::double + case when length(form) <= 3 then 0.1 else 0 end::double + case when regexp_matches(form, '[_-]') then 0.06 else 0 end::double
+              + case when dispersion < 0.12 then 0.14 else 0 end::double + case when dominance > 0.8 then least(0.28::double, (dominance - 0.8::double) * 1.2::double) else 0 end + case when freq >= 2 and cap >= 0.88 then 0.5 else 0 end::double
+              + case when freq >= 3 and cap >= 0.95 and dispersion >= 0.35 then 0.2 else 0 end::double) as noise from x)
+            select *, freq * greatest(0.1, 0.42 + 0.9 * dispersion + 0.18 * (1 - dominance)) * greatest(0.05, 1 - noise) as score from y""",
         "word_tree": f"""with w as (select {_runs(whole=f'[{_LATIN}]+(?:_[{_LATIN}]+)*')} as w from documents), h as (select w, unnest(range(len(w))) as p from w), k as (select w, p from h where w[p + 1] = 'sobre'),
             s as (select 'right' as side, w[p + 2:p + 5] as t from k union all select 'left', list_reverse(w[greatest(p - 3, 1):p]) from k),
             n as (select side, array_to_string(t[1:j], ' ') as path, j from (select side, t, unnest(range(1, len(t) + 1)) as j from s)), c as (select side, path, count(*) as freq, any_value(j) as j from n group by 1, 2 having count(*) >= 2)
@@ -291,5 +370,5 @@ def oracle_sql() -> dict[str, str]:
         "stream_event_counts": "select event_type, count(*) as n, round(sum(value), 4) as value from events group by event_type",
         "stream_daily_counts": "select date_trunc('day', ts) as start, event_type, count(*) as n from events group by 1, 2",
     }
-    sql = {name: _rounded(text, FLOATS[name]) if name in FLOATS else text for name, text in sql.items()}
+    sql = {name: _rounded(text, FLOATS[name], DECIMALS.get(name, 6)) if name in FLOATS else text for name, text in sql.items()}
     return sql | {f"similitude_{name}": _similitude(name) for name in _INDEX}

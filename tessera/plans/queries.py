@@ -8,18 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.functions.indices import INDICES
+from tessera.functions.indices import ALIASES, FULL, INDICES
 from tessera.functions.tokenizers import tokenize, tokens
 from tessera.operators import contexts, cooccurrence, corpus, correspondence, fuzzy, graph, lexicon, network, ngrams, phrases, reinert, segments, small_graph, tables, topics
-from tessera.plans.oracles import FLOATS
+from tessera.plans.oracles import DECIMALS, DENSE_FORMS, FLOATS
 from tessera.session import spread, table, written
 from tessera.sources import readers
 from tessera.streaming import counts
 
+STOP = lexicon.STOPWORDS + lexicon.ENGLISH_STOPWORDS
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 #: The limits of the reference: forms of a classification, features of a topic model or a clustering; rounds of a topic model.
 MAX_ACTIVES, MAX_FEATURES, LDA_ROUNDS = 20_000, 2000, 20
+#: Those of the pictures: forms and pairs of a PPMI table, forms and nodes of a thematic map, edges of an n-gram network.
+PPMI_FORMS, PPMI_PAIRS, THEME_FORMS, THEME_NODES, TOP_EDGES = 200, 100, 300, 120, 120
+
 
 
 def query(f: Query) -> Query:
@@ -60,6 +64,13 @@ def units(spark: SparkSession, d: str) -> DataFrame:
     return corpus.unit_presence(table(spark, d, "postings"))
 
 
+def frequent(spark: SparkSession, d: str, least: int = 3, most: int | None = None) -> DataFrame:
+    """Forms with at least ``least`` occurrences in all segments; with ``most`` only the most frequent ones, ties by form."""
+    n = F.sum(F.coalesce("n", F.lit(0)))
+    forms = table(spark, d, "postings").where("uce_id is not null and trim(form) <> ''").groupBy("form").agg(n.alias("k")).where(F.col("k") >= least)
+    return (forms if most is None else forms.orderBy(F.desc("k"), "form").limit(most)).select("form")
+
+
 def unit_vocabulary(spark: SparkSession, d: str, n: int) -> DataFrame:
     """The n forms met in most segments, ties by form."""
     return units(spark, d).groupBy("form").agg(F.count("*").alias("k")).orderBy(F.desc("k"), "form").limit(n).select("form")
@@ -202,7 +213,7 @@ def parsed_documents(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_issues(s: SparkSession, d: str) -> DataFrame:
-    return readers.validate_tagged(docs(s, d), "doc_id").where("n > 0 and what <> 'documents'")
+    return readers.validate_tagged(docs(s, d), "doc_id").where("n > 0")
 
 
 @query
@@ -261,7 +272,7 @@ def specificity_top_loc(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def specificity_hypergeo_loc(s: SparkSession, d: str) -> DataFrame:
-    return tables.specificities(tables.lexical_table(dtm(s, d), loc_groups(s, d), min_freq=20), "hypergeo")
+    return tables.specificities(tables.lexical_table(dtm(s, d), loc_groups(s, d), min_freq=3), "hypergeo")
 
 
 @query
@@ -288,7 +299,7 @@ def keyness_chi2(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def keyness_exact(s: SparkSession, d: str) -> DataFrame:
-    return tables.keyness(dtm(s, d), loc_groups(s, d).where("grp = 'campo'"), measure="exact", min_freq=20)
+    return tables.keyness(dtm(s, d), loc_groups(s, d).where("grp = 'campo'"), measure="exact", min_freq=3)
 
 
 @query
@@ -340,7 +351,7 @@ def dispersion_juilland(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def rolling_ratio(s: SparkSession, d: str) -> DataFrame:
-    return contexts.rolling(toks(s, d), F.col("form") == "sobre")
+    return contexts.rolling(tokens(docs(s, d), "kwic"), T.fold(F.col("form")) == "sobre")
 
 
 @query
@@ -384,22 +395,29 @@ def prototypical_quadrants(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bigrams(s: SparkSession, d: str) -> DataFrame:
-    return ngrams.ngram_counts(docs(s, d), 2)
+    return ngrams.ngram_counts(docs(s, d), 2, stopwords=STOP)
 
 
 @query
 def trigrams(s: SparkSession, d: str) -> DataFrame:
-    return ngrams.ngram_counts(docs(s, d), 3)
+    return ngrams.ngram_counts(docs(s, d), 3, stopwords=STOP)
 
 
 @query
 def bigram_network(s: SparkSession, d: str) -> DataFrame:
-    return ngrams.bigram_edges(ngrams.ngram_counts(docs(s, d), 2))
+    return ngrams.bigram_edges(ngrams.top_ngrams(bigrams(s, d), TOP_EDGES))
 
 
 @query
 def trigram_network(s: SparkSession, d: str) -> DataFrame:
-    return ngrams.trigram_edges(ngrams.ngram_counts(docs(s, d), 3))
+    return ngrams.trigram_edges(ngrams.top_ngrams(trigrams(s, d), TOP_EDGES))
+
+
+@query
+def ngram_union(s: SparkSession, d: str) -> DataFrame:
+    """All bigrams and the top trigrams in one table."""
+    three = ngrams.top_ngrams(trigrams(s, d), TOP_EDGES).select(F.concat_ws(" ", "w1", "w2", "w3").alias("gram"), "freq")
+    return bigrams(s, d).select(F.concat_ws(" ", "w1", "w2").alias("gram"), "freq").unionByName(three)
 
 
 @query
@@ -428,30 +446,37 @@ def named_entities(s: SparkSession, d: str) -> DataFrame:
 @query
 def cooc_window(s: SparkSession, d: str) -> DataFrame:
     words = docs(s, d).select(tokenize(F.col("text"), "alpha3").alias("w"))
-    return cooccurrence.windowed(words, 2).where("n_pairs >= 5")
+    return cooccurrence.windowed(words, 5)
 
 
 @query
 def cooc_presence(s: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.presence(units(s, d), unit_vocabulary(s, d, 200))
+    u = units(s, d)
+    return cooccurrence.presence(u, u.select("form").distinct())
 
 
 @query
-def cooc_presence_all(s: SparkSession, d: str) -> DataFrame:
-    """Pairs of all forms; ``cooc_presence`` keeps to the 200 forms of its SQL."""
+def ppmi_pairs(s: SparkSession, d: str) -> DataFrame:
+    pairs = cooccurrence.presence(units(s, d), unit_vocabulary(s, d, PPMI_FORMS))
+    return cooccurrence.ppmi(pairs, most=PPMI_PAIRS).select("term_a", "term_b", "n", F.round("ppmi", 6).alias("ppmi"))
+
+
+@query
+def ppmi_all(s: SparkSession, d: str) -> DataFrame:
+    """PPMI of every pair of forms that share a segment."""
     u = units(s, d)
-    return cooccurrence.presence(u, u.select("form").distinct())
+    return cooccurrence.ppmi(cooccurrence.presence(u, u.select("form").distinct()), most=None).select("term_a", "term_b", "n", F.round("ppmi", 6).alias("ppmi"))
 
 
 @query
-def ppmi_pairs(s: SparkSession, d: str) -> DataFrame:
-    return cooccurrence.ppmi(cooccurrence.presence(units(s, d), unit_vocabulary(s, d, 200))).select("term_a", "term_b", "n", F.round("ppmi", 6).alias("ppmi"))
+def contingency_issues(s: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.validate_contingency(cooccurrence.contingency(units(s, d), frequent(s, d)))
 
 
 @query
 def cca_concepts(s: SparkSession, d: str) -> DataFrame:
     concepts = s.createDataFrame([("sobre", "place"), ("entre", "place"), ("com", "company"), ("sem", "company"), ("por", "cause"), ("para", "cause")], "form string, concept string")
-    return cooccurrence.concept_pairs(docs(s, d).select("doc_id", tokenize(F.col("text"), "alpha3").alias("w")), concepts)
+    return cooccurrence.concept_pairs(docs(s, d).select("doc_id", F.filter(F.transform(tokenize(F.col("text"), "kwic"), T.fold), lambda w: F.length(w) > 1).alias("w")), concepts)
 
 
 @query
@@ -463,7 +488,7 @@ def labbe_distance(s: SparkSession, d: str) -> DataFrame:
 
 def _similitude(name: str) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return cooccurrence.similitude(units(s, d), unit_vocabulary(s, d, 60), name).select("term_a", "term_b", F.round("value", 8).alias("value"))
+        return cooccurrence.similitude(units(s, d), frequent(s, d, most=DENSE_FORMS if ALIASES[name] in FULL else None), name).select("term_a", "term_b", F.round("value", 8).alias("value"))
 
     return run
 
@@ -475,29 +500,41 @@ for _name in INDICES:
 # graphs -----------------------------------------------------------------------------------------------------------------------------------
 
 
-def edges(s: SparkSession, d: str, n: int = 120) -> DataFrame:
-    pairs = cooccurrence.presence(units(s, d), unit_vocabulary(s, d, n))
+def edges(s: SparkSession, d: str) -> DataFrame:
+    """Pairs of forms with at least 3 occurrences, weighted by the segments they share."""
+    pairs = cooccurrence.presence(units(s, d), frequent(s, d))
     return pairs.select(F.col("term_a").alias("src"), F.col("term_b").alias("dst"), F.col("n").cast("double").alias("weight"))
 
 
+def tree(s: SparkSession, d: str) -> DataFrame:
+    """The maximum spanning tree of ``edges``: the graph that is drawn and measured unless all edges are asked for."""
+    return written(graph.maximum_spanning_tree(edges(s, d)), "tree")
+
+
 @query
 def degree_centrality(s: SparkSession, d: str) -> DataFrame:
-    return graph.degrees(graph.strong_edges(edges(s, d), 2))
+    return graph.degrees(edges(s, d))
 
 
 @query
 def graph_summary(s: SparkSession, d: str) -> DataFrame:
-    return graph.graph_summary(graph.strong_edges(edges(s, d), 2))
+    return graph.graph_summary(edges(s, d))
 
 
 @query
 def graph_components(s: SparkSession, d: str) -> DataFrame:
-    return graph.components(graph.strong_edges(edges(s, d), 2))
+    return graph.components(edges(s, d))
 
 
 @query
 def mst_edges(s: SparkSession, d: str) -> DataFrame:
-    return graph.maximum_spanning_tree(edges(s, d, 60))
+    return graph.maximum_spanning_tree(edges(s, d))
+
+
+@query
+def mst_weight(s: SparkSession, d: str) -> DataFrame:
+    """Edges and total weight of the tree, which are the same whatever the ties."""
+    return graph.maximum_spanning_tree(edges(s, d)).agg(F.count("*").alias("edges"), F.sum("weight").alias("weight"))
 
 
 @query
@@ -507,74 +544,85 @@ def pagerank(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def communities(s: SparkSession, d: str) -> DataFrame:
-    return graph.label_propagation(graph.best_edges(edges(s, d), 5), 10)
+    return graph.label_propagation(edges(s, d))
 
 
 @query
 def louvain_communities(s: SparkSession, d: str) -> DataFrame:
-    return small_graph.louvain(graph.best_edges(edges(s, d), 5), smallest=3)
+    return small_graph.louvain(tree(s, d), smallest=3)
 
 
 @query
 def path_centrality(s: SparkSession, d: str) -> DataFrame:
-    return small_graph.path_measures(graph.best_edges(edges(s, d), 5))
+    return small_graph.path_measures(tree(s, d))
 
 
 @query
 def eigenvector_centrality(s: SparkSession, d: str) -> DataFrame:
-    return small_graph.eigenvector(edges(s, d))
+    return small_graph.eigenvector(tree(s, d))
 
 
 @query
 def community_modularity(s: SparkSession, d: str) -> DataFrame:
-    e = written(graph.best_edges(edges(s, d), 5), "edges")
+    e = tree(s, d)
     return graph.modularity(e, small_graph.louvain(e))
 
 
-@query
-def thematic_map(s: SparkSession, d: str) -> DataFrame:
-    e = written(graph.best_edges(edges(s, d), 5), "edges")
-    return graph.thematic_map(e, small_graph.louvain(e))
+def _themes(s: SparkSession, d: str) -> DataFrame:
+    pairs = cooccurrence.ppmi(cooccurrence.presence(units(s, d), unit_vocabulary(s, d, THEME_FORMS)), most=None)
+    return written(graph.budget_edges(pairs, THEME_NODES), "themes")
 
 
 @query
 def budget_network(s: SparkSession, d: str) -> DataFrame:
-    return graph.budget_edges(cooccurrence.ppmi(cooccurrence.presence(units(s, d), unit_vocabulary(s, d, 200)), most=2000), 60)
+    return _themes(s, d)
 
 
-def _windowed(s: SparkSession, d: str) -> DataFrame:
-    words = docs(s, d).select(tokenize(F.col("text"), "alpha3").alias("w"))
-    return written(cooccurrence.windowed(words, 5).where("n_pairs >= 3"), "windowed")
+@query
+def thematic_map(s: SparkSession, d: str) -> DataFrame:
+    e = _themes(s, d)
+    return graph.thematic_map(e, small_graph.greedy_modularity(e))
+
+
+def _windowed(s: SparkSession, d: str) -> tuple[DataFrame, network.Thresholds]:
+    """Windowed pairs of the tokens that the profile of the corpus' size keeps."""
+    t = toks(s, d)
+    profile = network.thresholds(t.count())
+    return written(cooccurrence.windowed(network.vocabulary_words(t, profile), 5), "windowed"), profile
 
 
 @query
 def text_network(s: SparkSession, d: str) -> DataFrame:
-    n = toks(s, d).count()
-    return network.word_network(_windowed(s, d), network.thresholds(n))
+    return network.word_network(*_windowed(s, d))
 
 
 @query
 def balanced_network(s: SparkSession, d: str) -> DataFrame:
-    return network.balanced(edges(s, d))
+    return network.balanced(text_network(s, d))
 
 
 @query
 def bridged_network(s: SparkSession, d: str) -> DataFrame:
-    raw = edges(s, d)
-    strong = graph.strong_edges(raw, raw.agg(F.percentile_approx("weight", 0.995, 10_000)).first()[0])
-    return network.bridged(network.reinforced(strong, raw), raw)
+    pairs, profile = _windowed(s, d)
+    raw = network.word_network(pairs, network.Thresholds(1, 1, 0))
+    return network.bridged(network.reinforced(network.word_network(pairs, profile), raw), raw)
+
+
+def _capitals(s: SparkSession, d: str) -> DataFrame:
+    """``form, capitalised``: how often each form is written with a capital first letter."""
+    words = docs(s, d).select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w"))
+    return words.where(F.col("w").rlike(r"^\p{Lu}")).groupBy(F.lower("w").alias("form")).agg(F.count("*").alias("capitalised"))
 
 
 @query
 def candidate_concepts(s: SparkSession, d: str) -> DataFrame:
-    return network.candidate_words(dtm(s, d))
+    return network.candidate_words(dtm(s, d), capitals=_capitals(s, d))
 
 
 @query
 def concept_words(s: SparkSession, d: str) -> DataFrame:
-    e = written(graph.best_edges(edges(s, d), 4), "edges")
-    p = table(s, d, "postings").where("uce_id is not null").groupBy("uce_id", "form").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-    return network.concept_confidence(e, small_graph.louvain(e), network.candidate_words(p, "uce_id"), 0.5)
+    e = written(text_network(s, d), "edges")
+    return network.concept_confidence(e, graph.label_propagation(e), network.candidate_words(dtm(s, d), capitals=_capitals(s, d)))
 
 
 @query
@@ -603,6 +651,45 @@ def crossed_classifications(s: SparkSession, d: str) -> DataFrame:
     return tables.crossed_classes(a, b)
 
 
+@query
+def matched_loc_profiles(s: SparkSession, d: str) -> DataFrame:
+    """Classes of two cuts of the segments, matched by their strongest terms."""
+    p = units(s, d)
+    most = p.agg(F.max("uce_id")).scalar()
+    profiles = []
+    for k in (3, 4):
+        classes = p.select("uce_id").distinct().withColumn("class_id", F.floor((F.col("uce_id") - 1) * k / most).cast("int"))
+        profiles.append(reinert.profiles(p, classes, 3))
+    return tables.matched_classes(*profiles)
+
+
+@query
+def lemma_counts(s: SparkSession, d: str) -> DataFrame:
+    """Occurrences of lemmas by segment, of which there are two here."""
+    lex = s.createDataFrame([("sobre", "sob"), ("entre", "sob")], "form string, lemma string")
+    p = table(s, d, "postings").where("uce_id is not null and form is not null").select("uce_id", "form", F.coalesce("n", F.lit(0)).alias("n"))
+    return tables.lemma_postings(p, lex).groupBy("lemma").agg(F.count("*").alias("units"), F.sum("n").alias("n"))
+
+
+@query
+def typical_segments(s: SparkSession, d: str) -> DataFrame:
+    p, classes = _cut_classes(s, d)
+    return reinert.typical_segments(p, classes, reinert.profiles(p, classes, 3))
+
+
+@query
+def repeated_segments(s: SparkSession, d: str) -> DataFrame:
+    words = docs(s, d).select("doc_id", tokenize(F.col("text"), "alpha3").alias("w"))
+    classes = loc_groups(s, d).select("doc_id", F.col("grp").alias("class_id"))
+    return ngrams.repeated_segments(words, classes, "doc_id")
+
+
+@query
+def representative_sentences(s: SparkSession, d: str) -> DataFrame:
+    targets = s.createDataFrame([("t", "sobre"), ("t", "entre"), ("u", "com")], "target string, form string")
+    return phrases.representative_sentences(docs(s, d), targets)
+
+
 # classification and axes ---------------------------------------------------------------------------------------------------------------------
 
 
@@ -621,12 +708,17 @@ def reinert_profiles(s: SparkSession, d: str) -> DataFrame:
     return reinert.top_profiles(reinert.profiles(p, reinert.classify(p, 3)[0]), 80)
 
 
-@query
-def segment_class_profiles(s: SparkSession, d: str) -> DataFrame:
-    """Profiles of a given classification: segments by their number modulo nothing but range, so the result is plain SQL."""
+def _cut_classes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Presence and a given classification: four ranges of segments."""
     p = units(s, d)
     most = p.agg(F.max("uce_id")).scalar()
-    classes = p.select("uce_id").distinct().withColumn("class_id", F.floor((F.col("uce_id") - 1) * 4 / most).cast("int"))
+    return p, p.select("uce_id").distinct().withColumn("class_id", F.floor((F.col("uce_id") - 1) * 4 / most).cast("int"))
+
+
+@query
+def segment_class_profiles(s: SparkSession, d: str) -> DataFrame:
+    """Profiles of a given classification, so the result is plain SQL."""
+    p, classes = _cut_classes(s, d)
     return reinert.profiles(p, classes, 3).select("class_id", "form", "freq", "in_all", "chi2", "sign")
 
 
@@ -688,37 +780,43 @@ def fuzzy_fingerprint(s: SparkSession, d: str) -> DataFrame:
     return fuzzy.variant_groups(corpus.form_counts(toks(s, d)), T.fold(F.col("form"))).select("key", "canonical", "form", "freq")
 
 
+@query
+def fuzzy_ngram_fingerprint(s: SparkSession, d: str) -> DataFrame:
+    return fuzzy.variant_groups(corpus.form_counts(toks(s, d)), fuzzy.ngram_fingerprint(F.col("form")))
+
+
 @query
 def fuzzy_levenshtein_pairs(s: SparkSession, d: str) -> DataFrame:
     return fuzzy.close_pairs(corpus.form_counts(toks(s, d)))
 
 
+@query
+def fuzzy_levenshtein_clusters(s: SparkSession, d: str) -> DataFrame:
+    return fuzzy.close_clusters(corpus.form_counts(toks(s, d)))
+
+
 @query
 def stream_event_counts(s: SparkSession, d: str) -> DataFrame:
-    source = table(s, d, "events")
-    stream = s.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(d)
-    name = f"events_{abs(hash((id(s), d)))}"
-    counts.run_available(stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")), name)
-    return s.table(name).select("event_type", "n", F.round("value", 4).alias("value"))
+    stream = s.readStream.schema(table(s, d, "events").schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(d)
+    sums = counts.run_available(stream.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("value")))
+    return sums.select("event_type", "n", F.round("value", 4).alias("value"))
 
 
 @query
 def stream_daily_counts(s: SparkSession, d: str) -> DataFrame:
     stream = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"daily_{abs(hash((id(s), d)))}"
-    counts.run_available(counts.windowed_counts(stream, "ts", "event_type"), name)
-    return s.table(name).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return counts.run_available(counts.windowed_counts(stream, "ts", "event_type")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-def _rounded(f: Query, columns: tuple[str, ...]) -> Query:
+def _rounded(f: Query, columns: tuple[str, ...], digits: int) -> Query:
     def run(s: SparkSession, d: str) -> DataFrame:
-        return f(s, d).withColumns({c: F.round(F.col(c).cast("double"), 6) + F.lit(0.0) for c in columns})
+        return f(s, d).withColumns({c: F.round(F.col(c).cast("double"), digits) + F.lit(0.0) for c in columns})
 
     return run
 
 
 for _name, _columns in FLOATS.items():
-    QUERIES[_name] = _rounded(QUERIES[_name], _columns)
+    QUERIES[_name] = _rounded(QUERIES[_name], _columns, DECIMALS.get(_name, 6))
 
 
 def entry(s: SparkSession, d: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """Session helpers: the shared scratch folder, table loading and lineage cuts.
 
-Every helper reads the folder all executors share from ``spark.checkpoint.dir``. Only where that setting is missing (tests, a laptop)
-is a local folder made and set, so nothing here writes to a machine-local place on a cluster.
+Every helper reads the folder all executors share from ``spark.checkpoint.dir``. Only where that setting is missing and the master is local (tests, a laptop)
+is a local folder made and set; on a cluster without the setting the helpers raise, as executors would each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a fresh local one if it is unset."""
+    """The folder named by ``spark.checkpoint.dir``; a fresh local one if it is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="tessera-")
@@ -44,12 +46,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df.checkpoint()`` into the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """The Parquet table ``name`` of ``folder``."""
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import json
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -131,22 +132,37 @@ def read_table(spark: SparkSession, path: str, sep: str | None = None, infer: bo
     return df.toDF(*names)
 
 
-def variable_columns(df: DataFrame, least: int = 10) -> list[str]:
-    """Columns that can be metadata variables: not named like ids, not nearly unique, not nearly all digits. One aggregation over all columns."""
-    n = F.count("*").alias("_n")
-    parts = [x for k, c in enumerate(df.columns) for x in (F.approx_count_distinct(c).alias(f"d{k}"), F.avg(F.col(f"`{c}`").cast("string").rlike(r"^\d+$").cast("int")).alias(f"g{k}"))]
-    r = df.agg(n, *parts).first()
+#: Names of columns that are identifiers.
+ID_HINTS = ("id", "codigo", "cod", "code", "uuid", "pk", "key", "registro", "indice", "index", "protocolo", "matricula")
+
+
+def variable_columns(df: DataFrame, text: tuple[str, ...] = (), least: int = 10) -> list[str]:
+    """Columns that can be metadata variables: with values, no text column, and neither identifiers (by name, with nearly unique values or nearly all of digits) nor nearly
+    unique numbers. Blank values don't count. One aggregation over all columns."""
+    parts = []
+    for k, c in enumerate(df.columns):
+        value = F.trim(F.col(f"`{c}`").cast("string"))
+        value = F.when(value != "", value)
+        parts += [F.count(value).alias(f"n{k}"), F.count_distinct(value).alias(f"d{k}"), F.count_if(value.rlike(r"^\d+$")).alias(f"g{k}")]
+    r = df.agg(*parts).first()
 
     def usable(k: int, c: str) -> bool:
-        name = c.lower()
-        ident = name in ("id", "codigo", "código", "uuid", "key") or name.endswith("_id") or name.startswith("id_")
-        unique = r["_n"] >= least and r[f"d{k}"] / r["_n"] >= 0.9
-        digits = (r[f"g{k}"] or 0) >= 0.8
-        return not (unique and (digits or ident) or ident and digits) and not (unique and r["_n"] >= least)
+        n = r[f"n{k}"]
+        name = fold_name(c)
+        ident = name in ID_HINTS or name.endswith("_id") or name.startswith("id_")
+        unique = n >= least and r[f"d{k}"] / n >= 0.9
+        digits = n and r[f"g{k}"] / n >= 0.8
+        return bool(n) and c not in text and not (ident and (unique or digits)) and not (unique and digits)
 
     return [c for k, c in enumerate(df.columns) if usable(k, c)]
 
 
+def fold_name(name: str) -> str:
+    """A column's name without accents, in small letters, blanks as underscores."""
+    bare = "".join(c for c in unicodedata.normalize("NFD", name.strip().lower()) if not unicodedata.combining(c))
+    return "_".join(bare.split())
+
+
 def documents_from_table(df: DataFrame, text: list[str], variables: list[str], source: str = "") -> DataFrame:
     """``text, etoiles``: a document a row, with ``*fonte_x *col_value`` tokens."""
     from tessera.functions.text import slug

@@ -249,5 +249,96 @@ def test_registered_queries_keep_all_forms(spark, tmp_path):
     cells = [(u, f"f{u + k}", 1) for u in range(500) for k in range(2)]
     spark.createDataFrame(cells, "uce_id bigint, form string, n int").write.parquet(f"{tmp_path}/postings.parquet")
     assert queries._presence(spark, str(tmp_path)).select("form").distinct().count() == 501
-    assert queries.QUERIES["cooc_presence_all"](spark, str(tmp_path)).count() == 500
+    assert queries.QUERIES["cooc_presence"](spark, str(tmp_path)).count() == 500
     assert (queries.MAX_ACTIVES, queries.MAX_FEATURES, queries.LDA_ROUNDS) == (20_000, 2000, 20)
+
+
+def test_kwic_folds_and_reads_on(spark):
+    rows_ = [(k, t) for k, t in enumerate(["Um dois", "", None, "três Não", "quatro", "nao! cinco", "fim"])]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string").withColumn("before", F.lit("clash"))
+    got = [(r.doc_id, r.left_tokens, r.keyword, r.right_tokens) for r in contexts.kwic(df, "NAO", 3).orderBy("doc_id").collect()]
+    assert got == [(3, ["Um", "dois", "três"], "Não", ["quatro", "nao", "cinco"]), (5, ["três", "Não", "quatro"], "nao", ["cinco", "fim"])]
+    assert [r.left_tokens for r in contexts.kwic(df, "nao", 3, stream=False).orderBy("doc_id").collect()] == [["três"], []]
+    assert contexts.kwic(df, "Não", 3, case_sensitive=True).count() == 1 and contexts.kwic(df, "n.o", 1, regex=True).count() == 2
+    assert contexts.kwic(df.where("false"), "nao").count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+@pytest.mark.parametrize("most", [1, 2])
+def test_close_forms_against_loops(spark, most):
+    rnd = random.Random(most)
+    words = sorted({"".join(rnd.choice("ab") for _ in range(rnd.randint(1, 9))) for _ in range(120)})
+    forms = spark.createDataFrame([(w, rnd.randint(1, 9)) for w in words], "form string, freq bigint")
+    want = {(a, b): distance(a, b) for a in words for b in words if a < b and a[:3] == b[:3] and distance(a, b) <= most}
+    assert {(r.form_a, r.form_b): r.distance for r in fuzzy.close_pairs(forms, most).collect()} == want
+    taken, clusters = {}, {}
+    for a in words:
+        if a not in taken:
+            members = [b for b in words if b not in taken and (a, b) in want]
+            if members:
+                clusters[a] = [a, *members]
+                taken |= dict.fromkeys(clusters[a], a)
+    freq = {r.form: r.freq for r in forms.collect()}
+    heads = {min(m, key=lambda w: (-freq[w], w)): set(m) for m in clusters.values()}
+    got = {}
+    for r in fuzzy.close_clusters(forms, most).collect():
+        got.setdefault(r.canonical, set()).add(r.form)
+        assert r.cluster_freq == sum(freq[w] for w in heads[r.canonical])
+    assert got == heads
+
+
+def test_presence_of_a_large_unit(spark):
+    u = spark.range(300).select(F.lit(1).alias("uce_id"), F.concat(F.lit("t"), "id").alias("form")).unionByName(spark.createDataFrame([(2, "t1"), (2, "t2"), (3, "t9")], "uce_id int, form string"))
+    got = {(r.term_a, r.term_b): r.n for r in cooccurrence.presence(u, u.select("form").distinct(), block=16).collect()}
+    assert len(got) == 300 * 299 // 2 and got["t1", "t2"] == 2 and sum(got.values()) == len(got) + 1
+
+
+def test_tails_are_exact():
+    from fractions import Fraction
+    from math import comb, log10
+
+    from tessera.functions.measures import hypergeometric_tail
+
+    for k, row, col, total in [(3, 10, 12, 60), (0, 10, 12, 60), (9, 10, 12, 60), (40, 700, 90, 4000)]:
+        ps = {x: Fraction(comb(col, x) * comb(total - col, row - x), comb(total, row)) for x in range(max(0, row + col - total), min(row, col) + 1)}
+        up = k * total >= row * col
+        p = sum(v for x, v in ps.items() if (x >= k if up else x <= k))
+        assert hypergeometric_tail(k, row, col, total) == pytest.approx(-log10(p) if up else log10(p), abs=1e-9)
+
+
+def test_vocabulary_before_windows(spark):
+    from tessera.operators import network
+
+    df = spark.createDataFrame([(1, "a x b"), (2, "b y a a")], "doc_id bigint, text string")
+    t = tokens(df, "alpha")
+    words = network.vocabulary_words(t, network.Thresholds(2, 1, 0))
+    assert sorted(map(tuple, words.collect())) == [(1, ["a", "b"]), (2, ["b", "a", "a"])]
+    assert rows(network.word_network(cooccurrence.windowed(words, 1), network.Thresholds(2, 2, 0))) == [("a", "b", 4.0)]
+
+
+def test_names_as_in_sentences():
+    assert phrases.find_names("Hoje Ana viu. Ana saiu\n**** *x_Nome\nSobre o iPhone da Casa e nada") == ["Ana", "Ana", "iPhone da Casa"]
+    assert [phrases.name_kind(x) for x in ("ONU", "iPhone", "Ana", "Banco do Brasil", "Ana Lima")] == ["acronym", "mixed_case_name", "proper_name", "institution_or_group", "proper_name"]
+
+
+def test_names_whatever_their_case(spark):
+    df = spark.createDataFrame([(2, "vi ANA Lima aqui"), (1, "vi Ana Lima, depois Ana LIMA"), (3, None)], "doc_id bigint, text string")
+    assert [(r.name, r.kind, r.freq, r.doc_count, r.score) for r in phrases.named_entities(df).collect()] == [("Ana Lima", "proper_name", 3, 2, 1.0)]
+    assert phrases.named_entities(df.where("false")).count() == 0
+
+
+def test_communities_of_two_cliques(spark):
+    rows_ = [(a, b, 1.0) for g in ("abcd", "wxyz") for a in g for b in g if a < b] + [("d", "w", 1.0)]
+    e = spark.createDataFrame(rows_, "src string, dst string, weight double")
+    for method in (small_graph.greedy_modularity, small_graph.girvan_newman, small_graph.louvain):
+        got = {r.node: r.community for r in method(e).collect()}
+        assert {got[x] for x in "abcd"} != {got[x] for x in "wxyz"} and len(set(got.values())) == 2, method
+    assert small_graph.greedy_modularity(e.where("false")).count() == 0

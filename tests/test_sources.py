@@ -7,6 +7,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import session
 from tessera.functions.tokenizers import tokens
 from tessera.operators import corpus
 from tessera.sources import readers, writers
@@ -52,7 +53,9 @@ def test_tables(spark, tmp_path):
     (tmp_path / "t.csv").write_text("id;grupo;grupo;resposta\n" + "".join(f"{k};{'ab'[k % 2]};x;texto {k}\n" for k in range(20)))
     df = readers.read_table(spark, str(tmp_path / "t.csv"))
     assert df.columns == ["id", "grupo", "grupo_2", "resposta"]
-    assert readers.variable_columns(df) == ["grupo", "grupo_2"]
+    assert readers.variable_columns(df, ("resposta",)) == ["grupo", "grupo_2"]
+    people = spark.createDataFrame([(f"Ana {k}", k, f"{k:04}", "x" if k else " ", None) for k in range(30)], "nome string, Registro int, numero string, grupo string, vazio string")
+    assert readers.variable_columns(people) == ["nome", "grupo"]  # names may be unique, identifiers and unique numbers may not
     r = readers.documents_from_table(df, ["resposta"], ["grupo"], "q").first()
     assert r.etoiles.startswith("*fonte_q *grupo_")
     pages = spark.createDataFrame([("d", k, f"CABEÇALHO\ntexto {k}") for k in range(4)], "doc string, page int, text string")
@@ -87,10 +90,23 @@ def test_streams(spark, tmp_path, docs):
     path = str(tmp_path / "docs")
     docs.write.parquet(path)
     stream = spark.readStream.schema(docs.schema).parquet(path)
-    counts.run_available(counts.term_counts(stream), "terms")
-    assert {r.form: r.freq for r in spark.table("terms").collect()} == {r.form: r.freq for r in corpus.form_counts(tokens(docs)).collect()}
+    terms = counts.run_available(counts.term_counts(stream))
+    assert {r.form: r.freq for r in terms.collect()} == {r.form: r.freq for r in corpus.form_counts(tokens(docs)).collect()}
     timed = docs.withColumn("at", F.timestamp_seconds(F.col("doc_id") * 86400))
     timed.write.parquet(path + "2")
     day = spark.readStream.schema(timed.schema).parquet(path + "2")
-    counts.run_available(counts.windowed_counts(day, "at", "etoiles"), "days")
-    assert spark.table("days").count() == 5
+    assert counts.run_available(counts.windowed_counts(day, "at", "etoiles")).count() == 5
+
+
+def test_intermediate_results_need_a_shared_folder_on_a_cluster():
+    class Context:
+        master, applicationId = "spark://somewhere:7077", "a"
+
+        def getConf(self):
+            return {}
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(Session())
