@@ -132,6 +132,7 @@ class PairModel:
                 left[xy[0]] += n
                 right[xy[1]] += n
         self.left, self.sketch, self.below = left, sketch, below
+        self.memo: dict[str, float] = {}
         self.score: dict[str, float] = {}
         self.likely: dict[str, float] = {}
         for xy, n in pairs.items():
@@ -175,7 +176,16 @@ class PairModel:
         likely = self.likely
         if self.sketch is None:
             return sum(likely.get(x + y, UNSEEN) for x, y in zip(text, text[1:]))
-        return sum(self.rare(xy) if (n := likely.get(xy)) is None else n for xy in map(str.__add__, text, text[1:]))
+        return sum(self.seen(xy) if (n := likely.get(xy)) is None else n for xy in map(str.__add__, text, text[1:]))
+
+    def seen(self, xy: str) -> float:
+        """``rare``, kept, as pairs repeat."""
+        n = self.memo.get(xy)
+        if n is None:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            n = self.memo[xy] = self.rare(xy)
+        return n
 
 
 def cells(xy: str) -> tuple[int, int]:
