@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import written
+
 MOST = 2000
 
 
@@ -39,7 +41,8 @@ def correspondence(table: DataFrame, axes: int = 4) -> dict[str, DataFrame]:
     The eigenvalues sum to chi-square / n over all axes; percentages are of that sum.
     """
     spark = table.sparkSession
-    cells = table.where("n > 0").groupBy("form", "grp").agg(F.sum("n").cast("double").alias("n"))
+    # written once, as every margin and every action below reads it
+    cells = written(table.where("n > 0").groupBy("form", "grp").agg(F.sum("n").cast("double").alias("n")), "cells")
     rows, cols = cells.groupBy("form").agg(F.sum("n").alias("r")), cells.groupBy("grp").agg(F.sum("n").alias("c"))
     total = cols.agg(F.sum("c")).scalar()
     full = cells.join(rows, "form").join(cols, "grp").withColumn("t", total)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.measures import signed_chi2
+from tessera.operators.tables import crossed_classes
 from tessera.session import written
 
 
@@ -239,6 +240,32 @@ def classify(presence: DataFrame, classes: int = 5, least: int = 5, bins: int =
     return out, list(nodes.values())
 
 
+def double_classification(presence: DataFrame, first: DataFrame, second: DataFrame, classes: int = 5, least: int = 5, share: float = 0.0) -> DataFrame:
+    """``uce_id, class_id`` on which two classifications agree: of segments grouped into the units of ``first`` and of ``second`` (``uce_id, unit``).
+
+    Both are classified; pairs of classes that share more segments than chance (signed chi-square above 3.84) are taken from the strongest on, each class once, and are the stable
+    classes, numbered by size. Segments in none of them, or in one with less than ``share`` of all, are in class 0. Classes are few: their pairs are chosen on the driver.
+    """
+    sides = []
+    for units in (first, second):
+        grouped = presence.join(units, "uce_id").select(F.col("unit").alias("uce_id"), "form").distinct()
+        found = classify(grouped, classes, least)[0].withColumnRenamed("uce_id", "unit")
+        sides.append(written(units.join(found, "unit").select("uce_id", "class_id"), "sides"))
+    cells = crossed_classes(*sides).orderBy(F.desc("chi2"), "class_a", "class_b").limit(classes**2).collect()
+    taken, used_a, used_b = [], set(), set()
+    for r in cells:
+        if r.class_a not in used_a and r.class_b not in used_b:
+            used_a.add(r.class_a)
+            used_b.add(r.class_b)
+            taken.append((r.class_a, r.class_b, r.n))
+    every = first.select("uce_id").distinct()
+    enough = share * every.count()
+    kept = [(a, b, k) for k, (a, b, n) in enumerate(sorted(taken, key=lambda t: (-t[2], t[0], t[1])), 1) if n >= enough]
+    stable = presence.sparkSession.createDataFrame(kept, "a int, b int, stable int")
+    placed = sides[0].withColumnRenamed("class_id", "a").join(sides[1].withColumnRenamed("class_id", "b"), "uce_id").join(stable, ["a", "b"])
+    return every.join(placed.select("uce_id", "stable"), "uce_id", "left").select("uce_id", F.coalesce("stable", F.lit(0)).alias("class_id"))
+
+
 def profiles(presence: DataFrame, classes: DataFrame, least: int = 1) -> DataFrame:
     """``class_id, form, freq, in_all, pct, chi2, sign``: signed chi-square of each term in each class, by units that hold it; terms a class lacks are left out."""
     placed = presence.join(classes, "uce_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tessera.functions.text import FOLDS, WEB
 from tessera.functions.indices import ALIASES, FULL
-from tessera.operators.lexicon import ENGLISH_STOPWORDS, STOPWORDS
+from tessera.operators.lexicon import ENGLISH_STOPWORDS, PLURALS, STOPWORDS
 from tessera.operators.network import ACADEMIC_NOISE, HARD_NOISE
 
 #: Forms of the indices over all pairs of a vocabulary.
@@ -188,7 +188,7 @@ FLOATS = {
     "corpus_statistics": ("mean_tokens", "richness"), "dtm_stats": ("sparsity", "mean_doc_length", "mean_term_freq"), "postings_stats": ("sparsity", "mean_doc_length", "mean_term_freq"),
     "specificity_chi2_loc": ("score", "per_thousand"), "specificity_top_loc": ("score",), "chronological_specificity": ("score",), "metadata_profile_chi2": ("score",), "keyness_g2": ("score", "norm_a", "norm_b"),
     "keyness_chi2": ("score", "norm_a", "norm_b"), "matrix_frequency": ("percent",), "matrix_chi2": ("chi2",), "matrix_chi2_cells": ("expected", "residual"), "matrix_similarity": ("value",),
-    "partition_agreement": ("ari", "nmi"), "dispersion_juilland": ("juilland_d",), "specificity_hypergeo_loc": ("score", "per_thousand"), "keyness_exact": ("score", "norm_a", "norm_b"), "rolling_ratio": ("value",), "pagerank": ("rank",), "text_network": ("weight",), "mst_weight": ("weight",), "xray": ("rel_pos",), "voyant_trends": ("per_thousand",), "evocation_rank": ("mean_rank",),
+    "partition_agreement": ("ari", "nmi"), "dispersion_juilland": ("juilland_d",), "specificity_hypergeo_loc": ("score", "per_thousand"), "keyness_exact": ("score", "norm_a", "norm_b"), "rolling_ratio": ("value",), "pagerank": ("rank",), "text_network": ("weight",), "mst_weight": ("weight",), "ca_inertia": ("inertia",), "repeated_segments": ("chi2",), "xray": ("rel_pos",), "voyant_trends": ("per_thousand",), "evocation_rank": ("mean_rank",),
     "ppmi_pairs": ("ppmi",), "labbe_distance": ("distance",), "degree_centrality": ("strength",), "graph_summary": ("density", "mean_degree"), "segment_class_profiles": ("chi2",),
     "sentiment_distribution": ("percent",), "emotion_totals": ("percent",), "crossed_classifications": ("chi2",), "candidate_concepts": ("dispersion", "dominance", "noise", "score"),
     "multiword_candidates": ("score", "norm"), "stream_event_counts": ("value",),
@@ -203,6 +203,51 @@ def _rounded(sql: str, columns: tuple[str, ...], digits: int) -> str:
     return f"select * replace ({', '.join(f'round({c}::double, {digits}) + 0.0 as {c}' for c in columns)}) from ({sql})"
 
 
+def _strip_web_of(x: str) -> str:
+    return _strip_web().replace("text", x)
+
+
+def _strict() -> str:
+    t = "replace(replace(lower(text), '’', chr(39)), 'œ', 'oe')"
+    t = f"replace(replace({t}, '...', ' £$£ '), '…', ' £$£ ')"
+    t = f"regexp_replace(regexp_replace({t}, '([?.!,;:])', ' \\1 ', 'g'), '[^\\p{{L}}\\p{{M}}\\p{{N}}\\s\\x{{0b}}''\\-.?!,;:$£_]', ' ', 'g')"
+    return _squash(f"regexp_replace({_squash(t)}, '[''\\-]', ' ', 'g')")
+
+
+def _layout() -> str:
+    """What the engine can't look behind is replaced twice, as neighbours share a character."""
+    t = "replace(text, chr(13) || chr(10), chr(10))"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g')"
+    lines = f"list_filter(list_transform(string_split({t}, chr(10)), lambda x: {_squash('x')}), lambda x: not regexp_full_match(x, '(?:(?:[Pp][AaáÁ][Gg](?:[Ii][Nn][Aa])?\\.?\\s*)?\\d+(?:\\s*/\\s*\\d+)?|[^a-zA-Z0-9]{{1,3}})'))"
+    t = f"array_to_string({lines}, chr(10))"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '([^\\n])\\n([^\\n])', '\\1 \\2', 'g')"
+    t = f"regexp_replace(regexp_replace({t}, '([^\\n])\\n$', '\\1 '), '^\\n([^\\n])', ' \\1')"
+    return f"trim(regexp_replace({t}, '\\n{{2,}}', chr(10) || chr(10), 'g'), ' ')"
+
+
+def _cleaned() -> str:
+    t = f"regexp_replace(regexp_replace({_strip_web_of('x')}, '[\\^|<>{{}}\\[\\]*\"“”«»]', ' ', 'g'), '\\p{{N}}+', ' ', 'g')"
+    for _ in range(2):
+        t = f"regexp_replace({t}, '(\\p{{L}})-(\\p{{L}})', '\\1_\\2', 'g')"
+    return f"array_to_string(list_transform(string_split(text, chr(10)), lambda x: case when starts_with(x, '****') then trim(x, ' ') else {_squash(f'lower({t})')} end), chr(10))"
+
+
+#: Documents of texts in the tagged format: lines, each in the part that the last header above it opens; blank parts are none.
+_PARSED = """n0 as (select doc_id, regexp_replace(coalesce(text, ''), '\\r\\n?', chr(10), 'g') as t from documents),
+  n1 as (select doc_id, case when starts_with(t, '****') or trim(t, ' ') = '' then t else '**** *doc_1' || chr(10) || t end as t from n0),
+  n2 as (select doc_id, unnest(string_split(t, chr(10))) as line, unnest(range(len(string_split(t, chr(10))))) as pos from n1),
+  n3 as (select *, sum(case when starts_with(line, '****') then 1 else 0 end) over (partition by doc_id order by pos) as part from n2),
+  n4 as (select doc_id, part, first(line order by pos) as header, string_agg(line, chr(10) order by pos) as whole,
+           regexp_replace(coalesce(string_agg(line, chr(10) order by pos) filter (pos > start and not regexp_matches(line, '^ *-\\*')), ''), '^[\\s\\x{0b}]+|[\\s\\x{0b}]+$', '', 'g') as text,
+           count(*) filter (regexp_matches(line, '^ *-\\*')) as themes from (select *, min(pos) over (partition by doc_id, part) as start from n3) group by 1, 2),
+  parsed as (select doc_id, (row_number() over (partition by doc_id order by part) - 1)::int as doc_no, trim(header, ' ') as header, text, themes::int as themes from n4 where trim(whole, ' ') <> '')"""
+
+_LEXICON = "l(pos, word, lemma, gram) as (values (0, 'jórado', 'jórado', 'nom'), (1, 'canção', 'canção', 'nom'), (2, 'lhabista', 'lhabisto', 'adj'), (3, 'não', 'não', 'adv'), (4, 'que', 'que', 'pro'))"
+_TRIES = " ".join(f"union all select form, {k + 2} as try, 'w' as how, substr(form, 1, length(form) - {len(a)}) || '{b}' as key from forms where form like '%{a}'" for k, (a, b) in enumerate(PLURALS))
+
+
 def oracle_sql() -> dict[str, str]:
     sql = {
         "corpus_statistics": f"""with {TOK}, {FORMS}, c as (select count(*) as n_forms, coalesce(sum(freq), 0)::bigint as n_occurrences, count(*) filter (freq = 1) as n_hapax from forms),
@@ -230,6 +275,26 @@ def oracle_sql() -> dict[str, str]:
         "tokenizer_counts": "select " + ", ".join(f"coalesce(sum(len({_runs(whole=w)})), 0)::bigint as {n}" for n, w in (("alpha", f"[{_LATIN}]+"), ("alpha2", f"[{_LATIN}]{{2,}}"), ("alpha3", f"[{_LATIN}]{{3,}}"), ("compound", f"[{_LATIN}]+(?:_[{_LATIN}]+)*"), ("word", _WITH_LETTER), ("sent", ".{2,}"))) + " from documents",
         "folded_forms": f"with {TOK} select distinct form, {_fold('form')} as folded from tok",
         "web_free_texts": f"select doc_id, {_strip_web()} as clean from documents",
+        "strict_texts": f"select doc_id, translate({_strict()}, 'ς', 'σ') as clean from documents",
+        "layout_texts": f"select doc_id, {_layout()} as clean from documents",
+        "corpus_cleaned": f"select doc_id, translate({_cleaned()}, 'ς', 'σ') as clean from documents",
+        "transcript_speakers": """with s as (select distinct doc_id, unnest(regexp_extract_all(text, '(?m)^(?:\\[[\\d:]+\\]\\s*)?(\\p{Lu}[\\p{L}\\d()]{0,24}):\\s', 1)) as speaker from documents)
+            select speaker, count(*) as documents from s group by speaker""",
+        "parsed_documents": f"with {_PARSED} select doc_id, doc_no, header, length(text) as chars, themes from parsed",
+        "corpus_issues": f"""with {_PARSED}, w as (select *, list_filter(string_split_regex(header, '\\s+'), lambda t: t <> '****' and not regexp_matches(t, '^\\*[^*_\\s]+_\\S+$')) as bad from parsed),
+            c as (select doc_id, count(*) as documents, count(*) filter (text = '') as empty_documents, sum(len(bad))::bigint as bad_tokens, count(*) filter (regexp_matches(text, 'Ã[\\x{{80}}-¿]|�')) as garbled_documents,
+              (max(length(text)) >= 10 * avg(length(text)))::bigint as unequal_documents from w group by doc_id),
+            d as (select c.*, len(regexp_extract_all(text, '(?m)^(\\*{{1,3}}|\\*{{5,}})\\s'))::bigint as bad_markers from c join documents using (doc_id))
+            select doc_id, what, n from (unpivot d on documents, empty_documents, bad_tokens, garbled_documents, unequal_documents, bad_markers into name what value n) where n > 0""",
+        "lexicon_lookup": f"""with {TOK}, {FORMS}, {_LEXICON}, t as (select form, 0 as try, 'w' as how, form as key from forms union all select form, 1, 'f', {_fold('form')} from forms {_TRIES}),
+            f as (select {_fold('word')} as key, arg_min(struct_pack(lemma := lemma, gram := gram), pos) as r from l group by 1),
+            w as (select 'w' as how, word as key, lemma, gram from l union all select 'f', key, r.lemma, r.gram from f), h as (select form, arg_min(struct_pack(lemma := lemma, gram := gram), try) as r from t join w using (how, key) group by form)
+            select form, freq, coalesce(r.lemma, form) as lemma, g as gram, case when g in ('adv', 'ver', 'adj', 'nom', 'nr') then 1 else 2 end as act
+            from (select *, coalesce(r.gram, case when regexp_matches(form, '^\\p{{N}}+$') then 'num' else 'nr' end) as g from forms left join h using (form))""",
+        "ca_inertia": f"""with {TOK}, {DTM}, {LANG}, {_table('langs', 5)}, {_MARGINS} select sum(n * n / (k::double * g)) - 1 as inertia from m""",
+        "repeated_segments": f"""with w as (select doc_id, {_runs()} as w from documents), x as (select doc_id, unnest(range(2, 6)) as j, w from w), y as (select doc_id, w, j, unnest(range(greatest(len(w) - j + 1, 0))) as i from x),
+            {META}, {LOC}, t as (select array_to_string(w[i + 1:i + j], ' ') as form, grp, count(*) as n from y join loc using (doc_id) group by 1, 2), {_MARGINS}, z as (select form, grp, n, {_chi2()} as chi2 from m),
+            r as (select *, row_number() over (partition by grp order by chi2 desc, form) as place from z where n >= 3 and chi2 > 0) select grp as class_id, form as gram, n as freq, chi2 from r where place <= 20""",
         "source_slugs": f"select distinct source, substr(regexp_replace(regexp_replace({_fold('source')}, '[^a-z0-9_]+', '_', 'g'), '^_+|_+$', '', 'g'), 1, 60) as slug from documents where source is not null",
         "lexical_table_lang": f"with {TOK}, {DTM}, {LANG}, {_table('langs', 3)} select form, grp, n::bigint as n from t",
         "class_presence_profile": f"""with {TOK}, {DTM}, {META}, {LOC}, t as (select form, grp, count(*) as n from dtm join loc using (doc_id) group by 1, 2)

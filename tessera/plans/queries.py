@@ -177,7 +177,8 @@ def web_free_texts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def strict_texts(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", T.strict_clean(F.col("text")).alias("clean"))
+    # engines differ in the small sigma at the end of a capital word, so both are written alike
+    return docs(s, d).select("doc_id", F.translate(T.strict_clean(F.col("text")), "ς", "σ").alias("clean"))
 
 
 @query
@@ -192,7 +193,7 @@ def minimal_texts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def corpus_cleaned(s: SparkSession, d: str) -> DataFrame:
-    return docs(s, d).select("doc_id", T.clean_corpus_text(F.col("text")).alias("clean"))
+    return docs(s, d).select("doc_id", F.translate(T.clean_corpus_text(F.col("text")), "ς", "σ").alias("clean"))
 
 
 @query
@@ -715,6 +716,18 @@ def _cut_classes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return p, p.select("uce_id").distinct().withColumn("class_id", F.floor((F.col("uce_id") - 1) * 4 / most).cast("int"))
 
 
+@query
+def reinert_double(s: SparkSession, d: str) -> DataFrame:
+    """Two classifications of the documents' segments, grouped into units of two sizes, and the classes both agree on."""
+    cut = segments.segments(docs(s, d), tokenize(F.col("text"), "alpha3")).withColumn("uce_id", F.xxhash64("doc_id", "seg"))
+    forms = written(cut.select("doc_id", F.col("seg").cast("bigint").alias("seg"), "uce_id", F.array_distinct("tokens").alias("forms")), "segments")
+    often = forms.select(F.explode("forms").alias("form")).groupBy("form").agg(F.count("*").alias("k")).where("k >= 3").orderBy(F.desc("k"), "form").limit(MAX_ACTIVES).select("form")
+    presence = forms.select("uce_id", F.explode("forms").alias("form")).join(often, "form", "left_semi")
+    sizes = forms.select("doc_id", "seg", F.size("forms").alias("size"))
+    units = [forms.join(segments.unit_groups(sizes, limit), ["doc_id", "seg"]).select("uce_id", F.xxhash64("doc_id", "unit").alias("unit")) for limit in (12, 14)]
+    return reinert.double_classification(presence, units[0], units[1], 4)
+
+
 @query
 def segment_class_profiles(s: SparkSession, d: str) -> DataFrame:
     """Profiles of a given classification, so the result is plain SQL."""
@@ -727,6 +740,12 @@ def ca_eigenvalues(s: SparkSession, d: str) -> DataFrame:
     return correspondence.correspondence(tables.lexical_table(dtm(s, d), lang_groups(s, d), min_freq=5))["eigenvalues"]
 
 
+@query
+def ca_inertia(s: SparkSession, d: str) -> DataFrame:
+    """The sum of the eigenvalues: chi-square over the total."""
+    return correspondence.correspondence(tables.lexical_table(dtm(s, d), lang_groups(s, d), min_freq=5), axes=correspondence.MOST)["eigenvalues"].agg(F.sum("eigenvalue").alias("inertia"))
+
+
 @query
 def ca_columns(s: SparkSession, d: str) -> DataFrame:
     return correspondence.correspondence(tables.lexical_table(dtm(s, d), lang_groups(s, d), min_freq=5))["columns"]

@@ -342,3 +342,19 @@ def test_communities_of_two_cliques(spark):
         got = {r.node: r.community for r in method(e).collect()}
         assert {got[x] for x in "abcd"} != {got[x] for x in "wxyz"} and len(set(got.values())) == 2, method
     assert small_graph.greedy_modularity(e.where("false")).count() == 0
+
+
+def test_double_classification(spark):
+    themes = {g: [f"{g}{k}" for k in range(6)] for g in "abc"}
+    cells, units = [], []
+    rnd = random.Random(3)
+    for u in range(120):
+        g = "abc"[u // 40]
+        cells += [(u, w) for w in rnd.sample(themes[g], 4)]
+        units.append((u, u // 2, u // 4))
+    presence = spark.createDataFrame(cells, "uce_id bigint, form string")
+    members = spark.createDataFrame(units, "uce_id bigint, x bigint, y bigint")
+    got = {r.uce_id: r.class_id for r in reinert.double_classification(presence, members.selectExpr("uce_id", "x as unit"), members.selectExpr("uce_id", "y as unit"), 3, 2).collect()}
+    assert len(got) == 120 and {len({got[u] for u in range(k, k + 40)}) for k in (0, 40, 80)} == {1} and set(got.values()) == {1, 2, 3}
+    none = reinert.double_classification(presence, members.selectExpr("uce_id", "x as unit"), members.selectExpr("uce_id", "y as unit"), 3, 2, share=0.9)
+    assert {r.class_id for r in none.collect()} == {0}
