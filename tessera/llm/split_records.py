@@ -103,14 +103,14 @@ def split_records(records: DataFrame, config: DataFrame) -> DataFrame:
     A record's last delivery holds (ties, also unchanged redeliveries, by the row's hash); rows without ``record_id`` are left out. Null and blank tokens don't
     count and are left out; records within the limit, without tokens or of a corpus without a size give no piece. Pieces cover all counted tokens in order,
     each has at most ``uce_size``, and consecutive ones share ``uce_overlap`` tokens. The settings joined are one row per corpus. The last delivery is picked among
-    slim rows (id, time, hash, size); token arrays are read again and travel only for the winners above their limit.
+    slim rows (id, time, hash, whether above the limit); token arrays are read again and travel only for rows above their limit.
     """
     columns = records.where("record_id is not null").select("record_id", "corpus_id", "loaded_at", visible(F.col("tokens")).alias("tokens"))
-    marked = columns.withColumn("mark", F.xxhash64("loaded_at", "corpus_id", "tokens"))
-    slim = marked.select("record_id", F.struct("loaded_at", "mark", "corpus_id", F.size("tokens").alias("n")).alias("row"))
-    last = slim.groupBy("record_id").agg(F.max("row").alias("row")).select("record_id", "row.mark", "row.corpus_id", "row.n")
-    long = last.join(current_settings(config), "corpus_id").where("n > uce_size").select("record_id", "mark", "uce_size", "uce_overlap")
+    marked = columns.join(current_settings(config), "corpus_id", "left").withColumn("mark", F.xxhash64("loaded_at", "corpus_id", "tokens"))
+    above = F.coalesce(F.size("tokens") > F.col("uce_size"), F.lit(False))
+    slim = marked.select("record_id", F.struct("loaded_at", "mark", above.alias("above")).alias("row"))
+    winners = slim.groupBy("record_id").agg(F.max("row").alias("row")).where("row.above").select("record_id", "row.mark")
     # rows delivered twice alike are one
-    whole = marked.select("record_id", "mark", "corpus_id", "tokens").join(long, ["record_id", "mark"]).dropDuplicates(["record_id"])
+    whole = marked.where(above).join(winners, ["record_id", "mark"], "left_semi").dropDuplicates(["record_id"])
     schema = "record_id bigint, corpus_id int, piece int, start_token int, end_token int, cut string, tokens array<string>"
     return whole.select("record_id", "corpus_id", "uce_size", "uce_overlap", "tokens").mapInPandas(_pieces, schema)
