@@ -7,9 +7,9 @@
    are known and their log-likelihood under the corpus gains enough bits over those found. Tokens with UTF-8 sequences are tested for these wherever they stand, so a corpus
    in which garbling is usual hides none. Texts with replacement characters or control codes anywhere, or question marks for letters in a run, are garbled too, though beyond restoring.
 
-What goes to the workers is bounded whatever the corpus, and leaves no pair out. Pairs with p(xy) >= ``FLOOR`` go by name, at most 1 / ``FLOOR`` of them. ``FLOOR`` is so
-low that every rarer pair has the highest score, the same as an unseen one: its share is at most p log2(1 / p) < ``LOW_SHARE`` / 16. The counts of rarer pairs, which
-likelihoods need, go as two rows of ``CELLS`` sums by hashes of the pair (a count-min sketch); margins go by character, at most one for each code point.
+What goes to the workers is bounded whatever the corpus: pairs with p(xy) >= ``FLOOR``, at most 1 / ``FLOOR`` of them. Counts, margins and total are over all pairs, and
+``FLOOR`` is so low that every rarer pair has the highest score, the same as an unseen one (its share is at most p log2(1 / p) < ``LOW_SHARE`` / 16), so no score depends on it.
+For likelihoods a pair of probability below ``RARE`` is as good as unseen: garbling repeats itself, so a few occurrences say little, in a corpus of any size.
 """
 
 from __future__ import annotations
@@ -20,17 +20,16 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.session import spread, written
 
-#: Probability below which a pair isn't named but counted in the sketch; bounds the table to 1 / FLOOR pairs.
+#: Probability below which a pair has the highest score whatever its count; bounds the table to 1 / FLOOR pairs.
 FLOOR = 2.5e-7
-#: Sums in each row of the sketch.
-CELLS = 1 << 20
+#: Probability below which a pair vouches for no text.
+RARE = 2e-6
 #: Share in the mutual information (bits) below which a pair is improbable.
 LOW_SHARE = 1e-4
 #: Bits a mapping must gain over a text's runs (little where the form of UTF-8 speaks for it too), and log2 p(y|x) that pairs it makes must have on average.
@@ -122,37 +121,28 @@ def _utf8_pair(name: str) -> str:
 
 
 class PairModel:
-    """Scores of adjacent character pairs: ``pairs`` named with their counts out of ``total``; ``left`` and ``right`` are the margins over all pairs, by default over the named
-    ones; ``sketch`` holds two rows of sums over the pairs not named, each of which has fewer than ``below`` occurrences."""
+    """Scores of adjacent character pairs: ``pairs`` with their counts out of ``total``; ``left`` and ``right`` are the margins over all pairs, by default over the given ones."""
 
-    def __init__(self, pairs: dict[str, int], total: int, left: dict[str, int] | None = None, right: dict[str, int] | None = None, sketch: tuple[np.ndarray, np.ndarray] | None = None, below: float = 0):
+    def __init__(self, pairs: dict[str, int], total: int, left: dict[str, int] | None = None, right: dict[str, int] | None = None):
         if left is None or right is None:
             left, right = Counter(), Counter()
             for xy, n in pairs.items():
                 left[xy[0]] += n
                 right[xy[1]] += n
-        self.left, self.sketch, self.below = left, sketch, below
-        self.memo: dict[str, float] = {}
         self.score: dict[str, float] = {}
         self.likely: dict[str, float] = {}
         for xy, n in pairs.items():
             # an occurrence doesn't vouch for itself, so one is left out
             share = (n - 1) / total * math.log2(n * total / (left[xy[0]] * right[xy[1]]))
             self.score[xy] = max(-3.0, min(4.0, math.log2(LOW_SHARE / share))) if share > 0 else 4.0
-            self.likely[xy] = max(UNSEEN, math.log2(n / left[xy[0]]))
-        for xy in [k for k in pairs if k.islower()]:  # pairs of capitals are as likely as those of small letters, but for the style
+            if n >= RARE * total:
+                self.likely[xy] = max(UNSEEN, math.log2(n / left[xy[0]]))
+        for xy in [k for k in self.likely if k.islower()]:  # pairs of capitals are as likely as those of small letters, but for the style
             for other in (xy.upper(), xy[0].upper() + xy[1]):
                 if len(other) == 2:
                     self.likely[other] = max(self.likely.get(other, UNSEEN), self.likely[xy] - 4.0)
                     self.score[other] = min(self.score.get(other, 4.0), self.score[xy] + 1.0)
 
-    def rare(self, xy: str) -> float:
-        """log2 p(y|x) of a pair that isn't named, by the sketch."""
-        if self.sketch is None or xy[0] not in self.left:
-            return UNSEEN
-        n = min(*(int(row[cell]) for row, cell in zip(self.sketch, cells(xy))), self.below)
-        return max(UNSEEN, math.log2(n / self.left[xy[0]])) if n else UNSEEN
-
     def runs(self, text: str) -> list[tuple[int, int]]:
         """Spans of tokens touched by the maximum-scoring segments of improbable pairs."""
         score = self.score
@@ -174,24 +164,7 @@ class PairModel:
     def bits(self, text: str) -> float:
         """log2 likelihood of a text's pairs."""
         likely = self.likely
-        if self.sketch is None:
-            return sum(likely.get(x + y, UNSEEN) for x, y in zip(text, text[1:]))
-        return sum(self.seen(xy) if (n := likely.get(xy)) is None else n for xy in map(str.__add__, text, text[1:]))
-
-    def seen(self, xy: str) -> float:
-        """``rare``, kept, as pairs repeat."""
-        n = self.memo.get(xy)
-        if n is None:
-            if len(self.memo) > 500_000:
-                self.memo.clear()
-            n = self.memo[xy] = self.rare(xy)
-        return n
-
-
-def cells(xy: str) -> tuple[int, int]:
-    """The cells of a pair in the rows of the sketch."""
-    x, y = ord(xy[0]), ord(xy[1])
-    return (x * 2654435761 + y * 40503) % 4294967291 % CELLS, (x * 2246822519 + y * 3266489917) % 4294967279 % CELLS
+        return sum(likely.get(x + y, UNSEEN) for x, y in zip(text, text[1:]))
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int]]:
@@ -472,20 +445,8 @@ def pair_model(texts: DataFrame) -> PairModel:
     kept = counts.where(named).toPandas()  # at most 1 / FLOOR rows
     x, y = F.substring("pair", 1, 1).alias("c"), F.substring("pair", 2, 1).alias("c")
     left, right = (counts.groupBy(c).agg(F.sum("n").alias("n")).toPandas() for c in (x, y))  # a row a code point
-    pairs, margins = dict(zip(kept.pair, map(int, kept.n))), [dict(zip(m.c, map(int, m.n))) for m in (left, right)]
-    if len(pairs) == counts.count():
-        return PairModel(pairs, max(total, 1), *margins)
-    hashed = counts.where(~named).mapInArrow(_cells, "row int, cell int, n bigint").groupBy("row", "cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2 x CELLS rows
-    rows = np.zeros((2, CELLS), dtype=np.int64)
-    rows[hashed.row.to_numpy(), hashed.cell.to_numpy()] = hashed.n.to_numpy()
-    return PairModel(pairs, max(total, 1), *margins, (rows[0], rows[1]), FLOOR * total)
-
-
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [cells(xy) for xy in batch.column(0).to_pylist()]
-        for k in range(2):
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(found), pa.int32()), pa.array([c[k] for c in found], pa.int32()), batch.column(1)], ["row", "cell", "n"])
+    margins = [dict(zip(m.c, map(int, m.n))) for m in (left, right)]
+    return PairModel(dict(zip(kept.pair, map(int, kept.n))), max(total, 1), *margins)
 
 
 def garbled(rows: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
