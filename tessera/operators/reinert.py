@@ -1,16 +1,20 @@
 """Descending hierarchical classification of segments (Reinert) on the presence table ``uce_id, form``.
 
 A node is split along the first axis of its correspondence analysis: the axis by power iteration on the presence table, the units in the order of their coordinate,
-prefix sums of term counts over the units, of all cuts the one with the greatest chi-square. Units then move to the other side while the chi-square grows. Small nodes are
-split in one task, large ones by joins and aggregations of which a few rows a pass reach the driver; start, rounds, cuts and moves are the same.
+prefix sums of term counts over the units, of all cuts the one with the greatest chi-square. Units then move to the other side while the chi-square grows.
+
+Forms are numbered once and each unit is one row with the array of its numbers, so that a node's state is a vector over the vocabulary: a round reads the rows once and adds
+up vectors. Small nodes are split so within one task, large ones by a job a round whose tasks each send one vector to the driver; the sums, start, rounds, cuts and moves are the same.
 """
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,13 +23,20 @@ from tessera.operators.tables import crossed_classes
 from tessera.session import written
 
 
-#: Nodes up to this many cells are split within one task.
-KERNEL_CELLS = 2_000_000
+#: Nodes up to this size are split within one task: a cell counts one, a unit eight, as its key, place and coordinate are held too.
+KERNEL_CELLS = 16_000_000
+#: Cells of a block of rows, and of a range of the coordinate.
+BLOCK_CELLS, RANGE_CELLS = 1_000_000, 2_000_000
 #: Rounds of the power iteration and of moves, in one task and by distributed passes alike.
 ROUNDS, REFINE = 60, 8
 #: Decimals of coordinates and shares, and of chi-squares, so that the order of sums decides nothing.
 DECIMALS, CHI2_DECIMALS = 12, 7
 
+#: Units in blocks: their keys, where the terms of each start and the last ends, and the terms.
+Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: How a unit is placed: by its coordinate and key against a cut, or by the mean share of its terms against a threshold.
+Rule = tuple
+
 
 @dataclass
 class Node:
@@ -38,193 +49,320 @@ class Node:
     class_id: int | None = None
 
 
-def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = ROUNDS, refine: int = REFINE, ids: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
-    """The side of each unit (numbered from 0) and the chi-square of the split of a node given by its cells; None if no cut leaves ``least`` units on both sides.
+@dataclass
+class Split:
+    rule: Rule
+    chi2: float
+    #: Units and cells of both sides.
+    units: tuple[int, int]
+    cells: tuple[int, int]
+
+
+def _means(starts: np.ndarray, terms: np.ndarray, values: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values[terms], starts[:-1]) / np.diff(starts) if len(terms) else np.zeros(0)
+
+
+def _sides(block: Block, rule: Rule) -> np.ndarray:
+    """Of each unit, whether it is on side 1."""
+    ids, starts, terms = block
+    if rule[0] == "share":
+        _, share, threshold = rule
+        return np.round(_means(starts, terms, share), DECIMALS) < threshold
+    _, axis, mean, coord, last = rule
+    own = np.round(_means(starts, terms, axis) - mean, DECIMALS)
+    return (own > coord) | (own == coord) & (ids > last)
+
+
+def _steps(starts: np.ndarray, terms: np.ndarray, counts: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """What each unit of a block, in the order of the coordinate, adds to q (see ``_cut``); ``before`` has the cells of each term before the block and then those up to its end."""
+    order = np.argsort(terms, kind="stable")
+    sorted_ = terms[order]
+    first = np.concatenate(([0], np.flatnonzero(np.diff(sorted_)) + 1))
+    within = np.empty(len(terms), dtype=np.int64)
+    within[order] = np.arange(len(terms)) - np.repeat(first, np.diff(np.append(first, len(terms))))
+    out = np.add.reduceat((2 * (before[terms] + within) + 1) / counts[terms], starts[:-1])
+    before += np.bincount(terms, minlength=len(counts))
+    return out
 
-    ``ids`` are the units' ascending keys, by default their numbers."""
-    n = int(unit.max()) + 1 if len(unit) else 0
-    if n < 2 * least:
-        return None
-    term = np.unique(term, return_inverse=True)[1]
-    r, t = np.bincount(unit, minlength=n).astype(float), np.bincount(term).astype(float)
-    total = float(len(unit))
-    ids = np.arange(n) if ids is None else ids
-    coord = (ids % 2001 * 7919 % 2001) / 1000.0 - 1.0
-    for _ in range(rounds):
-        coord = coord - (r * coord).sum() / total
-        coord /= np.sqrt((r * coord**2).sum()) or 1.0
-        coord = np.bincount(unit, (np.bincount(term, coord[unit], len(t)) / t)[term], n) / r
-    coord = np.round(coord - (r * coord).sum() / total, DECIMALS)
-    order = np.lexsort((np.arange(n), coord))
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.arange(n)
-    # chi-square of a cut is T^2 q / (L R) - T L / R with q the sum of l^2 / t; a cell adds (2l + 1) / t, l its term's cells before it
-    cells = np.lexsort((rank[unit], term))
-    first = np.concatenate(([0], np.flatnonzero(np.diff(term[cells])) + 1))
-    before = np.arange(len(cells)) - np.repeat(first, np.diff(np.append(first, len(cells))))
-    step = np.bincount(rank[unit[cells]], (2 * before + 1) / t[term[cells]], n)
-    q, left = np.cumsum(step), np.cumsum(r[order])
+
+def _cut(q: np.ndarray, left: np.ndarray, before: np.ndarray, total: float, units: int, least: int) -> tuple[float, int] | None:
+    """The greatest chi-square of the cuts after each unit and where it is. It is T^2 q / (L R) - T L / R with q the sum of l^2 / t; a cell adds (2l + 1) / t, l its term's cells before it."""
     right = total - left
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi2 = np.where(right > 0, total**2 * q / (left * right) - total * left / right, -np.inf)
-    chi2 = np.round(chi2, CHI2_DECIMALS)
-    chi2[: least - 1] = -np.inf
-    chi2[n - least :] = -np.inf
-    cut = int(np.argmax(chi2))
-    if not np.isfinite(chi2[cut]):
+        chi2 = np.where((right > 0) & (before >= least) & (units - before >= least), np.round(total**2 * q / (left * right) - total * left / right, CHI2_DECIMALS), -np.inf)
+    at = int(np.argmax(chi2)) if len(chi2) else 0
+    return (float(chi2[at]), at) if len(chi2) and np.isfinite(chi2[at]) else None
+
+
+def _in_order(rows: Block, order: np.ndarray) -> Iterator[Block]:
+    """The units in another order, in blocks."""
+    ids, starts, terms = rows
+    sizes = np.diff(starts)[order]
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(order):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + BLOCK_CELLS, "right")))
+        own = np.concatenate(([0], np.cumsum(sizes[a:b])))
+        yield ids[order[a:b]], own, terms[np.repeat(starts[order[a:b]] - own[:-1], sizes[a:b]) + np.arange(own[-1])]
+        a = b
+
+
+class _Rows:
+    """A node's units in memory."""
+
+    def __init__(self, blocks: Iterable[Block]):
+        ids, sizes, terms = zip(*((i, np.diff(s), t) for i, s, t in blocks), strict=True)
+        ids, starts, terms = np.concatenate(ids), np.concatenate(([0], *sizes)).cumsum(), np.concatenate(terms)
+        self.blocks = list(_in_order((ids, starts, terms), np.argsort(ids, kind="stable")))
+
+    def sums(self, f: Callable[[Block], np.ndarray]) -> np.ndarray:
+        return sum(map(f, self.blocks))
+
+    def best(self, axis: np.ndarray, mean: float, counts: np.ndarray, units: int, least: int) -> tuple[float, float, int] | None:
+        coord = np.concatenate([np.round(_means(s, t, axis) - mean, DECIMALS) for _, s, t in self.blocks])
+        ids, sizes, terms = (np.concatenate([b[k] if k != 1 else np.diff(b[1]) for b in self.blocks]) for k in range(3))
+        order = np.lexsort((ids, coord))
+        before = np.zeros(len(counts))
+        steps = [_steps(s, t, counts, before) for _, s, t in _in_order((ids, np.concatenate(([0], sizes)).cumsum(), terms), order)]
+        found = _cut(np.cumsum(np.concatenate(steps)), np.cumsum(sizes[order]), np.arange(1, units + 1), counts.sum(), units, least)
+        return None if found is None else (found[0], coord[order[found[1]]], ids[order[found[1]]])
+
+
+class _Passes:
+    """A node's units as a table ``uce_id, terms`` that is read once a pass."""
+
+    def __init__(self, rows: DataFrame, bins: int):
+        self.rows, self.bins = rows, bins
+
+    def sums(self, f: Callable[[Block], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for block in _blocks(batches):
+                total = f(block) if total is None else total + f(block)
+            if total is not None:
+                yield pa.RecordBatch.from_pydict({"sums": [total.astype(float).tobytes()]})
+
+        return sum(np.frombuffer(r.sums) for r in self.rows.mapInArrow(run, "sums binary").collect())  # a row a task
+
+    def best(self, axis: np.ndarray, mean: float, counts: np.ndarray, units: int, least: int) -> tuple[float, float, int] | None:
+        """Each range of the coordinate in a task, on top of the term counts of the ranges before it."""
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, s, t = _block(batch)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(_means(s, t, axis) - mean, DECIMALS))], ["uce_id", "terms", "coord"])
+
+        total = counts.sum()
+        n = int(max(1, min(self.bins, total // RANGE_CELLS)))
+        placed = self.rows.mapInArrow(place, "uce_id bigint, terms array<int>, coord double").repartitionByRange(n, "coord", "uce_id")
+        ranged = written(placed.withColumn("bin", F.spark_partition_id()), "ranged")
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own: dict[int, np.ndarray] = {}
+            for batch in batches:
+                ids, s, t = _block(batch)
+                bins = batch.column("bin").to_numpy()
+                for k in np.unique(bins):
+                    here = bins == k
+                    add = np.append(np.bincount(t[np.repeat(here, np.diff(s))], minlength=len(counts)), here.sum()).astype(float)
+                    own[int(k)] = own[int(k)] + add if int(k) in own else add
+            yield pa.RecordBatch.from_pydict({"bin": pa.array(own, pa.int32()), "sums": pa.array([v.tobytes() for v in own.values()], pa.binary())})
+
+        held = np.zeros((n + 1, len(counts) + 1))
+        for r in ranged.mapInArrow(count, "bin int, sums binary").toLocalIterator():  # a row a task and range
+            held[r.bin + 1] += np.frombuffer(r.sums)
+        offsets = np.cumsum(held, axis=0)
+
+        def search(key: tuple, table: pa.Table) -> pa.Table:
+            at = offsets[key[0].as_py()]
+            rows, coord = _block(table.combine_chunks()), table.column("coord").to_numpy()
+            order = np.lexsort((rows[0], coord))
+            before = at[:-1].copy()
+            steps = np.concatenate([_steps(s, t, counts, before) for _, s, t in _in_order(rows, order)])
+            q, left = np.cumsum(steps) + (at[:-1] ** 2 / np.maximum(counts, 1)).sum(), np.cumsum(np.diff(rows[1])[order]) + at[:-1].sum()
+            found = _cut(q, left, np.arange(1, len(order) + 1) + at[-1], total, units, least)
+            return _BEST.empty_table() if found is None else pa.Table.from_pylist([{"bin": key[0].as_py(), "chi2": found[0], "coord": coord[order[found[1]]], "uce_id": rows[0][order[found[1]]]}], _BEST)
+
+        found = ranged.groupBy("bin").applyInArrow(search, "bin int, chi2 double, coord double, uce_id bigint").orderBy(F.desc("chi2"), "bin").first()
+        return None if found is None else (found.chi2, found.coord, found.uce_id)
+
+
+_BEST = pa.schema([("bin", pa.int32()), ("chi2", pa.float64()), ("coord", pa.float64()), ("uce_id", pa.int64())])
+
+
+def _block(batch: pa.RecordBatch | pa.Table) -> Block:
+    terms = batch.column("terms")
+    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
+    starts = terms.offsets.to_numpy().astype(np.int64)
+    return batch.column("uce_id").to_numpy(), starts - starts[0], terms.flatten().to_numpy()
+
+
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
+    return (_block(batch) for batch in batches if batch.num_rows)
+
+
+def _best_split(rows: _Rows | _Passes, forms: int, least: int, rounds: int, refine: int) -> Split | None:
+    """The split of a node whose terms are numbered below ``forms``; None if no cut leaves ``least`` units on both sides."""
+
+    def first(block: Block) -> np.ndarray:
+        return np.append(np.bincount(block[2], minlength=forms), len(block[0]))
+
+    def moments(axis: np.ndarray | None) -> tuple[np.ndarray, float, float]:
+        """Of the coordinates by the terms' values: their sum at each term, mean and deviation; without values a deterministic start from the units' keys, in [-1, 1]."""
+
+        def f(block: Block) -> np.ndarray:
+            ids, starts, terms = block
+            r = np.diff(starts)
+            coord = _means(starts, terms, axis) if axis is not None else (ids % 2001 * 7919 % 2001) / 1000.0 - 1.0
+            return np.append(np.bincount(terms, np.repeat(coord, r), forms), [(r * coord).sum(), (r * coord**2).sum()])
+
+        found = rows.sums(f)
+        mean = found[-2] / total
+        return found[:-2], mean, max(found[-1] - total * mean**2, 0.0) ** 0.5
+
+    *counts, units = rows.sums(first)
+    counts, units = np.array(counts), int(units)
+    total, some = counts.sum(), np.maximum(counts, 1)
+    if units < 2 * least:
         return None
-    side, score = (rank > cut).astype(int), float(chi2[cut])
+    axis = None
+    for _ in range(rounds):
+        at_terms, mean, size = moments(axis)
+        axis = np.where(counts > 0, (at_terms / some - mean) / (size or 1.0), 0.0)
+    if axis is None:
+        raise ValueError("no rounds")
+    mean = float((axis * counts).sum() / total)
+    found = rows.best(axis, mean, counts, units, least)
+    if found is None:
+        return None
+    score, coord, last = found
+
+    def left(rule: Rule) -> np.ndarray:
+        def f(block: Block) -> np.ndarray:
+            here = ~_sides(block, rule)
+            return np.append(np.bincount(block[2][np.repeat(here, np.diff(block[1]))], minlength=forms), here.sum())
+
+        return rows.sums(f)
+
+    rule: Rule = ("cut", axis, mean, coord, last)
+    held = left(rule)
     for _ in range(refine):
-        share = np.bincount(term, side[unit] == 0, len(t)) / t
-        moved = (np.round(np.bincount(unit, share[term], n) / r, DECIMALS) < np.round((side[unit] == 0).mean(), DECIMALS)).astype(int)
-        l0 = np.bincount(term, moved[unit] == 0, len(t))
-        left0 = float((moved[unit] == 0).sum())
-        if min((moved == 0).sum(), (moved == 1).sum()) < least or not 0 < left0 < total:
+        moved: Rule = ("share", held[:-1] / some, np.round(held[:-1].sum() / total, DECIMALS))
+        fresh = left(moved)
+        left0, units0 = float(fresh[:-1].sum()), int(fresh[-1])
+        if min(units0, units - units0) < least or not 0 < left0 < total:
             break
-        value = total**2 * float((l0**2 / t).sum()) / (left0 * (total - left0)) - total * left0 / (total - left0)
-        value = round(value, CHI2_DECIMALS)
+        value = round(total**2 * float((fresh[:-1] ** 2 / some).sum()) / (left0 * (total - left0)) - total * left0 / (total - left0), CHI2_DECIMALS)
         if value <= score:
             break
-        side, score = moved, value
-    return side, score
+        rule, score, held = moved, value, fresh
+    cells0, units0 = int(held[:-1].sum()), int(held[-1])
+    return Split(rule, float(score), (units0, units - units0), (cells0, int(total) - cells0))
 
 
-def _split_group(least: int):
-    def run(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        ids, unit = np.unique(cells.uce_id.to_numpy(), return_inverse=True)
-        found = split_kernel(unit, pd.factorize(cells.form, sort=True)[0], least, ids=ids)
-        columns = ["node_id", "uce_id", "side", "chi2"]
-        if found is None:
-            return pd.DataFrame({"node_id": [key[0]], "uce_id": [None], "side": [None], "chi2": [None]}, columns=columns)
-        return pd.DataFrame({"node_id": key[0], "uce_id": ids, "side": found[0], "chi2": found[1]}, columns=columns)
+def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = ROUNDS, refine: int = REFINE, ids: np.ndarray | None = None) -> tuple[np.ndarray, float] | None:
+    """The side of each unit (numbered from 0) and the chi-square of the split of a node given by its cells; None if no cut leaves ``least`` units on both sides.
+
+    ``ids`` are the units' ascending keys, by default their numbers."""
+    if not len(unit):
+        return None
+    order = np.lexsort((term, unit))
+    ids = np.arange(int(unit.max()) + 1) if ids is None else ids
+    rows = _Rows([(ids, np.concatenate(([0], np.bincount(unit, minlength=len(ids)))).cumsum(), np.unique(term, return_inverse=True)[1][order])])
+    found = _best_split(rows, int(len(np.unique(term))), least, rounds, refine)
+    return None if found is None else (np.concatenate([_sides(b, found.rule) for b in rows.blocks]).astype(int), found.chi2)
+
 
-    return run
+def _packed(presence: DataFrame) -> tuple[DataFrame, int]:
+    """``uce_id, terms``: a row a unit with the ascending numbers of its forms; and the number of forms, which are numbered in their order."""
+    x = written(presence.select("uce_id", "form"), "presence")
+    ranged = written(x.groupBy("form").agg(F.count("*").alias("k")).repartitionByRange("form").withColumn("part", F.spark_partition_id()).select("form", "part"), "forms")
+    sizes = sorted((r[0], r[1]) for r in ranged.groupBy("part").count().collect())  # a row a partition
+    starts = {p: sum(n for _, n in sizes[:k]) for k, (p, _) in enumerate(sizes)}
+    offsets = presence.sparkSession.createDataFrame(list(starts.items()), "part int, start long")
+    numbered = ranged.join(F.broadcast(offsets), "part").select("form", (F.row_number().over(Window.partitionBy("part").orderBy("form")) - 1 + F.col("start")).cast("int").alias("term"))
+    forms = sum(n for _, n in sizes)
+    numbered = written(numbered, "numbered")
+    packed = x.join(F.broadcast(numbered) if forms <= MOST_BROADCAST else numbered, "form").groupBy("uce_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return written(packed, "packed"), forms
 
 
-def _axis(x: DataFrame, rounds: int) -> DataFrame:
-    """``uce_id, r, coord``: the first non-trivial axis by power iteration; each round is two aggregations, centred by the units' masses."""
-    rows = x.groupBy("uce_id").agg(F.count("*").alias("r"))
-    cols = written(x.groupBy("form").agg(F.count("*").alias("c")), "cols")
-    # a deterministic start from the units' keys, in [-1, 1]
-    coords = written(rows.withColumn("coord", F.pmod(F.pmod("uce_id", F.lit(2001)) * 7919, F.lit(2001)) / 1000.0 - 1.0), "coords")
+#: Numbered forms up to this many are sent to all tasks.
+MOST_BROADCAST = 50_000
 
-    def centre(coords: DataFrame) -> tuple[float, float]:
-        t, m, s = coords.agg(F.sum("r"), F.sum(F.col("r") * F.col("coord")) / F.sum("r"), F.sum(F.col("r") * F.col("coord") ** 2)).first()
-        return m, max(s - t * m**2, 0.0) ** 0.5
 
-    for k in range(rounds):
-        m, s = centre(coords)
-        centred = coords.select("uce_id", "r", ((F.col("coord") - F.lit(m)) / F.lit(s or 1.0)).alias("coord"))
-        terms = x.join(centred, "uce_id").groupBy("form").agg(F.sum("coord").alias("t")).join(cols, "form").select("form", (F.col("t") / F.col("c")).alias("t"))
-        fresh = x.join(terms, "form").groupBy("uce_id").agg(F.sum("t").alias("t"), F.count("*").alias("r")).select("uce_id", "r", (F.col("t") / F.col("r")).alias("coord"))
-        coords = written(fresh, "coords")
-    m, _ = centre(coords)
-    return coords.select("uce_id", "r", F.round(F.col("coord") - F.lit(m), DECIMALS).alias("coord"))
+def _sided(rows: DataFrame, rule: Rule) -> DataFrame:
+    """``uce_id, terms, side`` (0 or 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sides(_block(batch), rule).astype(np.int32))], ["uce_id", "terms", "side"])
+
+    return rows.mapInArrow(run, "uce_id bigint, terms array<int>, side int")
 
 
 def split(x: DataFrame, least: int = 5, bins: int = 512, rounds: int = ROUNDS, refine: int = REFINE) -> tuple[DataFrame, float] | None:
-    """``uce_id, side`` (0 or 1) of a node's units and the chi-square of the split; None if no cut leaves ``least`` units on both sides.
+    """``uce_id, side`` (0 or 1) of a node's units and the chi-square of the split, by distributed passes; None if no cut leaves ``least`` units on both sides.
 
-    Every cut is tried: prefix sums over all units are sums within ``bins`` ranges of the coordinate, from the totals of the ranges before."""
-    units = x.select("uce_id").distinct().count()
-    if units < 2 * least:
-        return None
-    coords = _axis(x, rounds)
-    cuts = sorted(set(coords.agg(F.percentile_approx("coord", [k / bins for k in range(1, bins)], 10_000)).first()[0]))
-    ranged = written(coords.withColumn("bin", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col("coord") > c))), "ranged")
-    # chi-square of a cut is T^2 q / (L R) - T L / R with q the sum of l^2 / t; a cell adds (2l + 1) / t, l its term's cells before it
-    w = Window.partitionBy("form")
-    cells = x.join(ranged.select("uce_id", "coord"), "uce_id").withColumn("l", F.row_number().over(w.orderBy("coord", "uce_id")) - 1).withColumn("t", F.count("*").over(w))
-    steps = written(cells.groupBy("uce_id").agg(F.sum((2 * F.col("l") + 1) / F.col("t")).alias("q")).join(ranged, "uce_id"), "steps")
-    sums = steps.groupBy("bin").agg(F.sum("q").alias("q0"), F.sum("r").alias("left0"), F.count("*").alias("before0"))
-    run = Window.partitionBy(F.lit(0)).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("bin", *[F.coalesce(F.sum(c).over(run), F.lit(0)).alias(c) for c in ("q0", "left0", "before0")])  # at most ``bins`` rows
-    upto = Window.partitionBy("bin").orderBy("coord", "uce_id").rowsBetween(Window.unboundedPreceding, 0)
-    within = steps.select("uce_id", "coord", "bin", F.sum("q").over(upto).alias("q"), F.sum("r").over(upto).alias("left"), F.count("*").over(upto).alias("before")).join(offsets, "bin")
-    total = F.lit(float(x.count()))
-    at = within.select("uce_id", "coord", (F.col("q") + F.col("q0")).alias("q"), (F.col("left") + F.col("left0")).alias("left"), (F.col("before") + F.col("before0")).alias("before"))
-    right = total - F.col("left")
-    chi2 = F.round(total**2 * F.col("q") / (F.col("left") * right) - total * F.col("left") / right, CHI2_DECIMALS)
-    best = at.where((right > 0) & (F.col("before") >= least) & (F.lit(units) - F.col("before") >= least)).select("uce_id", "coord", "before", chi2.alias("chi2")).orderBy(F.desc("chi2"), "before").first()
-    if best is None:
-        return None
-    beyond = (F.col("coord") > best.coord) | (F.col("coord") == best.coord) & (F.col("uce_id") > best.uce_id)
-    sides = written(ranged.select("uce_id", beyond.cast("int").alias("side")), "sides")
-    score = float(best.chi2)
-    for _ in range(refine):
-        fresh = written(_moved(x, sides), "sides")
-        value, small = _chi2(x, fresh)
-        value = round(value, CHI2_DECIMALS)
-        if small < least or value <= score:
-            break
-        sides, score = fresh, value
-    return sides, score
-
-
-def _totals(x: DataFrame, sides: DataFrame) -> DataFrame:
-    return x.join(sides, "uce_id").groupBy("form").agg(F.count_if(F.col("side") == 0).alias("l"), F.count("*").alias("t"))
-
-
-def _chi2(x: DataFrame, sides: DataFrame) -> tuple[float, int]:
-    sums = _totals(x, sides).agg(F.sum(F.col("l") ** 2 / F.col("t")).alias("q"), F.sum("l").alias("left"), F.sum("t").alias("all")).first()
-    small = sides.groupBy("side").count().agg(F.min("count"), F.count("*")).first()
-    left, total = float(sums["left"] or 0), float(sums["all"] or 0)
-    if not 0 < left < total or small[1] < 2:
-        return 0.0, 0
-    return total**2 / (left * (total - left)) * float(sums.q) - total * left / (total - left), int(small[0])
-
-
-def _moved(x: DataFrame, sides: DataFrame) -> DataFrame:
-    """Sides after each unit goes where its terms' shares, against the node's, say it belongs; the sides' overall share of occurrences is the threshold."""
-    terms = _totals(x, sides).withColumn("p", F.col("l") / F.col("t"))
-    share = terms.agg(F.sum("l") / F.sum("t")).scalar()
-    pulls = x.join(terms.select("form", "p"), "form").groupBy("uce_id").agg(F.round(F.avg("p"), DECIMALS).alias("p"))
-    return pulls.select("uce_id", (F.col("p") < F.round(share, DECIMALS)).cast("int").alias("side"))
-
-
-def _offers(x: DataFrame, leaves: dict[int, DataFrame], least: int, bins: int) -> dict[int, tuple[DataFrame, float] | None]:
-    """The best split of each leaf: small leaves together in one grouped pass, large ones by distributed passes."""
-    parts = None
-    for k, units in leaves.items():
-        part = units.withColumn("node_id", F.lit(k))
-        parts = part if parts is None else parts.unionByName(part)
-    cells = written(x.join(parts, "uce_id"), "cells")
-    sizes = {r[0]: r[1] for r in cells.groupBy("node_id").count().collect()}  # a row a leaf
-    small = [k for k in leaves if sizes.get(k, 0) <= KERNEL_CELLS]
-    out: dict[int, tuple[DataFrame, float] | None] = {}
-    if small:
-        schema = "node_id int, uce_id bigint, side int, chi2 double"
-        found = written(cells.where(F.col("node_id").isin(small)).groupBy("node_id").applyInPandas(_split_group(least), schema), "sides")
-        scores = {r[0]: r[1] for r in found.groupBy("node_id").agg(F.max("chi2")).collect()}
-        out = {k: (found.where(f"node_id = {k}").select("uce_id", "side"), scores[k]) if scores.get(k) is not None else None for k in small}
-    for k in leaves:
-        if k not in out:
-            out[k] = split(cells.where(f"node_id = {k}").select("uce_id", "form"), least, bins)
-    return out
+    Every cut is tried: prefix sums over all units are sums within up to ``bins`` ranges of the coordinate, from the totals of the ranges before."""
+    rows, forms = _packed(x)
+    found = _best_split(_Passes(rows, bins), forms, least, rounds, refine) if forms else None
+    return None if found is None else (written(_sided(rows, found.rule).select("uce_id", "side"), "sides"), found.chi2)
+
+
+def _offers(leaves: dict[int, DataFrame], sizes: dict[int, int], forms: int, least: int, bins: int) -> dict[int, Split | None]:
+    """The best split of each leaf: small leaves in a task each, all at once, large ones by distributed passes."""
+
+    def task(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            blocks = list(_blocks(batches))
+            found = _best_split(_Rows(blocks), forms, least, ROUNDS, REFINE) if blocks else None
+            yield pa.RecordBatch.from_pydict({"node_id": pa.array([k], pa.int32()), "split": [pickle.dumps(found)]})
+
+        return run
+
+    out, small = {}, None
+    for k, rows in leaves.items():
+        if sizes[k] > KERNEL_CELLS:
+            out[k] = _best_split(_Passes(rows, bins), forms, least, ROUNDS, REFINE)
+        else:
+            part = rows.coalesce(1).mapInArrow(task(k), "node_id int, split binary")
+            small = part if small is None else small.unionAll(part)
+    for r in small.collect() if small is not None else ():  # a row a leaf
+        out[r.node_id] = pickle.loads(r.split)
+    return {k: out.get(k) for k in leaves}
 
 
 def classify(presence: DataFrame, classes: int = 5, least: int = 5, bins: int = 512) -> tuple[DataFrame, list[Node]]:
     """``uce_id, class_id`` and the tree: the leaf whose best split has the greatest chi-square is split until there are ``classes`` leaves, which are numbered from
     left to right. Units without terms are in no class. ``presence`` has distinct (uce_id, form) rows."""
-    x = written(presence.select("uce_id", "form"), "presence")
+    return _classify(*_packed(presence), classes, least, bins)
+
+
+def _classify(packed: DataFrame, forms: int, classes: int, least: int, bins: int) -> tuple[DataFrame, list[Node]]:
     nodes = {1: Node(1, None, 0)}
-    members = {1: x.select("uce_id").distinct()}
-    offers: dict[int, tuple[DataFrame, float] | None] = {}
+    members = {1: packed}
+    first = packed.agg(F.coalesce(F.sum(F.size("terms") + F.lit(8)), F.lit(0))).first()[0]
+    sizes = {1: int(first)}
+    offers: dict[int, Split | None] = {}
     leaves = [1]
     while len(leaves) < classes:
         fresh = [k for k in leaves if k not in offers]
         if fresh:
-            offers |= _offers(x, {k: members[k] for k in fresh}, least, bins)
-        open_ = [(o[1], -k) for k in leaves if (o := offers[k])]
+            offers |= _offers({k: members[k] for k in fresh}, sizes, forms, least, bins)
+        open_ = [(o.chi2, -k) for k in leaves if (o := offers[k])]
         if not open_:
             break
         chi2, k = max(open_)
         k = -k
-        sides = offers[k][0]
+        found = offers[k]
+        sides = written(_sided(members[k], found.rule), "sides")
         left, right = max(nodes) + 1, max(nodes) + 2
         nodes[left], nodes[right] = Node(left, k, nodes[k].depth + 1), Node(right, k, nodes[k].depth + 1)
         nodes[k].left_id, nodes[k].right_id, nodes[k].split_chi2 = left, right, chi2
-        members[left], members[right] = sides.where("side = 0").select("uce_id"), sides.where("side = 1").select("uce_id")
+        for side, leaf in enumerate((left, right)):
+            members[leaf] = sides.where(F.col("side") == side).select("uce_id", "terms")
+            sizes[leaf] = found.cells[side] + 8 * found.units[side]
         leaves.remove(k)
         leaves += [left, right]
 
@@ -235,7 +373,7 @@ def classify(presence: DataFrame, classes: int = 5, least: int = 5, bins: int =
     out = None
     for c, k in enumerate(walk(1), 1):
         nodes[k].class_id = c
-        part = members[k].withColumn("class_id", F.lit(c))
+        part = members[k].select("uce_id", F.lit(c).alias("class_id"))
         out = part if out is None else out.unionByName(part)
     return out, list(nodes.values())
 
@@ -247,9 +385,11 @@ def double_classification(presence: DataFrame, first: DataFrame, second: DataFra
     classes, numbered by size. Segments in none of them, or in one with less than ``share`` of all, are in class 0. Classes are few: their pairs are chosen on the driver.
     """
     sides = []
+    packed, forms = _packed(presence)
     for units in (first, second):
-        grouped = presence.join(units, "uce_id").select(F.col("unit").alias("uce_id"), "form").distinct()
-        found = classify(grouped, classes, least)[0].withColumnRenamed("uce_id", "unit")
+        units = written(units.select("uce_id", "unit"), "units")
+        merged = packed.join(units, "uce_id").groupBy(F.col("unit").alias("uce_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
+        found = _classify(written(merged, "grouped"), forms, classes, least, 512)[0].withColumnRenamed("uce_id", "unit")
         sides.append(written(units.join(found, "unit").select("uce_id", "class_id"), "sides"))
     cells = crossed_classes(*sides).orderBy(F.desc("chi2"), "class_a", "class_b").limit(classes**2).collect()
     taken, used_a, used_b = [], set(), set()

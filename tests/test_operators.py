@@ -226,6 +226,22 @@ def test_reinert_splits_alike_at_any_size(spark):
     assert abs(value - chi2) < 1e-5
 
 
+def test_reinert_reads_a_large_node_once_a_round(spark, monkeypatch):
+    """Rounds of a distributed split are a job each, and ranges of the coordinate find the cut that one task finds; with joins there were several shuffles a round."""
+    x = spark.createDataFrame(themes(), "uce_id bigint, form string")
+    want = {r.uce_id: r.class_id for r in reinert.classify(x, 3)[0].collect()}
+    monkeypatch.setattr(reinert, "KERNEL_CELLS", 0)
+    monkeypatch.setattr(reinert, "RANGE_CELLS", 60, raising=False)
+    spark.sparkContext.setJobGroup("split", "split")
+    try:
+        got = {r.uce_id: r.class_id for r in reinert.classify(x, 2)[0].collect()}
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("split"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 2 * (reinert.ROUNDS + reinert.REFINE)
+    assert all(len({got[u] for u in want if want[u] == c}) == 1 for c in want.values()) and len(set(got.values())) == 2
+
+
 def test_topics(spark):
     dtm = spark.createDataFrame([(u, w) for u, w in themes(2)], "doc_id bigint, form string").groupBy("doc_id", "form").agg(F.count("*").alias("n"))
     t = topics.lda(dtm, 2, min_freq=1, rounds=8)
