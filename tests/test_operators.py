@@ -242,6 +242,23 @@ def test_reinert_reads_a_large_node_once_a_round(spark, monkeypatch):
     assert all(len({got[u] for u in want if want[u] == c}) == 1 for c in want.values()) and len(set(got.values())) == 2
 
 
+def test_representative_sentences_make_no_pairs(spark, monkeypatch):
+    """Ranks equal those of PageRank on the explicit pairs, of which none is made."""
+    rnd = random.Random(4)
+    text = [" ".join(rnd.choice("abcdefghij") * 2 for _ in range(rnd.randint(3, 9))) + "." for _ in range(60)]
+    d = spark.createDataFrame([(k, " ".join(text[k * 6 : k * 6 + 6])) for k in range(10)], "doc_id bigint, text string")
+    sents = {(k, i): set(t[:-1].split()) for k in range(10) for i, t in enumerate(text[k * 6 : k * 6 + 6])}
+    sents = {k: w for k, w in sents.items() if len(w) > 2}
+    keys = sorted(sents)
+    pairs = [(a, b, 2.0 * len(sents[x] & sents[y]) / (len(sents[x]) + len(sents[y]))) for a, x in enumerate(keys) for b, y in enumerate(keys) if a < b and sents[x] & sents[y]]
+    rank = {r.node: r["rank"] for r in graph.pagerank(spark.createDataFrame(pairs, "src bigint, dst bigint, weight double"), 30).collect()}
+    want = {k: rank.get(n, 0.0) / max(rank.values()) + ("aa" in sents[k]) for n, k in enumerate(keys) if "aa" in sents[k]}
+    monkeypatch.setattr(phrases, "pagerank", lambda *_: (_ for _ in ()).throw(AssertionError("pairs")), raising=False)
+    got = phrases.representative_sentences(d, spark.createDataFrame([("t", "aa")], "target string, form string"), most=1000, common=1.0)
+    got = {(r.doc_id, r.sent): r.score for r in got.collect()}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_topics(spark):
     dtm = spark.createDataFrame([(u, w) for u, w in themes(2)], "doc_id bigint, form string").groupBy("doc_id", "form").agg(F.count("*").alias("n"))
     t = topics.lda(dtm, 2, min_freq=1, rounds=8)
