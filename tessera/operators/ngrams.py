@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.measures import signed_chi2
 from tessera.functions.tokenizers import tokenize
 from tessera.session import written
 
+#: Bits, as a power of two, in which frequent n-grams are noted by their hash: 8 MB. More of them than bits cost time, not results.
+SLOT_BITS = 26
+
 
 def ngrams(words: DataFrame, n: int, key: str = "doc_id", column: str = "w") -> DataFrame:
     """``key, pos, gram``: the n-grams (arrays) of each row's token array. No shuffle."""
@@ -88,15 +96,88 @@ def word_tree(docs: DataFrame, keyword: str, depth: int = 4, min_freq: int = 2,
     return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
 
 
+def _mixed(words: np.ndarray, n: int) -> np.ndarray:
+    """A hash of the n words from each place on, of the hashes of the words."""
+    m = max(len(words) - n + 1, 0)
+    out = words[:m].copy()
+    for k in range(1, n):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + words[k : k + m]
+    return out
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return ((hashes * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _noted(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    at = _slots(hashes)
+    return (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+
+
+def _places(lists: pa.ListArray, n: int, shorter: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the n-grams of arrays of words' hashes their row, place in it and hash; only those whose (n-1)-grams are both noted."""
+    begin = lists.offsets.to_numpy().astype(np.int64)
+    words, row = lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(lists)), np.diff(begin))
+    if len(words) < n:
+        return row[:0], row[:0], words[:0]
+    keep = row[: len(row) - n + 1] == row[n - 1 :]
+    if shorter is not None:
+        hit = _noted(shorter, _mixed(words, n - 1))
+        keep &= hit[:-1] & hit[1:]
+    at = np.flatnonzero(keep)
+    return row[at], at - (begin[row[at]] - begin[0]), _mixed(words, n)[at]
+
+
+def _frequent(hashed: DataFrame, n: int, shorter: np.ndarray | None, min_freq: int) -> np.ndarray:
+    """Bits noted for every n-gram met ``min_freq`` times or more (and some others): an n-gram is that frequent only if its (n-1)-grams are. What is shuffled are hashes."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(batch.column("h"), n, shorter)[2].view(np.int64))], ["g"])
+
+    def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(1 << SLOT_BITS, dtype=bool)
+        for batch in batches:
+            flags[_slots(batch.column("g").to_numpy().view(np.uint64))] = True
+        yield pa.RecordBatch.from_pydict({"bits": [np.packbits(flags).tobytes()]})
+
+    often = hashed.mapInArrow(emit, "g bigint").groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") >= min_freq).select("g")
+    bits = np.zeros(1 << (SLOT_BITS - 3), dtype=np.uint8)
+    for r in often.coalesce(8).mapInArrow(note, "bits binary").collect():  # at most eight rows of 8 MB
+        bits |= np.frombuffer(r.bits, dtype=np.uint8)
+    return bits
+
+
 def repeated_segments(words: DataFrame, classes: DataFrame, key: str = "uce_id", least: int = 2, longest: int = 5, min_freq: int = 3, most: int = 20) -> DataFrame:
-    """``class_id, gram, freq, chi2``: n-grams of 2 to 5 tokens over-used in a class of segments (``key, w``), at most ``most`` a class."""
-    from tessera.operators.tables import specificities
+    """``class_id, gram, freq, chi2``: n-grams of 2 to 5 tokens over-used in a class of segments (``key, w``), at most ``most`` a class.
 
-    out = None
+    Only n-grams met ``min_freq`` times can be kept, so the others count in the margins alone, which follow from the sizes of the segments, and are never written out."""
+    held = written(words.where(F.col("w").isNotNull()).join(classes.select(key, F.col("class_id").alias("grp")), key).select("grp", "w"), "classed")
+    hashed = held.select("grp", "w", F.transform("w", lambda x: F.xxhash64(x)).alias("h"))
+    often: dict[int, np.ndarray] = {}
     for n in range(least, longest + 1):
-        part = ngrams(words, n, key).select(key, F.array_join("gram", " ").alias("form"))
-        out = part if out is None else out.unionByName(part)
-    table = out.join(classes.select(key, F.col("class_id").alias("grp")), key).groupBy("form", "grp").agg(F.count("*").alias("n"))
-    scored = specificities(table).where((F.col("n") >= min_freq) & (F.col("score") > 0))
-    place = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "form"))
-    return scored.withColumn("place", place).where(F.col("place") <= most).select(F.col("grp").alias("class_id"), F.col("form").alias("gram"), F.col("n").alias("freq"), F.col("score").alias("chi2"))
+        often[n] = _frequent(hashed.select("h"), n, often.get(n - 1), min_freq)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, codes = [], []
+            for n, bits in often.items():
+                row, at, g = _places(batch.column("h"), n, often.get(n - 1))
+                hit = _noted(bits, g)
+                rows.append(row[hit])
+                codes.append(at[hit] * 64 + n)
+            row = np.concatenate(rows)
+            starts = np.concatenate(([0], np.bincount(row, minlength=batch.num_rows).cumsum()))
+            found = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(np.concatenate(codes)[np.argsort(row, kind="stable")], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), batch.column("w"), found], ["grp", "w", "codes"])
+
+    placed = hashed.mapInArrow(place, f"grp {held.schema['grp'].dataType.simpleString()}, w array<string>, codes array<bigint>")
+    forms = F.transform("codes", lambda c: F.array_join(F.slice("w", F.shiftright(c, 6).cast("int") + 1, c.bitwiseAND(63).cast("int")), " "))
+    table = written(placed.select("grp", F.explode(forms).alias("form")).groupBy("form", "grp").agg(F.count("*").alias("n")), "table")
+    grams = sum((F.greatest(F.size("w") - n + 1, F.lit(0)).cast("bigint") for n in range(least + 1, longest + 1)), F.greatest(F.size("w") - least + 1, F.lit(0)).cast("bigint"))
+    sizes = written(held.groupBy("grp").agg(F.sum(grams).alias("grp_total")), "sizes")
+    totals = table.groupBy("form").agg(F.sum("n").alias("form_total"))
+    full = table.where(F.col("n") >= min_freq).join(totals, "form").join(sizes, "grp").withColumn("total", sizes.agg(F.sum("grp_total")).scalar())
+    scored = full.withColumn("score", signed_chi2(F.col("n"), F.col("form_total"), F.col("grp_total"), F.col("total"))).where(F.col("score") > 0)
+    placed = F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "form"))
+    return scored.withColumn("place", placed).where(F.col("place") <= most).select(F.col("grp").alias("class_id"), F.col("form").alias("gram"), F.col("n").alias("freq"), F.col("score").alias("chi2"))

@@ -259,6 +259,28 @@ def test_representative_sentences_make_no_pairs(spark, monkeypatch):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_repeated_segments_write_out_frequent_grams_only(spark, monkeypatch):
+    rnd = random.Random(6)
+    words = [[rnd.choice("abcdefgh") for _ in range(rnd.randint(0, 12))] for _ in range(90)] + [None]
+    d = spark.createDataFrame(list(enumerate(words)), "uce_id bigint, w array<string>")
+    classes = spark.createDataFrame([(k, "xyz"[k % 3]) for k in range(91)], "uce_id bigint, class_id string")
+    counts = {}
+    for k, w in enumerate(words):
+        for n in range(2, 6):
+            for i in range(len(w or ()) - n + 1):
+                key = (" ".join(w[i : i + n]), "xyz"[k % 3])
+                counts[key] = counts.get(key, 0) + 1
+    table = spark.createDataFrame([(*k, n) for k, n in counts.items()], "form string, grp string, n bigint")
+    want = {(r.grp, r.form): (r.n, r.score) for r in tables.specificities(table).collect() if r.n >= 3 and r.score > 0}
+    kept = {}
+    write = ngrams.written
+    monkeypatch.setattr(ngrams, "written", lambda df, name: kept.setdefault(name, write(df, name)))
+    got = {(r.class_id, r.gram): (r.freq, r.chi2) for r in ngrams.repeated_segments(d, classes, most=10_000).collect()}
+    assert set(got) == set(want) and all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in want)
+    forms = {f for f, _ in counts if sum(n for (g, _), n in counts.items() if g == f) >= 3}
+    assert forms <= {r.form for r in kept["table"].collect()} and kept["table"].select("form").distinct().count() < len({f for f, _ in counts})
+
+
 def test_topics(spark):
     dtm = spark.createDataFrame([(u, w) for u, w in themes(2)], "doc_id bigint, form string").groupBy("doc_id", "form").agg(F.count("*").alias("n"))
     t = topics.lda(dtm, 2, min_freq=1, rounds=8)
