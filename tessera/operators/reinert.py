@@ -3,7 +3,7 @@
 A node is split along the first axis of its correspondence analysis: the axis by power iteration on the presence table, the units in the order of their coordinate,
 prefix sums of term counts over the units, of all cuts the one with the greatest chi-square. Units then move to the other side while the chi-square grows.
 
-Forms are numbered once and each unit is one row with the array of its numbers, so that a node's state is a vector over the vocabulary: a round reads the rows once and adds
+Forms are numbered once and units are packed into blocks, rows of a few binary columns, so that a node's state is a vector over the vocabulary: a round reads the blocks once and adds
 up vectors. Small nodes are split so within one task, large ones by a job a round whose tasks each send one vector to the driver; the sums, start, rounds, cuts and moves are the same.
 """
 
@@ -20,13 +20,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.measures import signed_chi2
 from tessera.operators.tables import crossed_classes
-from tessera.session import written
+from tessera.session import dropped, scratch, written
 
 
-#: Nodes up to this size are split within one task: a cell counts one, a unit eight, as its key, place and coordinate are held too.
-KERNEL_CELLS = 16_000_000
-#: Cells of a block of rows, and of a range of the coordinate.
-BLOCK_CELLS, RANGE_CELLS = 1_000_000, 2_000_000
+#: Nodes up to this size are split within one task: a cell counts one, or two where there are more forms than 16 bits number, a unit eight, as its key, place and coordinate are held too. Two bytes each, some copies.
+KERNEL_CELLS = 40_000_000
+#: Cells of a block of units, and of a range of the coordinate.
+BLOCK_CELLS, RANGE_CELLS = 250_000, 2_000_000
+#: Of a block, at most so many units tell where ranges of the coordinate begin.
+BLOCK_MARKS = 64
 #: Rounds of the power iteration and of moves, in one task and by distributed passes alike.
 ROUNDS, REFINE = 60, 8
 #: Decimals of coordinates and shares, and of chi-squares, so that the order of sums decides nothing.
@@ -34,6 +36,8 @@ DECIMALS, CHI2_DECIMALS = 12, 7
 
 #: Units in blocks: their keys, where the terms of each start and the last ends, and the terms.
 Block = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: A block as a row: how many units it has, their keys as 64 bit integers, their numbers of terms in the least bytes that hold the largest, and the terms in two bytes, or four where there are more forms.
+BLOCK_ROW = "units int, ids binary, sizes binary, terms binary"
 #: How a unit is placed: by its coordinate and key against a cut, or by the mean share of its terms against a threshold.
 Rule = tuple
 
@@ -115,7 +119,7 @@ class _Rows:
         ids, starts, terms = np.concatenate(ids), np.concatenate(([0], *sizes)).cumsum(), np.concatenate(terms)
         self.blocks = list(_in_order((ids, starts, terms), np.argsort(ids, kind="stable")))
 
-    def sums(self, f: Callable[[Block], np.ndarray]) -> np.ndarray:
+    def sums(self, f: Callable[[Block], np.ndarray], ids: bool = False) -> np.ndarray:
         return sum(map(f, self.blocks))
 
     def best(self, axis: np.ndarray, mean: float, counts: np.ndarray, units: int, least: int) -> tuple[float, float, int] | None:
@@ -129,12 +133,14 @@ class _Rows:
 
 
 class _Passes:
-    """A node's units as a table ``uce_id, terms`` that is read once a pass."""
+    """A node's units as a table of blocks that is read once a pass."""
 
     def __init__(self, rows: DataFrame, bins: int):
         self.rows, self.bins = rows, bins
 
-    def sums(self, f: Callable[[Block], np.ndarray]) -> np.ndarray:
+    def sums(self, f: Callable[[Block], np.ndarray], ids: bool = False) -> np.ndarray:
+        """``f`` added up over the blocks, whose keys are read only if it needs their ``ids``."""
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = None
             for block in _blocks(batches):
@@ -142,26 +148,23 @@ class _Passes:
             if total is not None:
                 yield pa.RecordBatch.from_pydict({"sums": [total.astype(float).tobytes()]})
 
-        return sum(np.frombuffer(r.sums) for r in self.rows.mapInArrow(run, "sums binary").collect())  # a row a task
+        rows = self.rows if ids else self.rows.drop("ids")
+        return sum(np.frombuffer(r.sums) for r in rows.mapInArrow(run, "sums binary").collect())  # a row a task
 
     def best(self, axis: np.ndarray, mean: float, counts: np.ndarray, units: int, least: int) -> tuple[float, float, int] | None:
         """Each range of the coordinate in a task, on top of the term counts of the ranges before it."""
-
-        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                _, s, t = _block(batch)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.round(_means(s, t, axis) - mean, DECIMALS))], ["uce_id", "terms", "coord"])
-
         total = counts.sum()
-        n = int(max(1, min(self.bins, total // RANGE_CELLS)))
-        placed = self.rows.mapInArrow(place, "uce_id bigint, terms array<int>, coord double").repartitionByRange(n, "coord", "uce_id")
-        ranged = written(placed.withColumn("bin", F.spark_partition_id()), "ranged")
+        marks = self._marks(axis, mean, int(max(1, min(self.bins, total // RANGE_CELLS))), total)
+        n = len(marks) + 1
+
+        def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, np.ndarray, np.ndarray]]:
+            for ids, s, t in _blocks(batches):
+                coord = np.round(_means(s, t, axis) - mean, DECIMALS)
+                yield (ids, s, t), coord, _ranges(coord, ids, marks)
 
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own: dict[int, np.ndarray] = {}
-            for batch in batches:
-                ids, s, t = _block(batch)
-                bins = batch.column("bin").to_numpy()
+            for (_, s, t), _, bins in placed(batches):
                 for k in np.unique(bins):
                     here = bins == k
                     add = np.append(np.bincount(t[np.repeat(here, np.diff(s))], minlength=len(counts)), here.sum()).astype(float)
@@ -169,13 +172,20 @@ class _Passes:
             yield pa.RecordBatch.from_pydict({"bin": pa.array(own, pa.int32()), "sums": pa.array([v.tobytes() for v in own.values()], pa.binary())})
 
         held = np.zeros((n + 1, len(counts) + 1))
-        for r in ranged.mapInArrow(count, "bin int, sums binary").toLocalIterator():  # a row a task and range
+        for r in self.rows.mapInArrow(count, "bin int, sums binary").toLocalIterator():  # a row a task and range
             held[r.bin + 1] += np.frombuffer(r.sums)
         offsets = np.cumsum(held, axis=0)
 
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, coord, bins in placed(batches):
+                for k in np.unique(bins):
+                    here = bins == k
+                    yield pa.RecordBatch.from_arrays([*_row(_chosen(block, here)).columns, pa.array([coord[here].tobytes()]), pa.array([k], pa.int32())], [*_ROW_NAMES, "coord", "bin"])
+
         def search(key: tuple, table: pa.Table) -> pa.Table:
             at = offsets[key[0].as_py()]
-            rows, coord = _block(table.combine_chunks()), table.column("coord").to_numpy()
+            rows = _joined([b for batch in table.to_batches() for b in _blocks([batch])])
+            coord = np.concatenate([np.frombuffer(c.as_py()) for c in table.column("coord")])
             order = np.lexsort((rows[0], coord))
             before = at[:-1].copy()
             steps = np.concatenate([_steps(s, t, counts, before) for _, s, t in _in_order(rows, order)])
@@ -183,40 +193,123 @@ class _Passes:
             found = _cut(q, left, np.arange(1, len(order) + 1) + at[-1], total, units, least)
             return _BEST.empty_table() if found is None else pa.Table.from_pylist([{"bin": key[0].as_py(), "chi2": found[0], "coord": coord[order[found[1]]], "uce_id": rows[0][order[found[1]]]}], _BEST)
 
+        ranged = self.rows.mapInArrow(part, BLOCK_ROW + ", coord binary, bin int")
         found = ranged.groupBy("bin").applyInArrow(search, "bin int, chi2 double, coord double, uce_id bigint").orderBy(F.desc("chi2"), "bin").first()
         return None if found is None else (found.chi2, found.coord, found.uce_id)
 
+    def _marks(self, axis: np.ndarray, mean: float, n: int, total: float) -> np.ndarray:
+        """Coordinates and keys where the second and later of ``n`` ranges of about as many cells begin. Blocks tell units at equal distances in cells; all cuts are tried wherever ranges begin."""
+        each = int(max(1, min(BLOCK_MARKS, 32 * n * BLOCK_CELLS // max(1, total))))
 
-_BEST = pa.schema([("bin", pa.int32()), ("chi2", pa.float64()), ("coord", pa.float64()), ("uce_id", pa.int64())])
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for ids, s, t in _blocks(batches):
+                coord = np.round(_means(s, t, axis) - mean, DECIMALS)
+                order = np.lexsort((ids, coord))
+                ends = np.cumsum(np.diff(s)[order])
+                at = order[np.unique(np.searchsorted(ends, ends[-1] * (np.arange(each) + 0.5) / each))]
+                yield pa.RecordBatch.from_pydict({"coord": coord[at], "uce_id": ids[at]})
+
+        if n == 1:
+            return _marked([], [])
+        found = self.rows.mapInArrow(run, "coord double, uce_id bigint").collect()  # a few rows a block
+        marks = _marked([r.coord for r in found], [r.uce_id for r in found])
+        marks = marks[np.lexsort((marks["id"], marks["coord"]))]
+        return np.unique(marks[np.arange(1, n) * len(marks) // n])
+
+
+def _marked(coord: list[float], ids: list[int]) -> np.ndarray:
+    out = np.empty(len(coord), dtype=[("coord", float), ("id", np.int64)])
+    out["coord"], out["id"] = coord, ids
+    return out
 
 
-def _block(batch: pa.RecordBatch | pa.Table) -> Block:
-    terms = batch.column("terms")
-    terms = terms.combine_chunks() if isinstance(terms, pa.ChunkedArray) else terms
-    starts = terms.offsets.to_numpy().astype(np.int64)
-    return batch.column("uce_id").to_numpy(), starts - starts[0], terms.flatten().to_numpy()
+def _ranges(coord: np.ndarray, ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """Of each unit, how many marks come at or before it in the order of coordinate and key."""
+    out = np.searchsorted(marks["coord"], coord, "left")
+    for k in np.flatnonzero(out < np.searchsorted(marks["coord"], coord, "right")):
+        same = marks["id"][marks["coord"] == coord[k]]
+        out[k] += np.searchsorted(same, ids[k], "right")
+    return out
+
+
+_BEST = pa.schema([("bin", pa.int32()), ("chi2", pa.float64()), ("coord", pa.float64()), ("uce_id", pa.int64())])
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[Block]:
-    return (_block(batch) for batch in batches if batch.num_rows)
+    for batch in batches:
+        keys = batch.column("ids") if "ids" in batch.schema.names else [None] * batch.num_rows
+        for units, ids, sizes, terms in zip(batch.column("units"), keys, batch.column("sizes"), batch.column("terms"), strict=True):
+            sizes, terms = sizes.as_buffer(), terms.as_buffer()
+            starts = np.concatenate(([0], np.frombuffer(sizes, f"u{sizes.size // units.as_py()}"))).astype(np.int64).cumsum()
+            yield None if ids is None else np.frombuffer(ids.as_buffer(), np.int64), starts, np.frombuffer(terms, np.uint16 if terms.size < 4 * starts[-1] else np.int32)
+
+
+_ROW_NAMES = ["units", "ids", "sizes", "terms"]
+
+
+def _row(block: Block) -> pa.RecordBatch:
+    ids, starts, terms = block
+    sizes = np.diff(starts)
+    columns = [pa.array([len(ids)], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids.astype(np.int64), sizes.astype(np.min_scalar_type(int(sizes.max()))), terms))]
+    return pa.RecordBatch.from_arrays(columns, _ROW_NAMES)
+
+
+def _chosen(block: Block, here: np.ndarray) -> Block:
+    ids, starts, terms = block
+    sizes = np.diff(starts)
+    return ids[here], np.concatenate(([0], sizes[here])).cumsum(), terms[np.repeat(here, sizes)]
+
+
+def _joined(blocks: list[Block]) -> Block:
+    return np.concatenate([b[0] for b in blocks]), np.concatenate(([0], *(np.diff(b[1]) for b in blocks))).cumsum(), np.concatenate([b[2] for b in blocks])
+
+
+def _full(blocks: Iterable[Block]) -> Iterator[Block]:
+    """Blocks put together to blocks of at least BLOCK_CELLS, but for the last; empty ones are left out."""
+    held: list[Block] = []
+    for block in blocks:
+        if len(block[0]):
+            held.append(block)
+        if sum(len(b[2]) for b in held) >= BLOCK_CELLS:
+            yield _joined(held)
+            held = []
+    if held:
+        yield _joined(held)
+
+
+def _grouped(ids: np.ndarray, terms: np.ndarray) -> Block:
+    """Cells in any order and more than once as units in the order of their keys, with ascending distinct terms."""
+    low, wide = int(ids.min()), int(terms.max()) + 1
+    if (int(ids.max()) - low + 1) * wide < 2**63:
+        key = (ids - low) * wide + terms
+        key.sort()
+        key = key[np.concatenate(([True], key[1:] != key[:-1]))]
+        ids, terms = key // wide + low, key % wide
+    else:
+        order = np.lexsort((terms, ids))
+        ids, terms = ids[order], terms[order]
+        new = np.concatenate(([True], (ids[1:] != ids[:-1]) | (terms[1:] != terms[:-1])))
+        ids, terms = ids[new], terms[new]
+    at = np.concatenate(([0], np.flatnonzero(ids[1:] != ids[:-1]) + 1, [len(ids)]))
+    return ids[at[:-1]], at, terms
 
 
 def _best_split(rows: _Rows | _Passes, forms: int, least: int, rounds: int, refine: int) -> Split | None:
     """The split of a node whose terms are numbered below ``forms``; None if no cut leaves ``least`` units on both sides."""
 
     def first(block: Block) -> np.ndarray:
-        return np.append(np.bincount(block[2], minlength=forms), len(block[0]))
+        return np.append(np.bincount(block[2], minlength=forms), len(block[1]) - 1)
 
     def moments(axis: np.ndarray | None) -> tuple[np.ndarray, float, float]:
         """Of the coordinates by the terms' values: their sum at each term, mean and deviation; without values a deterministic start from the units' keys, in [-1, 1]."""
 
         def f(block: Block) -> np.ndarray:
-            ids, starts, terms = block
+            ids, starts, terms = block[0], block[1], block[2].astype(np.intp)
             r = np.diff(starts)
             coord = _means(starts, terms, axis) if axis is not None else (ids % 2001 * 7919 % 2001) / 1000.0 - 1.0
             return np.append(np.bincount(terms, np.repeat(coord, r), forms), [(r * coord).sum(), (r * coord**2).sum()])
 
-        found = rows.sums(f)
+        found = rows.sums(f, ids=axis is None)
         mean = found[-2] / total
         return found[:-2], mean, max(found[-1] - total * mean**2, 0.0) ** 0.5
 
@@ -242,7 +335,7 @@ def _best_split(rows: _Rows | _Passes, forms: int, least: int, rounds: int, refi
             here = ~_sides(block, rule)
             return np.append(np.bincount(block[2][np.repeat(here, np.diff(block[1]))], minlength=forms), here.sum())
 
-        return rows.sums(f)
+        return rows.sums(f, ids=rule[0] == "cut")
 
     rule: Rule = ("cut", axis, mean, coord, last)
     held = left(rule)
@@ -273,32 +366,186 @@ def split_kernel(unit: np.ndarray, term: np.ndarray, least: int, rounds: int = R
     return None if found is None else (np.concatenate([_sides(b, found.rule) for b in rows.blocks]).astype(int), found.chi2)
 
 
+def _narrow(forms: int) -> type:
+    return np.uint16 if forms <= 2**16 else np.int32
+
+
 def _packed(presence: DataFrame) -> tuple[DataFrame, int]:
     """``uce_id, terms``: a row a unit with the ascending numbers of its forms; and the number of forms, which are numbered in their order."""
     x = written(presence.select("uce_id", "form"), "presence")
-    ranged = written(x.groupBy("form").agg(F.count("*").alias("k")).repartitionByRange("form").withColumn("part", F.spark_partition_id()).select("form", "part"), "forms")
+    numbered, forms = _numbered(x.groupBy("form").agg(F.count("*").alias("k")))
+    packed = x.join(F.broadcast(numbered) if forms <= MOST_BROADCAST else numbered, "form").groupBy("uce_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return written(packed, "packed"), forms
+
+
+def _numbered(forms: DataFrame) -> tuple[DataFrame, int]:
+    """``form, term``: the forms numbered in their order; and how many there are."""
+    ranged = written(forms.repartitionByRange("form").withColumn("part", F.spark_partition_id()).select("form", "part"), "forms")
     sizes = sorted((r[0], r[1]) for r in ranged.groupBy("part").count().collect())  # a row a partition
     starts = {p: sum(n for _, n in sizes[:k]) for k, (p, _) in enumerate(sizes)}
-    offsets = presence.sparkSession.createDataFrame(list(starts.items()), "part int, start long")
+    offsets = forms.sparkSession.createDataFrame(list(starts.items()), "part int, start long")
     numbered = ranged.join(F.broadcast(offsets), "part").select("form", (F.row_number().over(Window.partitionBy("part").orderBy("form")) - 1 + F.col("start")).cast("int").alias("term"))
-    forms = sum(n for _, n in sizes)
-    numbered = written(numbered, "numbered")
-    packed = x.join(F.broadcast(numbered) if forms <= MOST_BROADCAST else numbered, "form").groupBy("uce_id").agg(F.array_sort(F.collect_list("term")).alias("terms"))
-    return written(packed, "packed"), forms
+    return written(numbered, "numbered"), sum(n for _, n in sizes)
 
 
 #: Numbered forms up to this many are sent to all tasks.
 MOST_BROADCAST = 50_000
 
 
-def _sided(rows: DataFrame, rule: Rule) -> DataFrame:
-    """``uce_id, terms, side`` (0 or 1)."""
+def _blocked(rows: DataFrame, forms: int) -> DataFrame:
+    """The blocks of ``uce_id, terms`` with a row a unit; units without terms are left out."""
+    kind = _narrow(forms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(_sides(_block(batch), rule).astype(np.int32))], ["uce_id", "terms", "side"])
+        def blocks() -> Iterator[Block]:
+            for batch in batches:
+                terms = batch.column("terms")
+                starts = terms.offsets.to_numpy().astype(np.int64)
+                yield _chosen((batch.column("uce_id").to_numpy(), starts - starts[0], terms.flatten().to_numpy().astype(kind)), np.diff(starts) > 0)
 
-    return rows.mapInArrow(run, "uce_id bigint, terms array<int>, side int")
+        yield from map(_row, _full(blocks()))
+
+    return rows.mapInArrow(run, BLOCK_ROW)
+
+
+@dataclass
+class Packed:
+    """Units in blocks, the vocabulary ``form, term`` and its size."""
+
+    blocks: DataFrame
+    vocabulary: DataFrame
+    forms: int
+
+
+def packed_units(postings: DataFrame, most: int) -> Packed:
+    """The units of ``uce_id, form`` (rows may repeat; those without a unit or with a blank form are left out) over the ``most`` forms met in most units, ties by form.
+
+    No form is met in more units than it has rows, so the forms with most rows are packed first; they hold the vocabulary if its last form is met in more units than any other form has rows.
+    Otherwise all forms are packed. The strings are read twice and never shuffled, unless there are more forms than ``MOST_BROADCAST`` and rows don't tell them apart."""
+    rows = postings.where(F.col("uce_id").isNotNull() & F.col("form").isNotNull()).select(F.col("uce_id").cast("bigint").alias("uce_id"), "form")
+    counts = written(rows.groupBy("form").agg(F.count("*").alias("k")).where(F.trim("form") != ""), "counts")  # blank forms have no number later on
+    every = counts.count()
+    width = max(MOST_BROADCAST, 2 * most)
+    if every > width:
+        first = written(counts.orderBy(F.desc("k"), "form").limit(width), "first")
+        found = _packed_units(rows, *_numbered(first), most, int(first.agg(F.min("k")).first()[0]))
+        if found is not None:
+            return found
+    return _packed_units(rows, *_numbered(counts), most, 0)
+
+
+def _packed_units(rows: DataFrame, numbered: DataFrame, forms: int, most: int, least: int) -> Packed | None:
+    """The units over the ``most`` of the numbered forms; None if the last of them isn't met in more than ``least`` units."""
+    kind = _narrow(forms)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, terms in _runs((b.column("uce_id").to_numpy(), b.column("term").to_numpy()) for b in batches):
+            ids, starts, terms = _grouped(ids, terms)
+            ends, data = pa.py_buffer((starts * 4).astype(np.int32)), pa.py_buffer(terms.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.Array.from_buffers(pa.binary(), len(ids), [None, ends, data])], ["uce_id", "terms"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cells() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in (b for b in batches if b.num_rows):
+                terms = b.column("terms").cast(pa.large_binary())
+                ends = np.frombuffer(terms.buffers()[1], np.int64)[terms.offset : terms.offset + len(terms) + 1]
+                yield np.repeat(b.column("uce_id").to_numpy(), np.diff(ends) // 4), np.frombuffer(terms.buffers()[2], np.int32)[ends[0] // 4 : ends[-1] // 4]
+
+        for ids, terms in _runs(cells(), whole=True):
+            ids, starts, terms = _grouped(ids, terms)
+            yield _row((ids, starts, terms.astype(kind)))
+
+    cells = rows.join(F.broadcast(numbered) if forms <= max(MOST_BROADCAST, 2 * most) else numbered, "form").select("uce_id", "term")
+    merged = cells.mapInArrow(pack, "uce_id bigint, terms binary").repartition("uce_id").sortWithinPartitions("uce_id").mapInArrow(merge, BLOCK_ROW)
+    blocks = written(merged, "blocks")
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(forms, dtype=np.int64)
+        for _, _, terms in _blocks(batches):
+            total += np.bincount(terms, minlength=forms)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": some.astype(np.int32), "k": total[some]})
+
+    kept = written(blocks.mapInArrow(met, "term int, k bigint").groupBy("term").agg(F.sum("k").alias("k")).join(numbered, "term").orderBy(F.desc("k"), "form").limit(most), "kept")
+    if least and kept.agg(F.min("k")).first()[0] <= least:
+        dropped(blocks)
+        return None
+    if forms <= most:
+        return Packed(blocks, numbered, forms)
+    vocabulary, size = _numbered(kept)
+    places = np.full(forms, -1, dtype=np.int32)
+    for r in kept.select("term", "form").join(vocabulary.withColumnRenamed("term", "place"), "form").select("term", "place").collect():  # at most ``most``
+        places[r.term] = r.place
+    narrow = _narrow(size)
+
+    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[Block]:
+            for ids, starts, terms in _blocks(batches):
+                fresh = places[terms]
+                sizes = np.add.reduceat(fresh >= 0, starts[:-1], dtype=np.int64)
+                yield ids[sizes > 0], np.concatenate(([0], sizes[sizes > 0])).cumsum(), fresh[fresh >= 0].astype(narrow)
+
+        yield from map(_row, _full(found()))
+
+    out = written(blocks.mapInArrow(renumber, BLOCK_ROW), "renumbered")
+    dropped(blocks)
+    return Packed(out, vocabulary, size)
+
+
+def _runs(cells: Iterable[tuple[np.ndarray, np.ndarray]], whole: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Cells (keys and terms) put together to runs of at least BLOCK_CELLS; ``whole``: keys come in their order and the cells of one are in one run."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
+    for ids, terms in cells:
+        if not len(ids):
+            continue
+        held.append((ids, terms))
+        size += len(ids)
+        if size < BLOCK_CELLS or whole and held[0][0][0] == ids[-1]:
+            continue
+        ids, terms = (np.concatenate(x) for x in zip(*held, strict=True))
+        cut = int(np.searchsorted(ids, ids[-1])) if whole else len(ids)
+        yield ids[:cut], terms[:cut]
+        held = [(ids[cut:], terms[cut:])] if cut < len(ids) else []
+        size = len(ids) - cut
+    if held:
+        ids, terms = (np.concatenate(x) for x in zip(*held, strict=True))
+        yield ids, terms
+
+
+def _sided(blocks: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
+    """The blocks of both sides of a split."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list[Block], list[Block]] = ([], [])
+        for block in _blocks(batches):
+            right = _sides(block, rule)
+            for side, here in enumerate((~right, right)):
+                if here.any():
+                    held[side].append(_chosen(block, here))
+                if sum(len(b[2]) for b in held[side]) >= BLOCK_CELLS:
+                    yield from out(side, held[side])
+                    held[side].clear()
+        for side in (0, 1):
+            yield from out(side, held[side])
+
+    def out(side: int, blocks: list[Block]) -> Iterator[pa.RecordBatch]:
+        for block in _full(blocks):
+            yield pa.RecordBatch.from_arrays([*_row(block).columns, pa.array([side], pa.int32())], [*_ROW_NAMES, "side"])
+
+    path = scratch(blocks.sparkSession, "sides")
+    blocks.mapInArrow(run, BLOCK_ROW + ", side int").write.partitionBy("side").parquet(path)
+    return tuple(blocks.sparkSession.read.schema(BLOCK_ROW).parquet(f"{path}/side={k}") for k in (0, 1))
+
+
+def _units(blocks: DataFrame) -> DataFrame:
+    """``uce_id`` of the units in blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, _, _ in _blocks(batches):
+            yield pa.RecordBatch.from_pydict({"uce_id": ids})
+
+    return blocks.mapInArrow(run, "uce_id bigint")
 
 
 def split(x: DataFrame, least: int = 5, bins: int = 512, rounds: int = ROUNDS, refine: int = REFINE) -> tuple[DataFrame, float] | None:
@@ -306,8 +553,12 @@ def split(x: DataFrame, least: int = 5, bins: int = 512, rounds: int = ROUNDS, r
 
     Every cut is tried: prefix sums over all units are sums within up to ``bins`` ranges of the coordinate, from the totals of the ranges before."""
     rows, forms = _packed(x)
-    found = _best_split(_Passes(rows, bins), forms, least, rounds, refine) if forms else None
-    return None if found is None else (written(_sided(rows, found.rule).select("uce_id", "side"), "sides"), found.chi2)
+    blocks = written(_blocked(rows, forms), "blocks")
+    found = _best_split(_Passes(blocks, bins), forms, least, rounds, refine) if forms else None
+    if found is None:
+        return None
+    left, right = _sided(blocks, found.rule)
+    return _units(left).withColumn("side", F.lit(0)).unionByName(_units(right).withColumn("side", F.lit(1))), found.chi2
 
 
 def _offers(leaves: dict[int, DataFrame], sizes: dict[int, int], forms: int, least: int, bins: int) -> dict[int, Split | None]:
@@ -316,7 +567,9 @@ def _offers(leaves: dict[int, DataFrame], sizes: dict[int, int], forms: int, lea
     def task(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             blocks = list(_blocks(batches))
-            found = _best_split(_Rows(blocks), forms, least, ROUNDS, REFINE) if blocks else None
+            rows = _Rows(blocks) if blocks else None
+            blocks.clear()
+            found = _best_split(rows, forms, least, ROUNDS, REFINE) if rows else None
             yield pa.RecordBatch.from_pydict({"node_id": pa.array([k], pa.int32()), "split": [pickle.dumps(found)]})
 
         return run
@@ -336,13 +589,30 @@ def _offers(leaves: dict[int, DataFrame], sizes: dict[int, int], forms: int, lea
 def classify(presence: DataFrame, classes: int = 5, least: int = 5, bins: int = 512) -> tuple[DataFrame, list[Node]]:
     """``uce_id, class_id`` and the tree: the leaf whose best split has the greatest chi-square is split until there are ``classes`` leaves, which are numbered from
     left to right. Units without terms are in no class. ``presence`` has distinct (uce_id, form) rows."""
-    return _classify(*_packed(presence), classes, least, bins)
+    rows, forms = _packed(presence)
+    leaves, nodes = _tree(written(_blocked(rows, forms), "blocks"), forms, classes, least, bins)
+    return classes_of(leaves), nodes
+
+
+def classify_packed(packed: Packed, classes: int = 5, least: int = 5, bins: int = 512) -> tuple[dict[int, DataFrame], list[Node]]:
+    """The blocks of each class, by its number, and the tree; see ``classify``."""
+    return _tree(packed.blocks, packed.forms, classes, least, bins)
+
+
+def classes_of(leaves: dict[int, DataFrame]) -> DataFrame:
+    """``uce_id, class_id``."""
+    out = None
+    for c, blocks in leaves.items():
+        part = _units(blocks).withColumn("class_id", F.lit(c))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _classify(packed: DataFrame, forms: int, classes: int, least: int, bins: int) -> tuple[DataFrame, list[Node]]:
+def _tree(blocks: DataFrame, forms: int, classes: int, least: int, bins: int) -> tuple[dict[int, DataFrame], list[Node]]:
     nodes = {1: Node(1, None, 0)}
-    members = {1: packed}
-    first = packed.agg(F.coalesce(F.sum(F.size("terms") + F.lit(8)), F.lit(0))).first()[0]
+    members = {1: blocks}
+    weight = np.dtype(_narrow(forms)).itemsize // 2
+    first = blocks.agg(F.coalesce(F.sum(F.length("terms") / 2 + F.col("units") * 8), F.lit(0.0))).first()[0]
     sizes = {1: int(first)}
     offers: dict[int, Split | None] = {}
     leaves = [1]
@@ -356,13 +626,12 @@ def _classify(packed: DataFrame, forms: int, classes: int, least: int, bins: int
         chi2, k = max(open_)
         k = -k
         found = offers[k]
-        sides = written(_sided(members[k], found.rule), "sides")
         left, right = max(nodes) + 1, max(nodes) + 2
         nodes[left], nodes[right] = Node(left, k, nodes[k].depth + 1), Node(right, k, nodes[k].depth + 1)
         nodes[k].left_id, nodes[k].right_id, nodes[k].split_chi2 = left, right, chi2
-        for side, leaf in enumerate((left, right)):
-            members[leaf] = sides.where(F.col("side") == side).select("uce_id", "terms")
-            sizes[leaf] = found.cells[side] + 8 * found.units[side]
+        for side, (leaf, own) in enumerate(zip((left, right), _sided(members[k], found.rule), strict=True)):
+            members[leaf] = own
+            sizes[leaf] = found.cells[side] * weight + 8 * found.units[side]
         leaves.remove(k)
         leaves += [left, right]
 
@@ -370,11 +639,10 @@ def _classify(packed: DataFrame, forms: int, classes: int, least: int, bins: int
         n = nodes[k]
         return [k] if n.left_id is None else walk(n.left_id) + walk(n.right_id)
 
-    out = None
+    out = {}
     for c, k in enumerate(walk(1), 1):
         nodes[k].class_id = c
-        part = members[k].select("uce_id", F.lit(c).alias("class_id"))
-        out = part if out is None else out.unionByName(part)
+        out[c] = members[k]
     return out, list(nodes.values())
 
 
@@ -389,7 +657,7 @@ def double_classification(presence: DataFrame, first: DataFrame, second: DataFra
     for units in (first, second):
         units = written(units.select("uce_id", "unit"), "units")
         merged = packed.join(units, "uce_id").groupBy(F.col("unit").alias("uce_id")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("terms")))).alias("terms"))
-        found = _classify(written(merged, "grouped"), forms, classes, least, 512)[0].withColumnRenamed("uce_id", "unit")
+        found = classes_of(_tree(written(_blocked(merged, forms), "grouped"), forms, classes, least, 512)[0]).withColumnRenamed("uce_id", "unit")
         sides.append(written(units.join(found, "unit").select("uce_id", "class_id"), "sides"))
     cells = crossed_classes(*sides).orderBy(F.desc("chi2"), "class_a", "class_b").limit(classes**2).collect()
     taken, used_a, used_b = [], set(), set()
@@ -410,10 +678,33 @@ def profiles(presence: DataFrame, classes: DataFrame, least: int = 1) -> DataFra
     """``class_id, form, freq, in_all, pct, chi2, sign``: signed chi-square of each term in each class, by units that hold it; terms a class lacks are left out."""
     placed = presence.join(classes, "uce_id")
     cells = placed.groupBy("class_id", "form").agg(F.count("*").alias("freq"))
-    terms = placed.groupBy("form").agg(F.count("*").alias("in_all")).where(F.col("in_all") >= least)
-    sizes = classes.groupBy("class_id").agg(F.count("*").alias("size"))
+    return _profiles(cells, placed.groupBy("form").agg(F.count("*").alias("in_all")), classes.groupBy("class_id").agg(F.count("*").alias("size")), least)
+
+
+def packed_profiles(packed: Packed, leaves: dict[int, DataFrame], least: int = 1) -> DataFrame:
+    """``profiles`` of the classes that ``classify_packed`` found: terms are counted in the blocks of each class."""
+    forms = packed.forms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(forms + 1, dtype=np.int64)
+        for ids, _, terms in _blocks(batches):
+            total += np.append(np.bincount(terms, minlength=forms), len(ids))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": some.astype(np.int32), "n": total[some]})
+
+    counts = None
+    for c, blocks in leaves.items():
+        part = blocks.mapInArrow(run, "term int, n bigint").withColumn("class_id", F.lit(c))
+        counts = part if counts is None else counts.unionByName(part)
+    counts = written(counts.groupBy("class_id", "term").agg(F.sum("n").alias("freq")), "counts")  # the number of units stands behind the last term
+    cells = counts.join(packed.vocabulary, "term").select("class_id", "form", "freq")
+    sizes = counts.where(F.col("term") == forms).select("class_id", F.col("freq").alias("size"))
+    return _profiles(cells, cells.groupBy("form").agg(F.sum("freq").alias("in_all")), sizes, least)
+
+
+def _profiles(cells: DataFrame, terms: DataFrame, sizes: DataFrame, least: int) -> DataFrame:
     n = sizes.agg(F.sum("size")).scalar()
-    full = cells.join(terms, "form").join(sizes, "class_id")
+    full = cells.join(terms.where(F.col("in_all") >= least), "form").join(sizes, "class_id")
     chi2 = signed_chi2(F.col("freq"), F.col("in_all"), F.col("size"), n)
     return full.select("class_id", "form", "freq", "in_all", (F.col("freq") * 100.0 / F.col("in_all")).alias("pct"), chi2.alias("chi2")).withColumn("sign", F.when(F.col("chi2") >= 0, "+").otherwise("-"))
 

@@ -694,19 +694,19 @@ def representative_sentences(s: SparkSession, d: str) -> DataFrame:
 # classification and axes ---------------------------------------------------------------------------------------------------------------------
 
 
-def _presence(s: SparkSession, d: str) -> DataFrame:
-    return units(s, d).join(unit_vocabulary(s, d, MAX_ACTIVES), "form", "left_semi")
+def _packed_units(s: SparkSession, d: str) -> reinert.Packed:
+    return reinert.packed_units(table(s, d, "postings"), MAX_ACTIVES)
 
 
 @query
 def reinert_classes(s: SparkSession, d: str) -> DataFrame:
-    return reinert.classify(_presence(s, d), 4)[0]
+    return reinert.classes_of(reinert.classify_packed(_packed_units(s, d), 4)[0])
 
 
 @query
 def reinert_profiles(s: SparkSession, d: str) -> DataFrame:
-    p = _presence(s, d)
-    return reinert.top_profiles(reinert.profiles(p, reinert.classify(p, 3)[0]), 80)
+    p = _packed_units(s, d)
+    return reinert.top_profiles(reinert.packed_profiles(p, reinert.classify_packed(p, 3)[0]), 80)
 
 
 def _cut_classes(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

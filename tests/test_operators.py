@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -242,6 +243,37 @@ def test_reinert_reads_a_large_node_once_a_round(spark, monkeypatch):
     assert all(len({got[u] for u in want if want[u] == c}) == 1 for c in want.values()) and len(set(got.values())) == 2
 
 
+def test_reinert_packs_units_once(spark, monkeypatch):
+    """Packed units hold each form of the vocabulary in two bytes, and their classes and profiles are those of the presence table, in whatever blocks, ranges and sizes of a node."""
+    monkeypatch.setattr(reinert, "ROUNDS", 8)
+    rng = np.random.default_rng(3)
+    rows = [(int(u) - 60, f"f{w:03d}") for u in range(240) for w in (rng.zipf(1.2, 12) * (1 + u % 3)) % 90]
+    rows += rows[:100] + [(7, f"rare{k}") for k in range(150)] + [(500, "only")] * 20 + [(None, "f001"), (3, None), (4, " ")] + [(k + 9 * 10**18, "f001") for k in range(3)]
+    postings = spark.createDataFrame(rows, "uce_id bigint, form string").repartition(5)
+    units = corpus.unit_presence(postings)
+    met = Counter(r.form for r in units.collect())
+    for most, first, sizes in ((40, 60, [(0, 100, 300)]), (100, 110, [(40_000_000, 250_000, 2_000_000)]), (40, 1000, [(40_000_000, 100, 300)])):  # forms with most rows suffice; forms met once leave it open; all forms at once
+        monkeypatch.setattr(reinert, "MOST_BROADCAST", first)
+        want = sorted(sorted(met, key=lambda f: (-met[f], f))[:most])
+        presence = units.where(F.col("form").isin(want))
+        places = {f: k for k, f in enumerate(want)}
+        classes, _ = reinert.classify(presence, 3)
+        sides = {r.uce_id: r.class_id for r in classes.collect()}
+        profile = sorted(map(tuple, reinert.profiles(presence, classes).collect()))
+        for kernel, block, ranged in sizes:
+            with monkeypatch.context() as m:
+                for name, value in (("KERNEL_CELLS", kernel), ("BLOCK_CELLS", block), ("RANGE_CELLS", ranged)):
+                    m.setattr(reinert, name, value)
+                packed = reinert.packed_units(postings, most)
+                assert packed.forms == most and {r.form: r.term for r in packed.vocabulary.collect()} == places
+                held = [r for r in packed.blocks.toArrow().to_batches()]
+                cells = sorted((int(u), want[t]) for ids, starts, terms in reinert._blocks(held) for k, u in enumerate(ids) for t in terms[starts[k] : starts[k + 1]])
+                assert cells == sorted((r.uce_id, r.form) for r in presence.collect()) and sum(len(x) for b in held for x in b.column("terms").to_pylist()) == 2 * len(cells)
+                leaves, _ = reinert.classify_packed(packed, 3)
+                assert {r.uce_id: r.class_id for r in reinert.classes_of(leaves).collect()} == sides
+                assert sorted(map(tuple, reinert.packed_profiles(packed, leaves).collect())) == profile
+
+
 def test_representative_sentences_make_no_pairs(spark, monkeypatch):
     """Ranks equal those of PageRank on the explicit pairs, of which none is made."""
     rnd = random.Random(4)
